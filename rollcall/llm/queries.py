@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.llm import encoding, skeleton, survivors
+from rollcall.llm import encoding, people, skeleton, survivors
 from rollcall.session import table
 
 
@@ -17,6 +17,15 @@ def p1_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.golden_entities(table(spark, sf_dir, "entity_groups"), table(spark, sf_dir, "canonical_entities"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return people.variant_pairs(table(spark, sf_dir, "raw_records", "id", "organization_id", "full_name", "organization", "email", "phone"))
+
+
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "raw_records").selectExpr("id row_id", "organization_id tenant", "full_name", "organization", "email", "phone")
+    return people.classes(rows)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skeleton.unusual_values(table(spark, sf_dir, "raw_records")).select("record_id", "field_name")
 
@@ -29,5 +38,5 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_golden, p5_found, p5_look_alikes, p8_ids)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_golden, p3_found, p3_classes, p5_found, p5_look_alikes, p8_ids)}
 SQL: dict[str, str] = {}

@@ -5,12 +5,14 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join may be broadcast up to this many bytes by the optimizer's own estimate.
 BROADCAST_BYTES = 32 << 20
+_written: dict[str, list[str]] = {}
 
 
 def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -53,9 +55,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and reads it from there: lost executors cost no recomputation."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df written to a table in the shared checkpoint folder and read from there: lost executors cost no recomputation.
+
+    Column files are smaller than a checkpoint's rows, later stages read only the columns they need, and the optimizer
+    knows the table's size. drop_cuts() deletes the files.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_cuts(spark: SparkSession) -> None:
+    """Deletes the tables cut() has written; results that read them must have been written."""
+    jvm = spark.sparkContext._jvm
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.llm import encoding, people, skeleton, survivors
+from rollcall.llm import encoding, history, people, skeleton, survivors
 from rollcall.session import table
 
 
@@ -26,6 +26,11 @@ def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return people.classes(rows)
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("id", "organization_id", "full_name", "organization", "email", "phone")
+    return history.batch_pairs(table(spark, sf_dir, "raw_records", *columns), table(spark, sf_dir, "incoming_records", *columns))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skeleton.unusual_values(table(spark, sf_dir, "raw_records")).select("record_id", "field_name")
 
@@ -38,5 +43,5 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_golden, p3_found, p3_classes, p5_found, p5_look_alikes, p8_ids)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_golden, p3_found, p3_classes, p4_found, p5_found, p5_look_alikes, p8_ids)}
 SQL: dict[str, str] = {}

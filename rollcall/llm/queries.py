@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.llm import encoding, history, people, skeleton, survivors
+from rollcall.llm import encoding, history, neighbours, people, skeleton, survivors
 from rollcall.session import table
 
 
@@ -17,6 +17,15 @@ def p1_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.golden_entities(table(spark, sf_dir, "entity_groups"), table(spark, sf_dir, "canonical_entities"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.similar_pairs(table(spark, sf_dir, "raw_records", "id", "embedding"))
+
+
+def p2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar records of every record, over the whole table."""
+    return neighbours.nearest(table(spark, sf_dir, "raw_records", "id", "embedding"), 5)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return people.variant_pairs(table(spark, sf_dir, "raw_records", "id", "organization_id", "full_name", "organization", "email", "phone"))
 
@@ -43,5 +52,5 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_golden, p3_found, p3_classes, p4_found, p5_found, p5_look_alikes, p8_ids)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_golden, p2_found, p2_nearest, p3_found, p3_classes, p4_found, p5_found, p5_look_alikes, p8_ids)}
 SQL: dict[str, str] = {}

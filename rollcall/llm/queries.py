@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.llm import encoding, history, neighbours, people, skeleton, survivors
+from rollcall.llm import encoding, history, neighbours, packing, people, skeleton, subjects, survivors
 from rollcall.session import table
 
 
@@ -52,5 +52,18 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_golden, p2_found, p2_nearest, p3_found, p3_classes, p4_found, p5_found, p5_look_alikes, p8_ids)}
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_containers(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "pack_sizes"))
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(p9_containers(spark, sf_dir), table(spark, sf_dir, "pack_sizes"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = subjects.assign_subjects(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "doc_labels"), table(spark, sf_dir, "subjects"))
+    return found.select("doc_id", "subject")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_golden, p2_found, p2_nearest, p3_found, p3_classes, p4_found, p5_found, p5_look_alikes, p8_ids, p9_containers, p9_report, p10_found)}
 SQL: dict[str, str] = {}

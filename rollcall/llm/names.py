@@ -44,9 +44,14 @@ _TYPES = [(t, re.compile(f"(?:^| )(?:{w})(?= |$)")) for t, w in ORGANISATION_TYP
 _BRANCH = re.compile(r"\s*[,;(–-]\s*(?:chi nhanh|cn|van phong|branch|office|northern|southern|eastern|western|central)\b.*$|\s+chi nhanh\b.*$")
 
 
+_LETTERS = _FOLD | {code: base for code in range(0xC0, 0x1F00) if len(base := "".join(c for c in unicodedata.normalize("NFD", chr(code)) if unicodedata.category(c) != "Mn")) == 1 and base != chr(code)}
+
+
 def fold(text: str) -> str:
     """Lower case base letters of the consistent form; characters of other scripts keep their letters."""
-    text = consistent_form(text).lower().translate(_FOLD)
+    text = consistent_form(text).lower().translate(_LETTERS)
+    if text.isascii():
+        return text
     return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn").translate(_FOLD)
 
 
@@ -64,21 +69,24 @@ def _spelt(token: str) -> str:
     return token
 
 
-@functools.lru_cache(1 << 17)
+_NOT_WORD, _SEPARATORS, _BYNAME = re.compile(r"[^\w]"), re.compile(r"[\s.,;_\-/+·|]+"), re.compile(r"[(\[{\"“][^)\]}\"”]*[)\]}\"”]?")
+
+
+@functools.lru_cache(1 << 15)
 def name_tokens(name: str | None) -> tuple[str, ...]:
     """Folded tokens of a person's name without titles, bracketed by-names and points; single letters are initials. () if there is no name."""
     if not name or "@" in name:
         return ()
     shown = consistent_form(name)
-    shown = re.sub(r"[(\[{\"“][^)\]}\"”]*[)\]}\"”]?", " ", shown)
+    shown = _BYNAME.sub(" ", shown)
     given_first = "," in shown
     if given_first:  # 'Ferrantis, Theodore F.' and 'Hung, Tran Khanh': what stands before the comma comes last
         head, _, tail = shown.partition(",")
         shown = f"{tail} {head}" if tail.strip() else head
-    words = [w for w in re.split(r"[\s.,;_\-/+·|]+", shown) if w]
+    words = [w for w in _SEPARATORS.split(shown) if w]
     while len(words) > 1 and (fold(words[0]) in TITLES or unicodedata.normalize("NFC", words[0].lower()) in ACCENTED_TITLES or (fold(words[0]) in ("ba", "anh", "chi", "co") and len(words) > 4 and not given_first)):
         words = words[1:]
-    tokens = (_spelt(re.sub(r"[^\w]", "", fold(w))) for w in words)
+    tokens = (_spelt(_NOT_WORD.sub("", fold(w))) for w in words)
     return tuple(t for t in tokens if t and not t.isdigit())
 
 

@@ -15,6 +15,7 @@ already in the usual form) are recognised by one JVM regular expression and neve
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
 
 import pandas as pd
@@ -52,6 +53,7 @@ def _plain_class() -> str:
 
 
 PLAIN = _plain_class()
+_plain = re.compile(PLAIN).match
 
 
 @functools.lru_cache(1 << 16)
@@ -103,7 +105,7 @@ def _word(word: str, scripts: set[str], latin: bool) -> str:
 
 def consistent_form(text: str | None) -> str | None:
     """The value as it is usually written; the value itself if nothing in it is unusual."""
-    if text is None or text.isascii() and text.isprintable():
+    if text is None or _plain(text):
         return text
     plain = unicodedata.normalize("NFKD", _visible(text))
     words = "".join(SAME_SCRIPT.get(c, c) for c in plain).split(" ")

@@ -21,18 +21,20 @@ similarity go to the smaller id; an empty table gives no rows; other columns are
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollcall.session import cut
+from rollcall.session import broadcast_if_small, cut
 
 DIM = 64
 #: Rows the centroids are fitted on, most centroids, cells a vector joins (those whose centroid is at most MARGIN less similar than the nearest), and rows of a shard at most.
-SAMPLE, CELLS, OVERLAP, MARGIN, SHARD = 32768, 1024, 2, 0.06, 16384
+SAMPLE, CELLS, OVERLAP, MARGIN, SHARD = 32768, 1024, 2, 0.06, 8192
 #: Edges per node, beam width, nodes expanded at once, pruning slack, vectors inserted at once, entry points.
 DEGREE, BEAM, WIDE, ALPHA, BATCH, ENTRIES = 16, 26, 4, 1.2, 1024, 12
 
@@ -184,21 +186,24 @@ def best_of(nodes: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int, least:
     a, b, s = np.concatenate([rows, ids]), np.concatenate([ids, rows]), np.concatenate([sims, sims])
     order = np.lexsort((b, -s, a))
     a, b, s = a[order], b[order], s[order]
+    if not len(a):
+        return a, b, s
     same = np.r_[False, (a[1:] == a[:-1]) & (b[1:] == b[:-1])]
     a, b, s = a[~same], b[~same], s[~same]
-    start = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, int)
+    start = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
     nth = np.arange(len(a)) - np.repeat(start, np.diff(np.r_[start, len(a)]))
     return a[nth < k], b[nth < k], s[nth < k]
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float32)
+def _matrix(column: pd.Series, dim: int) -> np.ndarray:
+    """Vectors of a column of bytes."""
+    return np.frombuffer(b"".join(column), np.float32).reshape(-1, dim)
 
 
-def _shard(k: int, least: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _shard(k: int, least: float, dim: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         base = pdf[pdf["role"] == 0]
-        x, keys, n = _matrix(base["v"]) if len(base) else np.zeros((0, DIM), np.float32), base["id"].to_numpy(), len(base)
+        x, keys, n = _matrix(base["v"], dim), base["id"].to_numpy(), len(base)
         got = []
 
         def note(nodes: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> None:
@@ -213,7 +218,7 @@ def _shard(k: int, least: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
             out.append((keys[a], keys[b], s))
         others = pdf[pdf["role"] == 1]
         if n and len(others):
-            ids, sims = graph.search(_matrix(others["v"]))
+            ids, sims = graph.search(_matrix(others["v"], dim))
             names = others["id"].to_numpy()
             r, c = np.nonzero((ids < n) & (sims >= least) & (np.arange(ids.shape[1]) < 2 * k))
             out.append((names[r], keys[ids[r, c]], sims[r, c]))
@@ -239,62 +244,73 @@ def centroids(sample: np.ndarray, cells: int, rounds: int = 8, seed: int = 11) -
     return c.astype(np.float32)
 
 
-def unit_vectors(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
-    """(id, v): valid vectors at length one, as floats."""
-    e = F.col(vector)
-    valid = (F.size(e) == dim) & ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(e, lambda x: x != 0)
-    norm = F.sqrt(F.aggregate(e, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return df.filter(F.coalesce(valid, F.lit(False))).select(F.col(key).cast("string").alias("id"), e.alias("_e"), norm.alias("_n")).select("id", F.transform("_e", lambda x: (x / F.col("_n")).cast("float")).alias("v"))
+def unit_vectors(batch: pa.RecordBatch, dim: int) -> tuple[pa.Array, np.ndarray]:
+    """(ids, vectors at length one) of the valid rows of a batch (id, vector)."""
+    lists = batch.column(1)
+    right = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(lists), dim), False).to_numpy(zero_copy_only=False))
+    lists = lists.take(pa.array(right))
+    x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    with np.errstate(all="ignore"):
+        norm = np.linalg.norm(x, axis=1)
+    good = np.isfinite(norm) & (norm > 0)
+    # Rounded, so that equal directions of different norm are equal bytes.
+    x = np.round(x[good] / norm[good, None], 6).astype(np.float32) + np.float32(0)
+    return batch.column(0).take(pa.array(right[good])), x
+
+
+def _placed(df: DataFrame, dim: int, middle: np.ndarray) -> DataFrame:
+    """(id, v, cells): the unit vector, as bytes, and the cells of every valid row. One Arrow pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, x = unit_vectors(batch, dim)
+            sims = x @ middle.T
+            m = min(OVERLAP, sims.shape[1])
+            top = np.argpartition(-sims, m - 1, axis=1)[:, :m].astype(np.int32)
+            near = np.take_along_axis(sims, top, 1) >= sims.max(1, keepdims=True, initial=-2) - MARGIN
+            ends = np.r_[0, np.cumsum(near.sum(1))].astype(np.int32)
+            at = (np.arange(len(x) + 1) * 4 * dim).astype(np.int32)
+            v = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(x))])
+            yield pa.RecordBatch.from_arrays([ids, v, pa.ListArray.from_arrays(pa.array(ends), pa.array(top[near]))], ["id", "v", "cells"])
+
+    return df.mapInArrow(run, "id string, v binary, cells array<int>")
 
 
 def nearest(df: DataFrame, k: int, least: float = -1.0, key: str = "id", vector: str = "embedding", dim: int = DIM, shard: int = SHARD) -> DataFrame:
     """(a, b, similarity, rank): for each row a the k most similar rows b with at least the given similarity."""
-    spark = df.sparkSession
-    units = unit_vectors(df, key, vector, dim)
-    nodes = cut(units.groupBy(F.xxhash64(F.transform("v", lambda x: F.round(x, 6))).alias("_h"), "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).select("id", "v", "n"))
-    total = nodes.count()
-    if not total:
-        return spark.createDataFrame([], "a string, b string, similarity float, rank int")
-    share = max(1, total // SAMPLE)
+    rows = df.select(F.col(key).cast("string").alias("id"), F.col(vector).cast("array<float>").alias("e"))
+    total = rows.count()
     cells = min(CELLS, max(1, math.ceil(OVERLAP * total / (0.75 * shard))))
-    drawn = nodes.filter(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(share)) == 0).select("v").limit(2 * SAMPLE).toPandas() if cells > 1 else None
-    middle = centroids(_matrix(drawn["v"]), cells) if cells > 1 else np.zeros((1, dim), np.float32)
-
-    @F.pandas_udf("array<int>")
-    def nearest_cells(v: pd.Series) -> pd.Series:
-        sims = _matrix(v) @ middle.T
-        m = min(OVERLAP, sims.shape[1])
-        top = np.argpartition(-sims, m - 1, axis=1)[:, :m].astype(np.int32)
-        near = np.take_along_axis(sims, top, 1) >= sims.max(1, keepdims=True) - MARGIN
-        return pd.Series([t[n] for t, n in zip(top, near)])
-
-    placed = nodes.select("id", "v", F.explode(nearest_cells("v")).alias("cell"))
+    middle = np.zeros((1, dim), np.float32)
     if cells > 1:
-        placed = cut(placed)
+        share = max(1, total // SAMPLE)
+        drawn = rows.filter((F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(share)) == 0) & F.col("e").isNotNull()).limit(2 * SAMPLE).toArrow().combine_chunks()
+        sample = [unit_vectors(b, dim)[1] for b in drawn.to_batches()]
+        if sample and sum(map(len, sample)):
+            middle = centroids(np.concatenate(sample), cells)
+    placed = cut(_placed(rows, dim, middle).withColumn("h", F.xxhash64("v")))
+    # Equal vectors are one node, that of the smallest id; only the hashes of vectors that occur twice are looked up.
+    twice = cut(placed.groupBy("h").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "node"))
+    copied = twice.limit(1).count() > 0
+    nodes = placed.join(broadcast_if_small(twice), "h", "left").filter("node is null or node = id").drop("node") if copied else placed
+    own = nodes.select("id", "v", F.explode("cells").alias("cell"))
     # One row per cell, at most CELLS.
-    counts = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}
-    parts = {c: math.ceil(n / shard) for c, n in counts.items()}
+    parts = {r["cell"]: math.ceil(r["count"] / shard) for r in placed.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect()}
     many = {c: p for c, p in parts.items() if p > 1}
-    salt = F.pmod(F.xxhash64("id", F.lit("shard")), F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for cp in many.items() for x in cp)), F.col("cell")), F.lit(1))) if many else F.lit(0).cast("bigint")
-    own = placed.withColumn("sub", salt)
-    rows = own.select("id", "v", "cell", "sub", F.lit(0).alias("role"), F.lit(0).alias("chunk"))
+    role, chunk = F.lit(0).alias("role"), F.lit(0).alias("chunk")
     if many:
-        n_parts = F.try_element_at(F.create_map(*(F.lit(x) for cp in many.items() for x in cp)), F.col("cell"))
-        hot = own.withColumn("_p", n_parts).filter("_p > 1")
-        chunks = F.ceil(F.col("_p") / 4).cast("int")  # four shards' rows search a shard in one task
-        hot = hot.withColumn("_c", chunks)
-        copies = hot.select("id", "v", "cell", "sub", F.lit(0).alias("role"), F.explode(F.sequence(F.lit(1), F.col("_c") - 1)).alias("chunk")) if max(many.values()) > 4 else None
-        if copies is not None:
-            copies = hot.filter("_c > 1").select("id", "v", "cell", "sub", F.lit(0).alias("role"), F.explode(F.sequence(F.lit(1), F.col("_c") - 1)).alias("chunk"))
-            rows = rows.unionByName(copies)
+        of_cell = F.try_element_at(F.create_map(*(F.lit(x) for cp in many.items() for x in cp)), F.col("cell"))
+        own = own.withColumn("_p", F.coalesce(of_cell, F.lit(1))).withColumn("sub", F.pmod(F.xxhash64("id", F.lit("shard")), F.col("_p")).cast("int"))
+        hot = own.filter("_p > 1").withColumn("_c", F.ceil(F.col("_p") / 4).cast("int"))  # the rows of four shards search a shard in one task
+        copies = hot.filter("_c > 1").select("id", "v", "cell", "sub", role, F.explode(F.sequence(F.lit(1), F.col("_c") - 1)).alias("chunk"))
         asked = hot.select("id", "v", "cell", F.col("sub").alias("_own"), F.explode(F.sequence(F.lit(0), F.col("_p") - 1)).alias("sub"), F.pmod(F.xxhash64("id", F.lit("chunk")), F.col("_c")).cast("int").alias("chunk")).filter("sub <> _own")
-        rows = rows.unionByName(asked.select("id", "v", "cell", F.col("sub").cast("bigint").alias("sub"), F.lit(1).alias("role"), "chunk"))
-    tasks = sum(parts.values())
-    rows = rows.repartition(max(1, min(4096, tasks)), "cell", "sub", "chunk")
-    pairs = rows.groupBy("cell", "sub", "chunk").applyInPandas(_shard(k, least), "a string, b string, similarity float")
+        spread = own.select("id", "v", "cell", "sub", role, chunk).unionByName(copies).unionByName(asked.select("id", "v", "cell", "sub", F.lit(1).alias("role"), "chunk"))
+    else:
+        spread = own.select("id", "v", "cell", F.lit(0).alias("sub"), role, chunk)
+    tasks = max(1, min(4096, sum(parts.values())))
+    pairs = spread.repartition(tasks, "cell", "sub", "chunk").groupBy("cell", "sub", "chunk").applyInPandas(_shard(k, least, dim), "a string, b string, similarity float")
     ranked = _ranked(pairs.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), k)
-    copied = nodes.filter("n > 1").limit(1).count()
-    return _with_copies(ranked, units, nodes, k, least) if copied else ranked
+    return _with_copies(ranked, placed, twice, k, least) if copied else ranked
 
 
 def _ranked(pairs: DataFrame, k: int) -> DataFrame:
@@ -302,18 +318,17 @@ def _ranked(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("a", "b", "similarity", "rank")
 
 
-def _with_copies(ranked: DataFrame, units: DataFrame, nodes: DataFrame, k: int, least: float) -> DataFrame:
+def _with_copies(ranked: DataFrame, placed: DataFrame, twice: DataFrame, k: int, least: float) -> DataFrame:
     """The k best of every row when equal vectors are nodes: a row's copies come first, then its node's neighbours and their copies.
 
     Of a node's copies only the first k + 1 can be among anyone's k best.
     """
-    many = nodes.filter("n > 1").select("v", F.col("id").alias("node"))
-    copies = cut(units.join(many, "v").select("id", "node"))
+    copies = cut(placed.select("id", "h").join(broadcast_if_small(twice), "h").select("id", "node"))
     first = copies.withColumn("_r", F.row_number().over(Window.partitionBy("node").orderBy("id"))).filter(F.col("_r") <= k + 1).select("node", F.col("id").alias("b"))
-    same = copies.join(first, "node").filter("id <> b").select(F.col("id").alias("a"), "b", F.lit(1.0).cast("float").alias("similarity")) if least <= 1 else None
+    same = copies.join(first, "node").filter("id <> b").select(F.col("id").alias("a"), "b", F.lit(1.0).cast("float").alias("similarity"))
     wide = ranked.join(first.select(F.col("node").alias("b"), F.col("b").alias("_b")), "b", "left").select("a", F.coalesce("_b", "b").alias("b"), "similarity")
     full = wide.join(copies.select(F.col("node").alias("a"), F.col("id").alias("_a")), "a", "left").select(F.coalesce("_a", "a").alias("a"), "b", "similarity")
-    return _ranked(full.unionByName(same), k)
+    return _ranked(full.unionByName(same).filter(F.col("similarity") >= least), k)
 
 
 def similar_pairs(df: DataFrame, k: int = 5, least: float = 0.9, **options) -> DataFrame:

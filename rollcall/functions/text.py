@@ -108,7 +108,7 @@ def trim_lower(c: Column | str) -> Column:
 
 def split_list(c: Column | str) -> Column:
     """Non-blank parts of a comma list."""
-    return F.filter(F.transform(F.split(null_to_blank(c), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(null_to_blank(c), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def tenant_key(claim: Column | str, second_claim: Column | str, uid: Column | str) -> Column:

@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from rollcall.llm.encoding import spread
 
-#: Bounds of the fit: labelled documents, terms; its background components, rounds and prior of unlabelled subjects.
-LABELLED, TERMS, BACKGROUND, ROUNDS, FAINT = 5000, 30000, 6, 60, 0.02
+#: Bounds of the fit: labelled documents, terms; its background components and their prior weight (a label has 1), rounds and prior of unlabelled subjects.
+LABELLED, TERMS, BACKGROUND, TALK, ROUNDS, FAINT = 5000, 30000, 6, 2.0, 60, 0.02
 #: Rounds of a sentence's mixture, the telling terms that make a sentence devoted, and the sentences a subject needs.
 STEPS, DEVOTED, SENTENCES = 12, 0.8, 3
 #: Turns of phrase seen at least this often with a subject that is the document's label less than this often only mention it.
@@ -133,7 +133,7 @@ def fit(documents: list[tuple[str, set[str]]], subjects: list[tuple[str, str]],
     k, b, v = len(names), BACKGROUND, len(vocabulary)
     rng = np.random.default_rng(seed)
     w = np.full((len(keep), k + b), FAINT / k, np.float64)
-    w[:, k:] = 1.0 / b
+    w[:, k:] = TALK / b
     for i, r in enumerate(keep):
         known = [number[s] for s in rows[r][1] if s in number]
         for s in known:

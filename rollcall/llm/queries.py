@@ -66,4 +66,34 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_golden, p2_found, p2_nearest, p3_found, p3_classes, p4_found, p5_found, p5_look_alikes, p8_ids, p9_containers, p9_report, p10_found)}
-SQL: dict[str, str] = {}
+
+
+def _list(values: tuple[str, ...]) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+_EDGE = "[\\s()\\[\\]?.*_-]+"
+
+
+def _usable_text(c: str) -> str:
+    v = f"trim(regexp_replace(lower(replace(replace(strip_accents(trim(regexp_replace(coalesce({c}, ''), '\\s+', ' ', 'g'))), 'đ', 'd'), 'Đ', 'D')), '^{_EDGE}|{_EDGE}$', '', 'g'))"
+    bare = f"trim(regexp_replace({v}, '[\\s#._-]*\\d+$', '', 'g'))"
+    words = _list((*survivors.STAND_INS, *survivors.COLUMN_TITLES))
+    return f"regexp_matches({v}, '\\p{{L}}') AND {v} NOT IN ({words}) AND {bare} NOT IN ({words})"
+
+
+_MAIL = "lower(trim(coalesce(primary_email, '')))"
+_DIGITS = "regexp_replace(coalesce(primary_phone, ''), '[^0-9]', '', 'g')"
+_NATIONAL = f"CASE WHEN regexp_matches({_DIGITS}, '^0[1-9][0-9]{{8}}$') THEN {_DIGITS} WHEN regexp_matches({_DIGITS}, '^(00)?84[1-9][0-9]{{8}}$') THEN '0' || right({_DIGITS}, 9) ELSE '' END"
+_NINES = _list(tuple("0" + d * 9 for d in "0123456789") + ("0123456789", "0987654321"))
+_USABLE_SQL = {
+    "primary_email": f"regexp_matches({_MAIL}, '^[\\p{{L}}0-9._%+''-]*[\\p{{L}}0-9_+-]@([a-z0-9]([a-z0-9-]*[a-z0-9])?\\.)+[a-z]{{2,}}$') AND split_part({_MAIL}, '@', 1) NOT IN ({_list(survivors.MAILBOX_STAND_INS)}) AND split_part({_MAIL}, '@', 1) <> split_part(split_part({_MAIL}, '@', 2), '.', 1)",
+    "primary_phone": f"NOT regexp_matches(coalesce(primary_phone, ''), '[?*xX]') AND ({_NATIONAL}) <> '' AND ({_NATIONAL}) NOT IN ({_NINES})",
+    "primary_role": _usable_text("primary_role"),
+    "display_name": _usable_text("display_name") + " AND NOT contains(coalesce(display_name, ''), '@')",
+}
+SQL: dict[str, str] = {
+    "p1_found": "WITH m AS (SELECT DISTINCT group_id, canonical_entity_id AS id FROM entity_groups WHERE group_id IS NOT NULL), e AS (SELECT m.group_id, c.* FROM m JOIN canonical_entities c ON c.id = m.id), f AS ("
+    + " UNION ALL ".join(f"SELECT group_id, '{n}' AS field_name, id, updated_at FROM e WHERE {ok}" for n, ok in _USABLE_SQL.items())
+    + ") SELECT group_id, field_name, id AS canonical_entity_id FROM (SELECT *, row_number() OVER (PARTITION BY group_id, field_name ORDER BY updated_at DESC NULLS LAST, id) AS k FROM f) WHERE k = 1",
+}

@@ -23,37 +23,30 @@ def links(tables: dict[str, DataFrame]) -> DataFrame:
     return tables["raw_to_canonical"].select("raw_record_id", "canonical_entity_id").distinct()
 
 
-def entity_counts(tables: dict[str, DataFrame]) -> DataFrame:
-    """(entity_id, event_count, source_count, record_count): distinct non-blank events, distinct sources, records."""
-    records = tables["raw_records"].select(F.col("id").alias("raw_record_id"), "event_name", "source_id")
+def entity_counts(tables: dict[str, DataFrame], flags: dict[str, Column] | None = None) -> DataFrame:
+    """(entity_id, event_count, source_count, record_count, *flags): distinct non-blank events, distinct sources, records, and whether some record satisfies each flag's condition."""
+    records = tables["raw_records"].select(F.col("id").alias("raw_record_id"), "event_name", "source_id", F.year("event_date").alias("event_year"))
     return links(tables).join(records, "raw_record_id").groupBy(F.col("canonical_entity_id").alias("entity_id")).agg(
         F.countDistinct(F.when(F.col("event_name") != "", F.col("event_name"))).alias("event_count"),
         F.countDistinct("source_id").alias("source_count"),
         F.count(F.lit(1)).alias("record_count"),
+        *(F.max(condition).alias(name) for name, condition in (flags or {}).items()),
     )
 
 
-def entity_events(tables: dict[str, DataFrame]) -> DataFrame:
-    """(entity_id, events): the distinct (event_name, event_year) of an entity."""
-    records = tables["raw_records"].select(F.col("id").alias("raw_record_id"), "event_name", F.year("event_date").alias("event_year"))
-    return links(tables).join(records, "raw_record_id").groupBy(F.col("canonical_entity_id").alias("entity_id")).agg(F.collect_set(F.struct("event_name", "event_year")).alias("events"))
-
-
-def entities(tables: dict[str, DataFrame]) -> DataFrame:
-    """Entities with their three counts, blanks for nulls."""
+def entities(tables: dict[str, DataFrame], flags: dict[str, Column] | None = None) -> DataFrame:
+    """Entities with their three counts and any flags, blanks for nulls."""
     e = tables["canonical_entities"].select("id", "organization_id", "entity_type", "display_name", *(null_to_blank(c).alias(c) for c in ("primary_email", "primary_phone", "primary_organization", "primary_role")))
-    counted = e.join(entity_counts(tables), e["id"] == F.col("entity_id"), "left").drop("entity_id")
-    return counted.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("event_count", "source_count", "record_count")})
+    counted = e.join(entity_counts(tables, flags), e["id"] == F.col("entity_id"), "left").drop("entity_id")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("event_count", "source_count", "record_count")}
+    return counted.withColumns(zero | {c: F.coalesce(c, F.lit(False)) for c in flags or {}})
 
 
 def search_entities(tables: dict[str, DataFrame], predicate: Predicate | None = None) -> DataFrame:
-    """entities() that satisfy a predicate; the events are only gathered if it reads them."""
-    out = entities(tables)
+    """entities() that satisfy a predicate."""
     if predicate is None:
-        return out
-    if predicate.reads_events:
-        out = out.join(entity_events(tables), out["id"] == F.col("entity_id"), "left").drop("entity_id").withColumn("events", F.coalesce("events", F.array().cast("array<struct<event_name:string,event_year:int>>")))
-    return out.filter(predicate.condition).drop("events")
+        return entities(tables)
+    return entities(tables, predicate.events).filter(predicate.condition).drop(*predicate.events)
 
 
 def entity_page(tables: dict[str, DataFrame], predicate: Predicate | None = None, page: int = 1, size: int = PAGE) -> DataFrame:

@@ -28,15 +28,16 @@ COLUMNS = {**{c: "text" for c in TEXT_COLUMNS}, "event_name": "text", "event_yea
 
 @dataclass
 class Predicate:
-    """A condition over an entity with `events` (array of event_name, event_year) and `event_count`; what went into it and what didn't."""
+    """A condition over an entity's columns, event_count and the flags in `events`; what went into it and what didn't.
+
+    events: by flag, a condition over one record's event_name and event_year; the flag says whether some record of the
+    entity satisfies it, so it is one more maximum in the aggregate that counts the entity's events.
+    """
 
     condition: Column
     applied: list[dict] = field(default_factory=list)
     rejected: list[tuple[dict, str]] = field(default_factory=list)
-
-    @property
-    def reads_events(self) -> bool:
-        return any(f["column"] in ("event_name", "event_year") for f in self.applied)
+    events: dict[str, Column] = field(default_factory=dict)
 
 
 def column_ids() -> list[str]:
@@ -55,10 +56,6 @@ def _number(value: str) -> float | None:
     return x if math.isfinite(x) else None
 
 
-def _some_event(column: str, test: Callable[[Column, object], Column], value: object) -> Column:
-    return F.exists("events", lambda e: F.coalesce(test(e[column], value), F.lit(False)))
-
-
 def build(filters: Sequence[dict], logic: str = "AND") -> Predicate:
     """Each filter {column, operator, value} is checked and becomes a clause; clauses on events hold if some event of the entity satisfies them.
 
@@ -82,7 +79,9 @@ def build(filters: Sequence[dict], logic: str = "AND") -> Predicate:
             literal = _number(value) if kind == "number" else value
             test = OPERATORS[name][1]
             if column in ("event_name", "event_year"):
-                clause = _some_event(column, test, literal)
+                flag = f"_event{len(out.events)}"
+                out.events[flag] = F.coalesce(test(F.col(column), literal), F.lit(False))
+                clause = F.col(flag)
             else:
                 clause = test(F.col(column), literal)
             clauses.append(F.coalesce(clause, F.lit(False)))

@@ -155,6 +155,24 @@ def token_likeness(a: str, b: str) -> float:
 NONE, WEAK, STRONG = 0, 1, 2
 
 
+def _hopeless(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
+    """Whether some token of the shorter name a surely has no counterpart in b: a cheap test before the matching."""
+    rest = list(b)
+    alone = []
+    for t in a:
+        if t in rest:
+            rest.remove(t)
+        else:
+            alone.append(t)
+    if len(alone) > 2 and sum(len(t) > 1 for t in alone) > 2 and not any(len(t) == 1 for t in b):
+        return True
+    for t in alone:
+        if not any(token_likeness(t, u) for u in rest) and not (len(t) == 1 and any(u[0] == t for u in b)):
+            # One token that differs in a letter or order only is left to the weights.
+            return not (len(alone) == 1 and len(a) == len(b) and any(distance_one(t, u) or sorted(t) == sorted(u) for u in rest))
+    return False
+
+
 def compare_names(a: tuple[str, ...], b: tuple[str, ...], wa: tuple[float, ...] | None = None, wb: tuple[float, ...] | None = None) -> tuple[int, float]:
     """(class, score): soft weighted token likeness of two names.
 
@@ -164,7 +182,7 @@ def compare_names(a: tuple[str, ...], b: tuple[str, ...], wa: tuple[float, ...]
     """
     if len(a) > len(b):
         a, b, wa, wb = b, a, wb, wa
-    if not a:
+    if not a or _hopeless(a, b):
         return NONE, 0.0
     wa, wb = wa or (1.0,) * len(a), wb or (1.0,) * len(b)
     free, pairs = set(range(len(b))), []
@@ -206,9 +224,16 @@ def compare_names(a: tuple[str, ...], b: tuple[str, ...], wa: tuple[float, ...]
 
 def name_grams(tokens: tuple[str, ...]) -> list[str]:
     """Order-free 2-grams of tokens, the second reduced to its initial so that abbreviated names meet full ones; long tokens also alone."""
-    full = []
-    for t in tokens:
-        full.append((t, tuple({t[0], *(x[0] for x in NICKNAMES.get(t, "").split())})))
-    grams = {f"{t}\x1f{c}" for i, (t, _) in enumerate(full) if len(t) > 1 for j, (_, cs) in enumerate(full) if i != j for c in cs}
-    grams |= {f"{x}\x1f{c}" for i, (t, _) in enumerate(full) for x in NICKNAMES.get(t, "").split() for j, (_, cs) in enumerate(full) if i != j for c in cs}
-    return sorted(grams | {t for t, _ in full if len(t) >= 7 and not SYLLABLE.fullmatch(t)})
+    grams = {}
+    for i, t in enumerate(tokens):
+        if len(t) > 1:
+            forms = (t, *NICKNAMES[t].split()) if t in NICKNAMES else (t,)
+            for j, u in enumerate(tokens):
+                if i != j:
+                    firsts = (u[0], *(x[0] for x in NICKNAMES[u].split())) if u in NICKNAMES else (u[0],)
+                    for form in forms:
+                        for first in firsts:
+                            grams[f"{form}\x1f{first}"] = None
+            if len(t) >= 7 and not SYLLABLE.fullmatch(t):
+                grams[t] = None
+    return list(grams)

@@ -74,9 +74,11 @@ def _best(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
                     i, last = spans_of[source]
                     sims[n, i[last >= row]] = -9
                 sims[n, [at[g] for g in (gone if gone is not None else ()) if g in at]] = -9
-            top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+            # All that reach the k-th best, so that ties go to the smaller id.
+            least = np.partition(sims, -k, axis=1)[:, -k] if sims.shape[1] > k else np.full(len(sims), -9.0)
             for n, rid in enumerate(part["record_id"]):
-                out += [(rid, names[j], sims[n, j]) for j in top[n] if sims[n, j] > -9]
+                near = np.flatnonzero((sims[n] >= least[n]) & (sims[n] > -9))
+                out += [(rid, names[j], sims[n, j]) for j in near[np.argsort(-sims[n, near], kind="stable")][:k]]
         return pd.DataFrame(out, columns=columns)
 
     return run

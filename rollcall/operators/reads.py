@@ -10,12 +10,23 @@ from pyspark.sql import functions as F
 
 from rollcall.functions.dates import display_date
 from rollcall.functions.scores import percent, score_band
-from rollcall.functions.text import null_to_blank
+from rollcall.functions.text import as_column, null_to_blank
 from rollcall.operators.search import Predicate
 
 PAGE, QUEUE = 25, 50
-# Labels of sources and fields.
-SOURCE_LABELS = {"local_upload": "Tệp tải lên", "google_sheets": "Google Sheets", "google_drive_xlsx": "Google Drive (.xlsx)"}
+# Labels of sources, of fields that differ, and of fields to choose from.
+SOURCE_LABELS = {"google_sheets": "Google Sheets", "google_drive_xlsx": "Drive (.xlsx)", "local_upload": "Tải lên"}
+FIELD_LABELS = {"full_name": "Họ và tên", "organization": "Đơn vị", "role_title": "Chức danh", "email": "Email", "phone": "Điện thoại"}
+FIELD_OPTIONS = {
+    "full_name": "Họ và tên", "organization": "Đơn vị / Công ty", "role_title": "Chức danh / Vai trò", "email": "Địa chỉ Email", "phone": "Số điện thoại",
+    "event_name": "Tên sự kiện", "event_date": "Ngày diễn ra", "notes": "Ghi chú", "ignore": "Bỏ qua cột này",
+}
+
+
+def label(c: Column | str, labels: dict[str, str]) -> Column:
+    """The label of a value, the value itself if it has none."""
+    v = as_column(c)
+    return F.coalesce(F.create_map(*(F.lit(x) for kv in labels.items() for x in kv))[v], v)
 
 
 def links(tables: dict[str, DataFrame]) -> DataFrame:
@@ -128,5 +139,4 @@ def statistics_by_type(tables: dict[str, DataFrame]) -> DataFrame:
     """(organization_id, source_type, label, files, records); sources without records count none."""
     s = tables["sources"].select(F.col("id").alias("source_id"), "organization_id", "source_type")
     counts = tables["raw_records"].groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
-    label = F.coalesce(F.create_map(*(F.lit(x) for kv in SOURCE_LABELS.items() for x in kv))[F.col("source_type")], F.col("source_type"))
-    return s.join(counts, "source_id", "left").groupBy("organization_id", "source_type").agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("records")).withColumn("label", label)
+    return s.join(counts, "source_id", "left").groupBy("organization_id", "source_type").agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("records")).withColumn("label", label("source_type", SOURCE_LABELS))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rollcall import schemas
+from rollcall.functions.scores import l2_normalize
 from rollcall.functions.text import blank_to_null, stable_id
 from rollcall.operators import retrieval
 from rollcall.session import cut
@@ -83,6 +84,10 @@ class Snapshots:
             self._fs.delete(self._path(f"CURRENT-{old}"), False)
         return self.load()
 
+    def drop(self) -> None:
+        """Deletes all versions."""
+        self._fs.delete(self._path(""), True)
+
     def load(self, version: int | None = None) -> State:
         version = version or self.current()
         if version is None:
@@ -117,14 +122,15 @@ def enriched(entities: DataFrame, values: DataFrame) -> DataFrame:
     return joined.withColumns({p: F.coalesce(blank_to_null(p), blank_to_null("_" + c)) for p, c in fields.items()}).select(*entities.columns)
 
 
-def centroids(links: DataFrame, records: DataFrame) -> DataFrame:
-    """(entity_id, centroid): the mean of the linked records' vectors, not normalised; entities without any vector are left out.
+def centroids(links: DataFrame, records: DataFrame, unit: bool = False) -> DataFrame:
+    """(entity_id, centroid): the mean of the linked records' vectors, at length one if asked for; entities without any vector are left out.
 
     Summed per position with map-side combination, so an entity with very many records is no hot group.
     """
     v = links.select("raw_record_id", F.col("canonical_entity_id").alias("entity_id")).distinct().join(records.select(F.col("id").alias("raw_record_id"), "embedding"), "raw_record_id").filter("embedding is not null")
     mean = v.select("entity_id", F.posexplode("embedding").alias("at", "x")).groupBy("entity_id", "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return mean.groupBy("entity_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda p: p["x"]).alias("centroid"))
+    out = mean.groupBy("entity_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda p: p["x"]).alias("centroid"))
+    return out.withColumn("centroid", l2_normalize("centroid")) if unit else out
 
 
 def _one(state: State, suggestion_id: str, tenant: str):

@@ -153,7 +153,7 @@ def stats_by_tenant(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "SELECT s.organization_id, s.source_type, count(DISTINCT s.id) AS files, count(r.id) AS records, CASE s.source_type WHEN 'local_upload' THEN 'Tệp tải lên' WHEN 'google_sheets' THEN 'Google Sheets' WHEN 'google_drive_xlsx' THEN 'Google Drive (.xlsx)' ELSE s.source_type END AS label FROM sources s LEFT JOIN raw_records r ON r.source_id = s.id GROUP BY 1, 2"
+    "SELECT s.organization_id, s.source_type, count(DISTINCT s.id) AS files, count(r.id) AS records, CASE s.source_type WHEN 'local_upload' THEN 'Tải lên' WHEN 'google_sheets' THEN 'Google Sheets' WHEN 'google_drive_xlsx' THEN 'Drive (.xlsx)' ELSE s.source_type END AS label FROM sources s LEFT JOIN raw_records r ON r.source_id = s.id GROUP BY 1, 2"
 )
 def stats_by_source_type(spark: SparkSession, d: str) -> DataFrame:
     return reads.statistics_by_type(tables(spark, d))
@@ -476,6 +476,13 @@ def sheet_numbers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_quantity") == F.floor("l_quantity"), text.number_text("l_quantity")).alias("quantity"))
 
 
+@query("WITH m AS (SELECT unnest(map_entries(field_mapping)) AS e FROM sources) SELECT e.key AS header, e.value AS field, CASE e.value " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in reads.FIELD_OPTIONS.items()) + " ELSE e.value END AS label, count(*) AS files FROM m GROUP BY ALL")
+def mapped_headers(spark: SparkSession, d: str) -> DataFrame:
+    """How many files map a header to a field, with the field's label."""
+    m = table(spark, d, "sources").select(F.explode("field_mapping").alias("header", "field"))
+    return m.groupBy("header", "field").agg(F.count(F.lit(1)).alias("files")).withColumn("label", reads.label("field", reads.FIELD_OPTIONS))
+
+
 HEADERS = ["Khách", "", "Ghi chú", "Ghi chú"]
 
 

@@ -3,7 +3,7 @@ import zipfile
 import pytest
 
 from rollcall.operators import models
-from rollcall.sources import grid, readers, xlsx
+from rollcall.sources import grid, readers, staging, xlsx
 
 
 def workbook(path, rows):
@@ -69,3 +69,15 @@ def test_models():
 
     assert models.call_json(ask, sleep=waits.append) == {"a": 1} and waits == [0.4, 0.8]
     assert len(models.translate("x", None).applied) == 4
+
+
+def test_staging(spark):
+    now = [0.0]
+    store = staging.Staging(lambda: now[0])
+    headers, rows = grid.from_python(spark, ["Tên"], [["A"]])
+    token = store.put("t", "DS", headers, rows, {})
+    assert store.get(token, "t").headers == ["Tên"] and store.get(token, "u") is None and store.get("x", "t") is None
+    now[0] = staging.TTL + 1
+    assert store.get(token, "t") is None and store.reap() == 1
+    with pytest.raises(ValueError):
+        store.put("t", "DS", headers, spark.range(5001).selectExpr("cast(id as int) row_number", "array('a') cells"), {})

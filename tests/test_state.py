@@ -93,6 +93,8 @@ def test_snapshots(spark, st, tmp_path):
     one = snaps.save(st)
     two = snaps.save(replace(one, sources=one.sources.filter("id = 's1'")))
     assert (one.version, two.version, snaps.current()) == (1, 2, 2) and snaps.load(1).sources.count() == 3
+    snaps.drop()
+    assert snaps.current() is None
 
 
 def test_import_batch_and_stream(spark, tmp_path):
@@ -115,6 +117,12 @@ def test_embedding_checks(spark):
         state.embedded(r, lambda ts: [[1.0] for _ in ts], 2).collect()
 
 
+def test_centroids(st):
+    links = st.raw_to_canonical.withColumn("canonical_entity_id", F.lit("e"))
+    assert [round(x, 4) for x in state.centroids(links, st.raw_records).first()["centroid"]] == [0.6667, 0.3667]
+    assert sum(x * x for x in state.centroids(links, st.raw_records, unit=True).first()["centroid"]) == pytest.approx(1)
+
+
 def test_components_are_transitive(spark):
     nodes = spark.createDataFrame([(c,) for c in "abcdz"], "source_id string")
     edges = [("a", "b"), ("c", "d"), ("b", "c")]

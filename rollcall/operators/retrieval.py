@@ -21,6 +21,8 @@ from rollcall.functions.text import blank_to_null, digits_only, null_to_blank, s
 from rollcall.session import shuffle_width
 
 TOP, IDENTIFIERS = 5, 5
+#: Oldest entities of a shared address or number a record meets before the rest.
+FIRST = 64
 #: Vectors of either side a task holds at once.
 BLOCK = 4096
 VERDICTS = "record_id string, entity_id string, verdict boolean, confidence double, reasoning string"
@@ -108,19 +110,37 @@ def candidates_by_vector(tables: dict[str, DataFrame], records: DataFrame, k: in
     return found.withColumn("_rank", rank).filter((F.col("_rank") <= k) & (F.col("similarity") >= floor)).drop("_rank")
 
 
-def candidates_by_identifier(tables: dict[str, DataFrame], records: DataFrame, limit: int = IDENTIFIERS) -> DataFrame:
+def _identifiers(df: DataFrame, email: str, phone: str, *columns) -> DataFrame:
+    """One row per row and key: the lower-case address, the digits of the number."""
+    mail, number = F.lower(blank_to_null(email)), blank_to_null(digits_only(null_to_blank(phone)))
+    keys = F.array_compact(F.array(F.concat(F.lit("e:"), mail), F.concat(F.lit("p:"), number)))
+    return df.select(*columns, "organization_id", F.explode(keys).alias("key"))
+
+
+def candidates_by_identifier(tables: dict[str, DataFrame], records: DataFrame, limit: int = IDENTIFIERS, first: int = FIRST) -> DataFrame:
     """(record_id, entity_id, similarity 1): entities of the tenant with the record's address or number; the oldest `limit` per record.
 
-    Two equi-joins united; a join on either key would compare all pairs. The type of the entity doesn't matter.
+    Equi-joins on the keys; a join on either column would compare all pairs. The type of the entity doesn't matter. A
+    record meets the `first` oldest entities of a key only, so a key a third of all rows share costs no pair of each with
+    each; records whose conditions leave fewer than `limit` of those meet the key's other entities too, which is exact.
     """
-    cur = records.select(F.col("id").alias("record_id"), "organization_id", "source_id", "row_number", F.lower(blank_to_null("email")).alias("email"), blank_to_null(digits_only(null_to_blank("phone"))).alias("phone"))
-    ent = tables["canonical_entities"].select(F.col("id").alias("entity_id"), "organization_id", "created_at", F.lower(blank_to_null("primary_email")).alias("email"), blank_to_null(digits_only(null_to_blank("primary_phone"))).alias("phone"))
-    parts = [cur.filter(F.col(key).isNotNull()).select("record_id", "organization_id", "source_id", "row_number", key).join(ent.filter(F.col(key).isNotNull()).select("entity_id", "organization_id", "created_at", key), ["organization_id", key]).drop(key) for key in ("email", "phone")]
-    hits = parts[0].unionByName(parts[1]).distinct().join(excluded_pairs(tables), ["record_id", "entity_id"], "left_anti")
+    cur = _identifiers(records, "email", "phone", F.col("id").alias("record_id"), "source_id", "row_number")
+    ent = _identifiers(tables["canonical_entities"], "primary_email", "primary_phone", F.col("id").alias("entity_id"), "created_at")
     late = later_rows(tables).withColumnsRenamed({"entity_id": "_e", "source_id": "_s"})
-    hits = hits.join(late, (F.col("entity_id") == F.col("_e")) & (F.col("source_id") == F.col("_s")) & (F.col("last_row") >= F.col("row_number")), "left_anti")
+    barred = excluded_pairs(tables)
+
+    def allowed(asked: DataFrame, entities: DataFrame) -> DataFrame:
+        hits = asked.join(entities, ["organization_id", "key"]).join(barred, ["record_id", "entity_id"], "left_anti")
+        return hits.join(late, (F.col("entity_id") == F.col("_e")) & (F.col("source_id") == F.col("_s")) & (F.col("last_row") >= F.col("row_number")), "left_anti").select("record_id", "key", "entity_id", "created_at")
+
+    oldest = ent.withColumn("_n", F.row_number().over(Window.partitionBy("organization_id", "key").orderBy("created_at", "entity_id"))).filter(F.col("_n") <= first).drop("_n")
+    hot = ent.groupBy("organization_id", "key").agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") > first).select("organization_id", "key")
+    hits = allowed(cur, oldest)
+    enough = hits.groupBy("record_id", "key").agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") >= limit).select("record_id", "key")
+    short = cur.join(hot, ["organization_id", "key"], "left_semi").join(enough, ["record_id", "key"], "left_anti")
+    every = hits.unionByName(allowed(short, ent)).select("record_id", "entity_id", "created_at").distinct()
     rank = F.row_number().over(Window.partitionBy("record_id").orderBy("created_at", "entity_id"))
-    return hits.withColumn("_rank", rank).filter(F.col("_rank") <= limit).select("record_id", "entity_id", F.lit(1.0).alias("similarity"))
+    return every.withColumn("_rank", rank).filter(F.col("_rank") <= limit).select("record_id", "entity_id", F.lit(1.0).alias("similarity"))
 
 
 def shortlist(by_vector: DataFrame, by_identifier: DataFrame) -> DataFrame:

@@ -70,6 +70,20 @@ def test_batch_equals_loop(spark, st):
     assert got[("r3", "e1")] == pytest.approx(1 / (1.01**0.5)) and len(got) == 2
 
 
+@pytest.mark.parametrize("first", [1, 3, 64])
+def test_hot_identifier_is_exact(spark, st, first):
+    entities = rows(spark, "canonical_entities", *({"id": f"h{i:02}", "primary_email": "Office@x.vn", "created_at": T0 + dt.timedelta(days=i % 7)} for i in range(20)))
+    records = rows(spark, "raw_records", *({"id": f"q{i}", "source_id": "s9", "row_number": i, "email": "office@X.vn"} for i in range(3)))
+    said = rows(spark, "merge_suggestions", *({"id": f"m{i}", "canonical_entity_id": f"h{i:02}", "candidate_raw_record_id": "q1", "status": "rejected"} for i in (0, 7, 14, 1)))
+    tables = st.tables | {"canonical_entities": entities, "raw_records": records, "merge_suggestions": said}
+    got = {}
+    for r in retrieval.candidates_by_identifier(tables, records, first=first).collect():
+        got.setdefault(r["record_id"], set()).add(r["entity_id"])
+    order = sorted(range(20), key=lambda i: (i % 7, i))
+    assert got["q0"] == {f"h{i:02}" for i in order[:5]}
+    assert got["q1"] == {f"h{i:02}" for i in [i for i in order if i not in (0, 7, 14, 1)][:5]}
+
+
 def test_scoring_rejects_before_floor(spark):
     short = spark.createDataFrame([("r", "a", 0.9, 0), ("r", "b", 0.9, 1), ("r", "c", 0.1, 2)], "record_id string, entity_id string, similarity double, candidate_index int")
     v = spark.createDataFrame([("r", "a", True, 0.9, ""), ("r", "b", False, 0.8, ""), ("r", "c", False, 0.7, "")], "record_id string, entity_id string, verdict boolean, confidence double, reasoning string")

@@ -444,7 +444,26 @@ def blocking_keys(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "raw_records").select("id", text.blocking_key("full_name").alias("blocking_key"))
 
 
-@query()
+def _built(y: str, m: str, d: str) -> str:
+    return f"CASE WHEN {y} BETWEEN 1900 AND 2200 AND {m} BETWEEN 1 AND 12 AND {d} BETWEEN 1 AND 31 THEN try_strptime(printf('%04d-%02d-%02d', {y}, {m}, {d}), '%Y-%m-%d')::DATE END"
+
+
+def _part(v: str, pattern: str, group: int) -> str:
+    return f"try_cast(regexp_extract({v}, '{pattern}', {group}) AS INT)"
+
+
+_ISO, _DMY, _VN = "^(\\d{4})-(\\d{1,2})-(\\d{1,2})", "^(\\d{1,2})[/\\-.](\\d{1,2})[/\\-.](\\d{2,4})", "(\\d{1,2})\\s*thang\\s*(\\d{1,2})\\s*(?:nam\\s*)?(\\d{4})"
+
+
+@query(
+    f"""WITH x AS (SELECT id, trim(regexp_replace(coalesce(event_date_raw, ''), '\\s+', ' ', 'g')) AS v FROM raw_records), f AS (SELECT *, lower(replace(replace(strip_accents(v), 'đ', 'd'), 'Đ', 'D')) AS w FROM x),
+p AS (SELECT *, {_part('v', _DMY, 1)} AS d, {_part('v', _DMY, 2)} AS m, {_part('v', _DMY, 3)} AS y0 FROM f), q AS (SELECT *, CASE WHEN y0 < 70 THEN y0 + 2000 WHEN y0 < 100 THEN y0 + 1900 ELSE y0 END AS y FROM p)
+SELECT id, CASE WHEN regexp_matches(v, '^\\d{{5}}(\\.\\d+)?$') THEN CASE WHEN {_part('v', '^(\\d+)', 1)} BETWEEN 1 AND 100000 THEN DATE '1899-12-30' + {_part('v', '^(\\d+)', 1)} END
+  WHEN regexp_matches(v, '{_ISO}') THEN {_built(*(_part('v', _ISO, g) for g in (1, 2, 3)))}
+  WHEN regexp_matches(v, '{_DMY}') THEN CASE WHEN m > 12 AND d <= 12 THEN {_built('y', 'd', 'm')} ELSE {_built('y', 'm', 'd')} END
+  WHEN regexp_matches(w, '{_VN}') THEN {_built(*(_part('w', _VN, g) for g in (3, 2, 1)))}
+  ELSE coalesce(try_strptime(v, '%Y/%m/%d'), try_strptime(v, '%d %b %Y'), try_strptime(v, '%b %d, %Y'))::DATE END AS event_date FROM q"""
+)
 def event_dates(spark: SparkSession, d: str) -> DataFrame:
     """The day each text means by the rules of the importer (not those of problem 6)."""
     return table(spark, d, "raw_records").select("id", dates.event_date("event_date_raw").alias("event_date"))

@@ -522,14 +522,14 @@ IMPORT_AS_OF = "2026-06-01"
 
 @query()
 def import_counters(spark: SparkSession, d: str) -> DataFrame:
-    """Counters of importing all incoming rows as one file into the current state."""
+    """Counters of importing all incoming rows into the current state, a file per tenant; summed over the tenants."""
     i = table(spark, d, "incoming_records")
     now = F.lit(IMPORT_AS_OF).cast("timestamp")
     names = {f.name: f.dataType for f in schemas.RECORDS}
-    records = i.filter(F.col("organization_id") == TENANT).select("id", "organization_id", "full_name", "organization", "role_title", "email", "phone", "normalized_text")
-    records = records.withColumns({"source_id": F.lit("incoming"), "row_number": F.pmod(F.xxhash64("id"), F.lit(1 << 30)).cast("int"), "raw_data": F.create_map(F.lit("name"), text.null_to_blank("full_name")), "created_at": now})
+    records = i.select("id", "organization_id", "full_name", "organization", "role_title", "email", "phone", "normalized_text")
+    records = records.withColumns({"source_id": F.concat(F.lit("incoming-"), "organization_id"), "row_number": F.pmod(F.xxhash64("id"), F.lit(1 << 30)).cast("int"), "raw_data": F.create_map(F.lit("name"), text.null_to_blank("full_name")), "created_at": now})
     records = records.withColumns({n: F.lit(None).cast(k) for n, k in names.items() if n not in records.columns})
-    source = spark.range(1).select(F.lit("incoming").alias("id"), F.lit(TENANT).alias("organization_id"), F.lit("incoming.xlsx").alias("name"), F.lit("local_upload").alias("source_type"), F.lit(None).cast("string").alias("external_file_id"), F.lit(None).cast("string").alias("imported_by"), now.alias("imported_at"), F.create_map(F.lit("name"), F.lit("full_name")).alias("field_mapping"))
+    source = i.select("organization_id").distinct().select(F.concat(F.lit("incoming-"), "organization_id").alias("id"), "organization_id", F.lit("incoming.xlsx").alias("name"), F.lit("local_upload").alias("source_type"), F.lit(None).cast("string").alias("external_file_id"), F.lit(None).cast("string").alias("imported_by"), now.alias("imported_at"), F.create_map(F.lit("name"), F.lit("full_name")).alias("field_mapping"))
     return state.import_batch(_state(spark, d), source, records, IMPORT_AS_OF)[1]
 
 

@@ -34,6 +34,8 @@ TABLES = {
     "members": ("vertex", ("vertex", "row_id")),
     "paragraphs": ("key", ("key", "vertex", "size")),
     "contacts": ("contact", ("contact", "vertex", "words")),
+    "links": ("a", ("a", "b")),
+    "groups": ("vertex", ("vertex", "label", "batch")),
 }
 
 
@@ -44,6 +46,7 @@ class History:
     spark: SparkSession
     name: str = field(default_factory=lambda: "history_" + uuid.uuid4().hex[:12])
     buckets: int = 0
+    batches: int = 0
 
     def __post_init__(self) -> None:
         self.buckets = self.buckets or min(4096, shuffle_width(self.spark))
@@ -59,6 +62,15 @@ class History:
     def read(self, part: str) -> DataFrame:
         return self.spark.table(self._table(part))
 
+    def add_groups(self, edges: DataFrame) -> None:
+        """The connected classes of edges (a, b), which hold every edge of their groups."""
+        self.add("groups", people.components(edges).withColumn("batch", F.lit(self.batches)))
+        self.batches += 1
+
+    def groups(self) -> DataFrame:
+        """(vertex, label): the latest group of each class that has an alike one."""
+        return self.read("groups").groupBy("vertex").agg(F.max_by("label", "batch").alias("label"))
+
 
 def _placed(rows: DataFrame, history: History | None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows with employers and vertices, and the spellings and types that are new."""
@@ -91,14 +103,33 @@ def start(rows: DataFrame) -> History:
     placed, spelt, kinds = _placed(rows, None)
     for part, df in {"cores": spelt, "kinds": kinds, **_hashes(placed)}.items():
         history.add(part, df)
+    nodes = history.read("nodes")
+    history.add("links", _alike(nodes, people.employer_candidates(history.read("paragraphs")), False))
+    shared = _alike(nodes, people.contact_candidates(history.read("contacts")), True).select("a", "b")
+    history.add_groups(history.read("links").unionByName(shared).unionByName(people.namesake_candidates(nodes)))
     return history
 
 
+def _alike(nodes: DataFrame, pairs: DataFrame, contact: bool) -> DataFrame:
+    return people.verified(nodes, pairs.withColumn("contact", F.lit(contact)))
+
+
+def _beside(pairs: DataFrame, mine: DataFrame) -> DataFrame:
+    """The pairs (a, b) with one of `mine` at least."""
+    a, b = (mine.select(F.col("vertex").alias(x), F.lit(True).alias("_" + x)) for x in "ab")
+    return pairs.join(a, "a", "left").join(b, "b", "left").filter("_a or _b").select("a", "b")
+
+
 def _touched(old: DataFrame, new: DataFrame, on: str) -> DataFrame:
     """Entries of history whose hash the batch has, with the batch's own."""
     return old.join(new.select(on).distinct(), on, "left_semi").unionByName(new.select(*old.columns))
 
 
+def _one(old: DataFrame, new: DataFrame) -> DataFrame:
+    """A row per name class of history's and the batch's."""
+    return cut(old.unionByName(new.select(*old.columns)).groupBy("vertex").agg(*(F.first(c).alias(c) for c in ("tenant", "employer", "words", "text", "weights"))))
+
+
 def match(history: History, batch: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
     """((row_a, row_b), what append() takes): pairings of a batch's rows with history's and each other."""
     placed, spelt, kinds = _placed(batch, history)
@@ -109,11 +140,23 @@ def match(history: History, batch: DataFrame) -> tuple[DataFrame, dict[str, Data
     old_nodes = history.read("nodes").filter("words is not null")
     probe = new["nodes"].select("tenant", "words").distinct()
     near = paragraphs.select("vertex").unionByName(contacts.select("vertex")).distinct()
-    nodes = old_nodes.join(near, "vertex", "left_semi").unionByName(old_nodes.join(probe, ["tenant", "words"], "left_semi").select(*old_nodes.columns)).unionByName(new["nodes"].select(*old_nodes.columns))
-    nodes = cut(nodes.groupBy("vertex").agg(*(F.first(c).alias(c) for c in ("tenant", "employer", "words", "text", "weights"))))
-    org = people.employer_candidates(paragraphs).withColumn("contact", F.lit(False))
+    nodes = _one(old_nodes.join(near, "vertex", "left_semi").unionByName(old_nodes.join(probe, ["tenant", "words"], "left_semi").select(*old_nodes.columns)), new["nodes"])
+    mine = new["nodes"].select("vertex")
+    seen = cut(_alike(nodes, _beside(people.employer_candidates(paragraphs), mine), False).select("a", "b"))
+    shared = _alike(nodes, people.contact_candidates(contacts), True).select("a", "b")
+    met = cut(seen.unionByName(shared).unionByName(_beside(people.namesake_candidates(nodes), mine)))
+    touched = mine.union(met.select("a")).union(met.select("b")).distinct()
+    groups = cut(history.groups())
+    whole = groups.join(groups.join(touched, "vertex", "left_semi").select("label").distinct(), "label", "left_semi").select("vertex")
+    whole = cut(whole.unionByName(touched).distinct())
+    nodes = _one(old_nodes.join(whole, "vertex", "left_semi"), new["nodes"])
+    used = history.read("contacts")
+    contacts = cut(_touched(used, used.join(whole, "vertex", "left_semi").select(*used.columns).unionByName(new["contacts"].select(*used.columns)), "contact").distinct())
+    org = history.read("links").join(whole.withColumnRenamed("vertex", "a"), "a", "left_semi").select("a", "b").unionByName(seen).withColumn("contact", F.lit(False))
     pairs = org.unionByName(people.contact_candidates(contacts).withColumn("contact", F.lit(True))).groupBy("a", "b").agg(F.max("contact").alias("contact"))
-    labels = people.decided(cut(people.verified(nodes, pairs)), people.namesake_candidates(nodes))
+    found, namesakes = cut(people.verified(nodes, pairs)), people.namesake_candidates(nodes)
+    labels = people.decided(found, namesakes)
+    new |= {"links": seen, "edges": found.select("a", "b").unionByName(namesakes)}
     mine = new["members"].select("vertex").distinct().join(labels, "vertex", "left").select("vertex", F.coalesce("label", "vertex").alias("label"))
     every = labels.unionByName(mine).distinct()
     wanted = every.join(mine.select("label").distinct(), "label", "left_semi")
@@ -131,8 +174,9 @@ def append(history: History, new: dict[str, DataFrame]) -> None:
     fresh = cut(new["nodes"].select("vertex").join(known, "vertex", "left_anti"))
     for part in ("nodes", "paragraphs"):
         history.add(part, new[part].join(fresh, "vertex", "left_semi"))
-    for part in ("cores", "kinds", "members", "contacts"):
+    for part in ("cores", "kinds", "members", "contacts", "links"):
         history.add(part, new[part])
+    history.add_groups(new["edges"])
 
 
 def as_rows(records: DataFrame) -> DataFrame:

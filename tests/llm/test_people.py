@@ -63,6 +63,35 @@ def test_batches_equal_one_go(spark):
     assert one == {tuple(sorted(p)) for p in [(m, a) for m in ("m1", "m2") for a in ("a1", "a2", "a3", "a4")] + [("m1", "m2")] + [("a1", a) for a in ("a2", "a3", "a4")]}
 
 
+def joint_pairs(spark, old, new):
+    """Pairings of new rows by one run of the classes over all rows."""
+    rows = people.classes(history.as_rows(spark.createDataFrame(old + new, COLUMNS))).filter("kind = 'person'").collect()
+    fresh = {r[0] for r in new}
+    return {(x.row_id, y.row_id) for x in rows for y in rows if x.class_id == y.class_id and x.row_id < y.row_id and {x.row_id, y.row_id} & fresh}
+
+
+def chain():
+    old = [("a", "t", "Trần Khánh Hưng", "Trung tâm Fisubudedo", "hung.tran@mail.example", None), ("b", "t", "Trần Khánh Hưng", "Đại học Kokobarabi", "hung.tran@mail.example", None)]
+    old += [("s", "t", "Lê Việt", "Viện Mosatuline", None, None), ("l1", "t", "Lê Gia Việt", "Viện Mosatuline", None, None), ("l2", "t", "Lê Văn Việt", "Viện Mosatuline", None, None)]
+    return old, [("n1", "t", "Trần Khánh Hưng", "Trung tâm Fisubudedo", None, None), ("n2", "t", "Lê Gia Việt", "Viện Mosatuline", None, None)]
+
+
+def test_history_links_of_old_rows_hold(spark):
+    old, new = chain()
+    found = {tuple(r) for r in history.batch_pairs(spark.createDataFrame(old, COLUMNS), spark.createDataFrame(new, COLUMNS)).collect()}
+    assert found == joint_pairs(spark, old, new) == {("a", "n1"), ("b", "n1"), ("l1", "n2")}
+
+
+def test_history_links_of_appended_rows_hold(spark):
+    old, new = chain()
+    h, many = history.start(history.as_rows(spark.createDataFrame(old[:1] + old[2:], COLUMNS))), set()
+    for part in (old[1:2], new):
+        found, hashes = history.match(h, history.as_rows(spark.createDataFrame(part, COLUMNS)))
+        many |= {tuple(x) for x in found.collect()}
+        history.append(h, hashes)
+    assert many == {("a", "b"), ("a", "n1"), ("b", "n1"), ("l1", "n2")}
+
+
 def test_empty_history_and_batch(spark):
     some, none = spark.createDataFrame(ROWS, COLUMNS), spark.createDataFrame([], COLUMNS)
     assert history.batch_pairs(some, none).count() == 0

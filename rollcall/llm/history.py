@@ -1,42 +1,62 @@
 """Problem 4: deduplicating new batches against all history.
 
-History is kept as hash tables in the shared folder, bucketed by hash: one content hash per name class (tenant,
-employer and folded name words of normalised content; equal hashes are full copies), paragraph hashes (the token
-q-grams of the name within its employer), contact hashes (personal e-mail and phone), the members of each class, and
-the spellings of organisations. A batch is hashed the same way. Bucket-local semi-joins pick the entries of history
-whose hashes the batch has; only these are paired with the batch, by full copy or by the share of paragraph hashes they
-have in common, and an exact comparison of the names follows. Then the batch's hashes are appended. Neither matching
-nor appending rewrites or rescans the records of history; the exchange is on the batch's side only.
+History is kept as hash tables in the shared folder, bucketed by the hash they are probed with, and append-only; what can
+change is kept as counts that are added up. For a batch, bucket-local semi-joins pick the entries whose hashes it has:
 
-The decision rules are those of people.py: the same name at the same employer, or with a shared personal contact;
-abbreviations with a shared contact or if they fit one person only. Rows that name no one have no pairs.
+* content: the hash of a row's normalised text, and of each of its paragraphs (parts): full copies and coverage (copies());
+* the vertex of people.py: the hash of tenant, employer and name words, so equal ones are copies of a person's entry;
+* its paragraphs: q-grams of the name within the employer, and the whole name within the tenant;
+* contacts: e-mail address and phone number.
+
+Only vertices and contacts that are new are compared with what they meet. Pairs of alike names are kept, and so is the
+group (connected component of alike pairs) of every vertex. A batch is decided by the rules of people.py on the whole
+groups it touches: groups are independent of each other, so each decision is that of a joint run over all rows so far.
+Everything a decision uses covers all rows so far: tokens and employers' spellings are counted in tables of their own. If
+a batch changes which employer an old spelling or type belongs to, the rows of that spelling are read again and move.
+
+match() returns the pairings a batch establishes: of its own rows, and of earlier rows (at least one of a batch) whose
+persons turn out to be one. So whatever the cuts, after each batch all pairings of the joint run over the rows so far
+have come out. A pairing that later rows make doubtful isn't taken back.
 
 Defined results: null and blank fields are no evidence; repeated rows and ids pair like any other rows (a row never
-with itself); empty batches and an empty history give no pairs; created_at is not used; extra columns are ignored.
+with itself); empty batches and an empty history give no pairs; rows without a batch number come first; created_at is not
+used; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass, field
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rollcall.functions.text import cell
 from rollcall.llm import people
-from rollcall.session import checkpoint_dir, cut, shuffle_width
+from rollcall.session import BROADCAST_BYTES, broadcast_if_small, checkpoint_dir, cut, size_estimate
 
+#: Rows of history a bucket is made for.
+BUCKET_ROWS = 250_000
 # Table: (columns, bucket column).
 TABLES = {
-    "cores": ("tenant", ("tenant", "core", "n", "to_core")),
-    "kinds": ("tenant", ("tenant", "to_core", "usual")),
-    "nodes": ("vertex", ("vertex", "tenant", "employer", "words", "text", "weights")),
-    "members": ("vertex", ("vertex", "row_id")),
-    "paragraphs": ("key", ("key", "vertex", "size")),
-    "contacts": ("contact", ("contact", "vertex", "words")),
-    "links": ("a", ("a", "b")),
-    "groups": ("vertex", ("vertex", "label", "batch")),
+    "cores": ("ckey", ("ckey", "tenant", "core", "kind", "n")),
+    "pieces": ("key", ("key", "tenant", "core")),
+    "near": ("ckey", ("ckey", "tenant", "core", "other")),
+    "rows": ("ckey", ("ckey", "row_id", "tenant", "core", "kind", "host", "text", "email_key", "phone_key", "incoming")),
+    "nodes": ("vertex", ("vertex", "place", "tenant", "employer", "words", "text", "n")),
+    "members": ("vertex", ("vertex", "row_id", "incoming", "n")),
+    "tokens": ("token", ("token", "df")),
+    "keys": ("key", ("key", "vertex", "size")),
+    "contacts": ("contact", ("contact", "vertex", "n")),
+    "alike": ("a", ("a", "b", "contact")),
+    "covers": ("contact", ("contact", "short", "long")),
+    "groups": ("vertex", ("vertex", "label", "class", "batch")),
+    "group_members": ("label", ("label", "vertex")),
 }
+NODE = ("vertex", "place", "tenant", "employer", "words", "text")
 
 
 @dataclass
@@ -44,150 +64,326 @@ class History:
     """Bucketed hash tables in a folder all executors share."""
 
     spark: SparkSession
+    buckets: int = 8
     name: str = field(default_factory=lambda: "history_" + uuid.uuid4().hex[:12])
-    buckets: int = 0
     batches: int = 0
-
-    def __post_init__(self) -> None:
-        self.buckets = self.buckets or min(4096, shuffle_width(self.spark))
+    vertices: int = 0
 
     def _table(self, part: str) -> str:
         return f"{self.name}_{part}"
 
+    def _path(self, part: str = "") -> str:
+        return f"{checkpoint_dir(self.spark)}/{self.name}/{part}"
+
     def add(self, part: str, rows: DataFrame) -> None:
         by, columns = TABLES[part]
-        path = f"{checkpoint_dir(self.spark)}/{self.name}/{part}"
-        rows.select(*columns).repartition(self.buckets, by).write.mode("append").bucketBy(self.buckets, by).option("path", path).format("parquet").saveAsTable(self._table(part))
+        rows.select(*columns).repartition(self.buckets, by).write.mode("append").bucketBy(self.buckets, by).option("path", self._path(part)).format("parquet").saveAsTable(self._table(part))
+
+    def add_all(self, parts: dict[str, DataFrame]) -> None:
+        """Adds to every table, some at a time."""
+        with ThreadPool(4) as pool:
+            pool.map(inheritable_thread_target(self.spark)(lambda part: self.add(part, parts[part])), TABLES, chunksize=1)
 
     def read(self, part: str) -> DataFrame:
         return self.spark.table(self._table(part))
 
-    def add_groups(self, edges: DataFrame) -> None:
-        """The connected classes of edges (a, b), which hold every edge of their groups."""
-        self.add("groups", people.components(edges).withColumn("batch", F.lit(self.batches)))
-        self.batches += 1
-
-    def groups(self) -> DataFrame:
-        """(vertex, label): the latest group of each class that has an alike one."""
-        return self.read("groups").groupBy("vertex").agg(F.max_by("label", "batch").alias("label"))
-
-
-def _placed(rows: DataFrame, history: History | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows with employers and vertices, and the spellings and types that are new."""
-    parsed = cut(people.parse_rows(rows))
-    cores = people.count_cores(parsed)
-    if history is None:
-        spelt = cut(people.core_spellings(cores).join(cores, ["tenant", "core"]))
-        kinds = cut(people.usual_kinds(parsed, spelt))
-        return cut(people.with_vertices(people.with_employers(parsed, spelt, kinds))), spelt, kinds
-    known = history.read("cores")
-    fresh = cut(cores.join(known.select("tenant", "core"), ["tenant", "core"], "left_anti"))
-    both = people.core_spellings(known.select("tenant", "core", "n"), fresh).join(fresh, ["tenant", "core"])
-    onward = known.select("tenant", F.col("core").alias("to_core"), F.col("to_core").alias("_last"))
-    spelt = cut(both.join(onward, ["tenant", "to_core"], "left").select("tenant", "core", "n", F.coalesce("_last", "to_core").alias("to_core")))
-    every = known.select("tenant", "core", "to_core").unionByName(spelt.select("tenant", "core", "to_core"))
-    old = history.read("kinds")
-    kinds = cut(people.usual_kinds(parsed, every).join(old, ["tenant", "to_core"], "left_anti"))
-    return cut(people.with_vertices(people.with_employers(parsed, every, old.unionByName(kinds)))), spelt, kinds
-
-
-def _hashes(placed: DataFrame) -> dict[str, DataFrame]:
-    named = placed.filter("vertex is not null")
-    nodes = people.vertices(named)
-    return {"nodes": nodes, "members": named.select("vertex", "row_id"), "paragraphs": people.name_keys(nodes), "contacts": people.contact_uses(named)}
+    def touched(self, part: str, hashes: DataFrame) -> DataFrame:
+        """The entries whose bucket column is among `hashes`, a table of that one column."""
+        return self.read(part).join(hashes.distinct(), hashes.columns[0], "left_semi")
 
+    def drop(self) -> None:
+        """Deletes the tables; results that read them must have been written."""
+        for part in TABLES:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._table(part)}")
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._path())
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _ckey(core: str = "core") -> F.Column:
+    return F.xxhash64("tenant", core)
+
+
+def _counts(kinds: DataFrame) -> DataFrame:
+    return kinds.groupBy("tenant", "core").agg(F.sum("n").alias("n"))
+
+
+def _own_core(parsed: DataFrame) -> DataFrame:
+    """parsed with the hash of the core that places a row: its own, or else its address's host."""
+    place = F.when(F.col("core") != "", F.col("core")).when(F.col("host") != "", F.col("host"))
+    return parsed.withColumn("ckey", F.when(place.isNotNull(), F.xxhash64("tenant", place)))
+
+
+def _places(kinds: DataFrame, near: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(spellings with the core they stand for, usual types) of counted spellings."""
+    spelt = cut(people.spelling_roots(cut(_counts(kinds)), near))
+    return spelt, cut(people.usual_kinds(kinds, spelt))
+
+
+def _both_places(kinds: DataFrame, near: DataFrame) -> tuple[tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]:
+    """_places() before and now, in one run: kinds (tenant, core, kind, was, n) and near (tenant, core, other, was) with what was there before."""
+    run = lambda df, now: df.withColumn("tenant", F.concat(F.lit("now " if now else "was "), "tenant"))
+    counted = run(kinds, True).select("tenant", "core", "kind", "n").unionByName(run(kinds, False).select("tenant", "core", "kind", F.col("was").alias("n")).filter("n > 0"))
+    pairs = run(near, True).select("tenant", "core", "other").unionByName(run(near.filter("was"), False).select("tenant", "core", "other"))
+    places = _places(cut(counted), pairs)
+    of = lambda mark: tuple(df.filter(F.col("tenant").startswith(mark)).withColumn("tenant", F.substring(F.col("tenant"), 5, 1 << 30)) for df in places)
+    return of("was "), of("now ")
 
-def start(rows: DataFrame) -> History:
-    """A history of rows (row_id, tenant, full_name, organization, email, phone)."""
-    history = History(rows.sparkSession)
-    placed, spelt, kinds = _placed(rows, None)
-    for part, df in {"cores": spelt, "kinds": kinds, **_hashes(placed)}.items():
-        history.add(part, df)
-    nodes = history.read("nodes")
-    history.add("links", _alike(nodes, people.employer_candidates(history.read("paragraphs")), False))
-    shared = _alike(nodes, people.contact_candidates(history.read("contacts")), True).select("a", "b")
-    history.add_groups(history.read("links").unionByName(shared).unionByName(people.namesake_candidates(nodes)))
-    return history
 
+def _placed(rows: DataFrame, places: tuple[DataFrame, DataFrame]) -> DataFrame:
+    return people.with_vertices(people.with_employers(rows, *places))
 
-def _alike(nodes: DataFrame, pairs: DataFrame, contact: bool) -> DataFrame:
-    return people.verified(nodes, pairs.withColumn("contact", F.lit(contact)))
 
+def _name_keys(nodes: DataFrame) -> DataFrame:
+    """Paragraph hashes: q-grams of the name within the employer, and full names within the tenant (of size 0)."""
+    whole = people.full_names(nodes).select(F.xxhash64(F.lit("name"), "tenant", "words").alias("key"), "vertex", F.lit(0).alias("size"))
+    return people.name_keys(nodes).unionByName(whole)
 
-def _beside(pairs: DataFrame, mine: DataFrame) -> DataFrame:
-    """The pairs (a, b) with one of `mine` at least."""
-    a, b = (mine.select(F.col("vertex").alias(x), F.lit(True).alias("_" + x)) for x in "ab")
-    return pairs.join(a, "a", "left").join(b, "b", "left").filter("_a or _b").select("a", "b")
 
+def _live_nodes(counted: DataFrame) -> DataFrame:
+    """Vertices that have rows, from counted (NODE, n); the text is the first of those typed."""
+    return _node_states(counted.withColumn("was", F.lit(0))).filter("live").select(*NODE)
 
-def _touched(old: DataFrame, new: DataFrame, on: str) -> DataFrame:
-    """Entries of history whose hash the batch has, with the batch's own."""
-    return old.join(new.select(on).distinct(), on, "left_semi").unionByName(new.select(*old.columns))
 
+def _node_states(counted: DataFrame) -> DataFrame:
+    """(NODE, before, live): vertices counted (NODE, was, n), whether they had rows before and have rows now."""
+    texts = counted.groupBy("vertex", "text").agg(*(F.first(c).alias(c) for c in ("place", "tenant", "employer", "words")), F.sum("was").alias("was"), F.sum("n").alias("n"))
+    text = F.coalesce(F.min(F.when(F.col("n") > 0, F.col("text"))), F.min("text")).alias("text")
+    return texts.groupBy("vertex").agg(text, *(F.min(c).alias(c) for c in ("place", "tenant", "employer", "words")), F.max(F.col("was") > 0).alias("before"), F.max(F.col("n") > 0).alias("live"))
 
-def _one(old: DataFrame, new: DataFrame) -> DataFrame:
-    """A row per name class of history's and the batch's."""
-    return cut(old.unionByName(new.select(*old.columns)).groupBy("vertex").agg(*(F.first(c).alias(c) for c in ("tenant", "employer", "words", "text", "weights"))))
+
+def _node_counts(placed: DataFrame, n: int = 1) -> DataFrame:
+    """(NODE, n) of placed rows with a name: which texts a vertex has, and in how many rows."""
+    place = F.when(F.col("employer").isNotNull(), F.xxhash64("tenant", "employer"))
+    return placed.withColumn("place", place).groupBy(*NODE).agg((F.lit(n) * F.count(F.lit(1))).alias("n"))
+
+
+def _use_counts(placed: DataFrame, n: int = 1) -> DataFrame:
+    contact = F.array_compact(F.array(F.when(F.col("email_key").isNotNull(), F.xxhash64("tenant", F.lit("e"), "email_key")), F.when(F.col("phone_key").isNotNull(), F.xxhash64("tenant", F.lit("p"), "phone_key"))))
+    return placed.select("vertex", F.explode(contact).alias("contact")).groupBy("contact", "vertex").agg((F.lit(n) * F.count(F.lit(1))).alias("n"))
+
+
+def _live(counted: DataFrame, *by: str) -> DataFrame:
+    return counted.groupBy(*by).agg(F.sum("n").alias("n")).filter("n > 0").select(*by)
+
+
+def _unweighted(nodes: DataFrame) -> DataFrame:
+    return nodes.withColumn("weights", F.lit(""))
+
+
+def _alike(nodes: DataFrame, org: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(alike (a, b, contact), covers (contact, short, long)) of candidates: pairs whose names are alike, whatever their weights."""
+    found = cut(people.verified(_unweighted(nodes), people.both_candidates(org, shared)).select("a", "b", "short", "same_employer"))
+    by_contact = shared.join(found.select("a", "b", "short"), ["a", "b"])
+    both = found.filter("same_employer").select("a", "b", F.lit(None).cast("bigint").alias("contact")).unionByName(by_contact.select("a", "b", "contact"))
+    return cut(both), by_contact.select("contact", "short", F.when(F.col("short") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("long"))
+
+
+def start(rows: DataFrame) -> History:
+    """A history of rows (row_id, tenant, full_name, organization, email, phone)."""
+    parsed = cut(_own_core(people.parse_rows(rows)).withColumn("incoming", F.lit(False)))
+    n = parsed.count()
+    history = History(rows.sparkSession, min(4096, max(rows.sparkSession.sparkContext.defaultParallelism, n // BUCKET_ROWS)))
+    kinds = cut(people.core_kinds(parsed))
+    pieces = cut(people.core_pieces(_counts(kinds)))
+    near = cut(people.near_cores(_counts(kinds), pieces))
+    placed = cut(_placed(parsed, _places(kinds, near)).filter("vertex is not null"))
+    counted = cut(_node_counts(placed))
+    nodes = cut(_live_nodes(counted))
+    uses = cut(_use_counts(placed))
+    keys = cut(_name_keys(nodes))
+    history.vertices = nodes.count()
+    shared = cut(people.contact_candidates(nodes, uses.select("contact", "vertex")))
+    alike, covers = _alike(nodes, people.employer_candidates(nodes, keys.filter("size > 0")), shared)
+    groups = (people.components(alike.select("a", "b").unionByName(people.namesake_candidates(nodes))))
+    tables = {
+        "cores": kinds.withColumn("ckey", _ckey()), "pieces": pieces, "near": near.withColumn("ckey", _ckey()), "rows": parsed, "nodes": counted, "tokens": people.tokens_of(nodes), "keys": keys,
+        "members": placed.select("vertex", "row_id", "incoming", F.lit(1).alias("n")), "contacts": uses, "alike": alike, "covers": covers, "group_members": groups,
+        "groups": groups.select("vertex", "label", F.lit(None).cast("bigint").alias("class"), F.lit(0).alias("batch")),
+    }
+    history.add_all(tables)
+    return history
+
+
+def _spelling_trees(history: History, parsed: DataFrame, near: DataFrame) -> DataFrame:
+    """(ckey): the spellings a batch's rows are placed by, and all that are connected with them by likeness."""
+    seen = parsed.filter("ckey is not null").select("ckey").distinct()
+    known = history.read("near").select("ckey")
+    if size_estimate(known) <= BROADCAST_BYTES:  # so few that all of them may be taken along: more spellings than needed change nothing
+        return cut(seen.unionByName(known).unionByName(near.select(_ckey().alias("ckey"))).distinct())
+    seen = cut(seen)
+    edges = history.read("near").select("ckey", F.xxhash64("tenant", "other").alias("to")).unionByName(near.select(_ckey().alias("ckey"), F.xxhash64("tenant", "other").alias("to")))
+    last = seen
+    while True:
+        last = cut(edges.join(broadcast_if_small(last), "ckey", "left_semi").select(F.col("to").alias("ckey")).distinct().join(seen, "ckey", "left_anti"))
+        if not last.limit(1).count():
+            return seen
+        seen = cut(seen.unionByName(last))
+
+
+def _moved(history: History, before: tuple[DataFrame, DataFrame], now: tuple[DataFrame, DataFrame], fresh: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """(rows of history whose vertex a batch changes, as they were; the same as they are now), or None if there are none. fresh: spellings (tenant, core) the batch brings."""
+    side = lambda p: p[0].join(p[1], ["tenant", "to_core"], "left").select("tenant", "core", "to_core", F.coalesce("usual", F.lit("")).alias("usual"))
+    known = side(before).withColumnsRenamed({"to_core": "_t", "usual": "_u"})
+    changed = side(now).join(known, ["tenant", "core"]).filter("to_core <> _t or usual <> _u").select("tenant", "core").unionByName(fresh.select("tenant", "core"))
+    dirty = cut(history.touched("rows", changed.select(_ckey().alias("ckey"))))
+    if not dirty.limit(1).count():
+        return None
+    was = _placed(dirty, before).select("row_id", F.col("vertex").alias("_was"))
+    both = cut(_placed(dirty, now).join(was, "row_id").filter("vertex is not null and not (vertex <=> _was)"))
+    if not both.limit(1).count():
+        return None
+    old = cut(_placed(dirty, before).join(both.select("row_id"), "row_id", "left_semi"))
+    return old, both.drop("_was")
 
 
 def match(history: History, batch: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """((row_a, row_b), what append() takes): pairings of a batch's rows with history's and each other."""
-    placed, spelt, kinds = _placed(batch, history)
-    new = _hashes(placed)
-    new |= {part: cut(new[part]) for part in ("paragraphs", "contacts")}
-    paragraphs = cut(_touched(history.read("paragraphs"), new["paragraphs"], "key").distinct())
-    contacts = cut(_touched(history.read("contacts"), new["contacts"], "contact").distinct())
-    old_nodes = history.read("nodes").filter("words is not null")
-    probe = new["nodes"].select("tenant", "words").distinct()
-    near = paragraphs.select("vertex").unionByName(contacts.select("vertex")).distinct()
-    nodes = _one(old_nodes.join(near, "vertex", "left_semi").unionByName(old_nodes.join(probe, ["tenant", "words"], "left_semi").select(*old_nodes.columns)), new["nodes"])
-    mine = new["nodes"].select("vertex")
-    seen = cut(_alike(nodes, _beside(people.employer_candidates(paragraphs), mine), False).select("a", "b"))
-    shared = _alike(nodes, people.contact_candidates(contacts), True).select("a", "b")
-    met = cut(seen.unionByName(shared).unionByName(_beside(people.namesake_candidates(nodes), mine)))
-    touched = mine.union(met.select("a")).union(met.select("b")).distinct()
-    groups = cut(history.groups())
-    whole = groups.join(groups.join(touched, "vertex", "left_semi").select("label").distinct(), "label", "left_semi").select("vertex")
-    whole = cut(whole.unionByName(touched).distinct())
-    nodes = _one(old_nodes.join(whole, "vertex", "left_semi"), new["nodes"])
-    used = history.read("contacts")
-    contacts = cut(_touched(used, used.join(whole, "vertex", "left_semi").select(*used.columns).unionByName(new["contacts"].select(*used.columns)), "contact").distinct())
-    org = history.read("links").join(whole.withColumnRenamed("vertex", "a"), "a", "left_semi").select("a", "b").unionByName(seen).withColumn("contact", F.lit(False))
-    pairs = org.unionByName(people.contact_candidates(contacts).withColumn("contact", F.lit(True))).groupBy("a", "b").agg(F.max("contact").alias("contact"))
-    found, namesakes = cut(people.verified(nodes, pairs)), people.namesake_candidates(nodes)
-    labels = people.decided(found, namesakes)
-    new |= {"links": seen, "edges": found.select("a", "b").unionByName(namesakes)}
-    mine = new["members"].select("vertex").distinct().join(labels, "vertex", "left").select("vertex", F.coalesce("label", "vertex").alias("label"))
-    every = labels.unionByName(mine).distinct()
-    wanted = every.join(mine.select("label").distinct(), "label", "left_semi")
-    rows = history.read("members").select("vertex", "row_id", F.lit(False).alias("fresh")).unionByName(new["members"].select("vertex", "row_id", F.lit(True).alias("fresh")))
-    rows = cut(rows.join(wanted, "vertex").select("label", "row_id", "fresh").distinct())
-    a = rows.filter("fresh").select("label", F.col("row_id").alias("x"))
-    b = rows.select("label", F.col("row_id").alias("y"), "fresh")
-    found = a.join(b, "label").filter("x <> y and (not fresh or x < y)").select(F.least("x", "y").alias("row_a"), F.greatest("x", "y").alias("row_b")).distinct()
-    return found, {"cores": spelt, "kinds": kinds, **new}
+    """((row_a, row_b), what append() takes): the pairings a batch (row_id, tenant, full_name, organization, email, phone) establishes."""
+    parsed = cut(_own_core(people.parse_rows(batch)).withColumn("incoming", F.lit(True)))
+    kinds = cut(people.core_kinds(parsed))
+    known = history.touched("cores", kinds.select(_ckey().alias("ckey")))
+    fresh = cut(_counts(kinds).join(broadcast_if_small(known.select("tenant", "core").distinct()), ["tenant", "core"], "left_anti"))
+    pieces = people.core_pieces(fresh)
+    one = people.near_cores(fresh, history.read("pieces").unionByName(pieces))
+    ways = F.explode(F.array(F.struct("core", "other"), F.struct(F.col("other").alias("core"), F.col("core").alias("other"))))
+    near = cut(one.select("tenant", ways.alias("w")).select("tenant", "w.core", "w.other").distinct())
+    trees = _spelling_trees(history, parsed, near)
+    every = history.touched("cores", trees).select("tenant", "core", "kind", F.col("n").alias("was"), "n").unionByName(kinds.select("tenant", "core", "kind", F.lit(0).cast("bigint").alias("was"), "n"))
+    pairs = history.touched("near", trees).select("tenant", "core", "other", F.lit(True).alias("was")).unionByName(near.withColumn("was", F.lit(False)))
+    before, now = _both_places(every.groupBy("tenant", "core", "kind").agg(F.sum("was").alias("was"), F.sum("n").alias("n")), pairs)
+    moved = _moved(history, before, now, fresh)
+    columns = ("row_id", "tenant", "employer", "words", "text", "vertex", "email_key", "phone_key", "incoming")
+    named = _placed(parsed, now).filter("vertex is not null").select(*columns)
+    if moved:
+        named = named.unionByName(moved[1].select(*columns))
+    named = cut(named)
+    gone = moved[0].filter("vertex is not null").select(*columns) if moved else None
+
+    counted, uses = _node_counts(named), _use_counts(named)
+    members = named.select("vertex", "row_id", "incoming", F.lit(1).alias("n"))
+    if moved:
+        counted, uses = counted.unionByName(_node_counts(gone, -1)), uses.unionByName(_use_counts(gone, -1))
+        members = members.unionByName(gone.select("vertex", "row_id", "incoming", F.lit(-1).alias("n")))
+    counted, uses = cut(counted), cut(uses)
+    old = history.touched("nodes", counted.select("vertex")).select(*NODE, F.col("n").alias("was"), "n")
+    state = cut(_node_states(old.unionByName(counted.select(*NODE, F.lit(0).cast("bigint").alias("was"), "n"))))
+    born, dead = state.filter("live and not before"), state.filter("before and not live")
+    tokens = people.tokens_of(born).unionByName(people.tokens_of(dead).select("token", (-F.col("df")).alias("df")))
+    total = history.vertices + state.select(F.coalesce(F.sum(F.when(F.col("live"), 1).otherwise(0) - F.when(F.col("before"), 1).otherwise(0)), F.lit(0))).first()[0]
+
+    # What is new meets what has its hashes.
+    keys = cut(_name_keys(born))
+    met = cut(history.touched("keys", keys.select("key")).unionByName(keys).distinct())
+    used = history.touched("contacts", uses.select("contact")).select("contact", "vertex", F.col("n").alias("was"), "n").unionByName(uses.select("contact", "vertex", F.lit(0).cast("bigint").alias("was"), "n"))
+    used = cut(used.groupBy("contact", "vertex").agg(F.sum("was").alias("was"), F.sum("n").alias("n")).filter("n > 0"))
+    ids = met.select("vertex").unionByName(used.select("vertex"))
+    near_nodes = cut(_live_nodes(history.touched("nodes", ids).select(*NODE, "n").unionByName(counted.select(*NODE, "n"))))
+    grams = met.filter("size > 0")
+    frequency = cut(grams.groupBy("key").agg(F.count(F.lit(1)).alias("df")))
+    org = people.meetings(keys.filter("size > 0").select("key", "vertex"), grams.select("key", "vertex"), frequency, near_nodes)
+    shared = cut(people.contact_candidates(near_nodes, used.select("contact", "vertex"), used.filter("was <= 0").select("vertex").distinct()))
+    alike, covers = _alike(near_nodes, org, shared)
+    names = met.filter("size = 0").select("vertex").distinct()
+    namesakes = people.namesake_candidates(near_nodes.join(names, "vertex", "left_semi"))
+
+    # The groups it touches, whole.
+    edges = cut(alike.select("a", "b").unionByName(namesakes))
+    touched = counted.select("vertex").union(edges.select("a")).union(edges.select("b")).distinct()
+    latest = lambda df: df.groupBy("vertex").agg(F.max_by(F.struct("label", "class"), "batch").alias("g")).select("vertex", "g.label", "g.class")
+    known = latest(history.touched("groups", touched))
+    star = history.touched("group_members", known.select("label")).filter("vertex <> label").select(F.col("vertex").alias("a"), F.col("label").alias("b"))
+    groups = people.components(edges.unionByName(star))
+    whole = cut(groups.select("vertex").unionByName(touched).distinct())
+    nodes = _live_nodes(history.touched("nodes", whole).select(*NODE, "n").unionByName(counted.select(*NODE, "n")))
+    nodes = cut(nodes.join(whole, "vertex", "left_semi"))
+    bag = nodes.select(F.explode(F.split("text", " ")).alias("token")).distinct()
+    frequency = history.touched("tokens", bag).unionByName(tokens).groupBy("token").agg(F.sum("df").alias("df"))
+    links = history.touched("alike", whole.select(F.col("vertex").alias("a"))).unionByName(alike)
+    links = cut(links.distinct().join(nodes.select(F.col("vertex").alias("a")), "a", "left_semi").join(nodes.select(F.col("vertex").alias("b")), "b", "left_semi"))
+    contacts = links.filter("contact is not null").select("contact").distinct()
+    every_use = cut(_live(history.touched("contacts", contacts).unionByName(uses.join(contacts, "contact", "left_semi")), "contact", "vertex"))
+    shared = _using(links.filter("contact is not null"), every_use, "a", "b")
+    covered = _using(history.touched("covers", contacts).unionByName(covers), every_use, "short", "long")
+    pairs = people.both_candidates(links.filter("contact is null"), shared)
+    found = cut(people.evident(people.verified(people.weighted(nodes, frequency, total), pairs), shared, people.office_contacts(every_use, covered)))
+    labels = people.decided(found, people.namesake_candidates(nodes))
+    labels = cut(nodes.select("vertex").join(labels, "vertex", "left").select("vertex", F.coalesce("label", "vertex").alias("class")))
+
+    # Pairings that weren't there before.
+    was = latest(history.touched("groups", whole)).select("vertex", F.coalesce("class", "vertex").alias("was"))
+    old_rows = history.touched("members", whole)
+    if moved:
+        old_rows = _live(old_rows.unionByName(gone.select("vertex", "row_id", "incoming", F.lit(-1).alias("n"))), "vertex", "row_id", "incoming")
+    old_rows = old_rows.select("vertex", "row_id", "incoming").join(was, "vertex", "left").select("vertex", "row_id", "incoming", F.coalesce("was", "vertex").alias("was"))
+    rows = old_rows.unionByName(named.select("vertex", "row_id", "incoming", F.lit(None).cast("bigint").alias("was"))).join(labels, "vertex")
+    rows = cut(rows.select("class", "row_id", "incoming", "was"))
+    a = rows.filter("incoming").select("class", F.col("row_id").alias("x"), F.col("was").alias("_a"))
+    b = rows.select("class", F.col("row_id").alias("y"), F.col("was").alias("_b"), F.col("incoming").alias("_i"))
+    new = a.join(b, "class").filter("x <> y and (not _i or x < y) and (_a is null or _b is null or _a <> _b)")
+    found = cut(new.select(F.least("x", "y").alias("row_a"), F.greatest("x", "y").alias("row_b")).distinct())
+    whole_labels = nodes.select("vertex").join(groups, "vertex", "left").select("vertex", F.coalesce("label", "vertex").alias("label")).join(labels, "vertex")
+    return found, {
+        "cores": kinds.withColumn("ckey", _ckey()), "pieces": pieces, "near": near.withColumn("ckey", _ckey()), "rows": parsed, "nodes": counted, "members": members, "tokens": tokens, "keys": keys,
+        "contacts": uses, "alike": alike, "covers": covers, "groups": whole_labels.withColumn("batch", F.lit(history.batches + 1)), "group_members": groups,
+        "total": total,
+    }
+
+
+def _using(links: DataFrame, uses: DataFrame, x: str, y: str) -> DataFrame:
+    """Links (contact, x, y) of which both still use the contact."""
+    for c in (x, y):
+        links = links.join(uses.select("contact", F.col("vertex").alias(c)), ["contact", c], "left_semi")
+    return links.select("contact", x, y)
 
 
 def append(history: History, new: dict[str, DataFrame]) -> None:
-    """Appends a batch's hashes; classes history has already get only their new members."""
-    known = history.read("nodes").select("vertex")
-    fresh = cut(new["nodes"].select("vertex").join(known, "vertex", "left_anti"))
-    for part in ("nodes", "paragraphs"):
-        history.add(part, new[part].join(fresh, "vertex", "left_semi"))
-    for part in ("cores", "kinds", "members", "contacts", "links"):
-        history.add(part, new[part])
-    history.add_groups(new["edges"])
+    """Appends what match() found for a batch."""
+    history.add_all(new)
+    history.batches += 1
+    history.vertices = new["total"]
 
 
 def as_rows(records: DataFrame) -> DataFrame:
-    return records.select(F.col("id").alias("row_id"), F.col("organization_id").alias("tenant"), "full_name", "organization", "email", "phone")
+    return people.as_rows(records)
 
 
 def batch_pairs(records: DataFrame, incoming: DataFrame) -> DataFrame:
-    """(record_a, record_b): all pairings of incoming rows with records, earlier batches and each other.
+    """(record_a, record_b): all pairings of incoming rows with records, earlier batches and each other; batches are taken one by one in order of batch_no.
 
-    The pairings of a row don't depend on where the batches are cut, so all batches are matched as one here; match() and
-    append() take them one by one.
+    The batch numbers are read on the driver; the tables of the history are dropped at the end.
+    """
+    first = F.lit(-(1 << 31))
+    incoming = incoming.withColumn("_batch", F.coalesce("batch_no", first) if "batch_no" in incoming.columns else first)
+    history = start(as_rows(records))
+    numbers = sorted(r[0] for r in incoming.select("_batch").distinct().collect())
+    found = []
+    try:
+        for number in numbers:
+            pairs, new = match(history, as_rows(incoming.filter(F.col("_batch") == number)))
+            found.append(pairs)
+            if number != numbers[-1]:
+                append(history, new)
+    finally:
+        history.drop()
+    none = records.sparkSession.createDataFrame([], "row_a string, row_b string")
+    every = reduce(DataFrame.unionByName, found, none).distinct()
+    return every.select(F.col("row_a").alias("record_a"), F.col("row_b").alias("record_b"))
+
+
+def copies(records: DataFrame, incoming: DataFrame) -> DataFrame:
+    """(record_id, batch_no, is_copy, coverage) of every incoming row: whether a record or a row of an earlier batch of the tenant has the same normalised text, and the share of its paragraphs found in those.
+
+    Content and paragraph hashes of all rows with the number of the first batch they came in are aggregated on the map
+    side, so a text a third of all rows has is one row per task; a row is compared with that number only. Texts are
+    compared without case and edges; empty texts have no paragraphs, their coverage is 0.
     """
-    found, _ = match(start(as_rows(records)), as_rows(incoming))
-    return found.select(F.col("row_a").alias("record_a"), F.col("row_b").alias("record_b"))
+    first = F.lit(-(1 << 31))
+    text = F.lower(cell("normalized_text"))
+    old = records.select("organization_id", first.alias("batch_no"), text.alias("text"))
+    mine = incoming.select(F.col("id").alias("record_id"), "organization_id", F.coalesce("batch_no", first + 1).alias("batch_no"), F.col("batch_no").alias("_no"), text.alias("text"))
+    hashed = lambda df, *c: df.select(*c, F.xxhash64("organization_id", "text").alias("content"), F.transform(F.filter(F.array_distinct(F.split("text", " \\| ")), lambda p: p != ""), lambda p: F.xxhash64("organization_id", p)).alias("parts"))
+    every = hashed(old.unionByName(mine.select("organization_id", "batch_no", "text")), "batch_no")
+    contents = every.groupBy("content").agg(F.min("batch_no").alias("_c"))
+    parts = every.select("batch_no", F.explode("parts").alias("part")).groupBy("part").agg(F.min("batch_no").alias("_p"))
+    asked = hashed(mine, "record_id", "batch_no", "_no")
+    seen = asked.select("record_id", "batch_no", F.explode("parts").alias("part")).join(parts, "part").groupBy("record_id", "batch_no").agg((F.count_if(F.col("_p") < F.col("batch_no")) / F.count(F.lit(1))).alias("coverage"))
+    return asked.join(contents, "content").join(seen, ["record_id", "batch_no"], "left").select("record_id", F.col("_no").alias("batch_no"), (F.col("_c") < F.col("batch_no")).alias("is_copy"), F.round(F.coalesce("coverage", F.lit(0.0)), 6).alias("coverage"))

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import functools
+import math
 import re
 import unicodedata
 
+from rollcall.functions.text import TITLES as FIXED_TITLES
 from rollcall.llm.skeleton import consistent_form
 
-# Titles in front of names, without accents and points; those of the second line only with their accents.
-TITLES = {"gs", "pgs", "ts", "ths", "bs", "ks", "cn", "ncs", "prof", "dr", "mr", "mrs", "ms", "miss", "sir", "madam", "ong"}
+# Titles in front of names, without accents and points: the fixed ones but 'ba' (also a name) and some more. Those taken only with their accents.
+TITLES = {t for t in FIXED_TITLES.split("|") if t.isalpha()} - {"ba"} | {"miss", "sir", "madam"}
 ACCENTED_TITLES = {"ông", "bà", "chị", "cô", "chú", "bác", "thầy"}
 # Short forms of given names, each with the full forms it may stand for.
 NICKNAMES = {
@@ -222,8 +224,8 @@ def compare_names(a: tuple[str, ...], b: tuple[str, ...], wa: tuple[float, ...]
     return (WEAK, score) if len(a) > 1 and (ends or given_first) else (NONE, 0.0)
 
 
-def name_grams(tokens: tuple[str, ...]) -> list[str]:
-    """Order-free 2-grams of tokens, the second reduced to its initial so that abbreviated names meet full ones; long tokens also alone."""
+def _placed_grams(tokens: tuple[str, ...]) -> dict[tuple[str, int], None]:
+    """Order-free 2-grams of tokens, the second reduced to its initial so that abbreviated names meet full ones; long tokens also alone. Each with the place of its first token."""
     grams = {}
     for i, t in enumerate(tokens):
         if len(t) > 1:
@@ -233,7 +235,65 @@ def name_grams(tokens: tuple[str, ...]) -> list[str]:
                     firsts = (u[0], *(x[0] for x in NICKNAMES[u].split())) if u in NICKNAMES else (u[0],)
                     for form in forms:
                         for first in firsts:
-                            grams[f"{form}\x1f{first}"] = None
+                            grams[f"{form}\x1f{first}", i] = None
             if len(t) >= 7 and not SYLLABLE.fullmatch(t):
-                grams[t] = None
-    return list(grams)
+                grams[t, i] = None
+    return grams
+
+
+def name_grams(tokens: tuple[str, ...]) -> list[str]:
+    return list(dict.fromkeys(g for g, _ in _placed_grams(tokens)))
+
+
+@functools.lru_cache(1 << 16)
+def _gram_set(tokens: tuple[str, ...]) -> frozenset[str]:
+    return frozenset(name_grams(tokens))
+
+
+def overlap(a: tuple[str, ...], b: tuple[str, ...], share: float) -> bool:
+    """Whether two names have at least the given share of the smaller one's grams in common."""
+    x, y = _gram_set(a), _gram_set(b)
+    return len(x & y) >= max(1, math.ceil(share * min(len(x), len(y))))
+
+
+@functools.lru_cache(1 << 16)
+def variants(token: str) -> tuple[str, ...]:
+    """What two tokens that are alike (other than as an initial) have one of in common: themselves, themselves without a letter, their letters in order, the full forms."""
+    out = {token, *NICKNAMES.get(token, "").split(), *(token[:i] + token[i + 1 :] for i in range(len(token)))}
+    return tuple(sorted(out | {"~" + "".join(sorted(token))}))
+
+
+def _placed_variants(tokens: tuple[str, ...]) -> dict[tuple[str, int], None]:
+    return {(v, i): None for i, t in enumerate(tokens) if len(t) > 1 for v in variants(t)}
+
+
+def contact_grams(tokens: tuple[str, ...]) -> list[str]:
+    """Alike names have one of these in common."""
+    return list(dict.fromkeys(g for g, _ in _placed_variants(tokens)))
+
+
+def _finer(tokens: tuple[str, ...], grams: dict[tuple[str, int], None]) -> list[tuple[str, str, int]]:
+    """(gram, part, role): what else names that share a gram and are alike have in common: a variant of another token (role 0), or an initial (role 1) where the other has a token that begins with it (role 2)."""
+    out = {}
+    for g, i in grams:
+        if len(tokens) == 1:
+            out[g, "", 0] = None
+        for k, t in enumerate(tokens):
+            if k == i:
+                continue
+            if len(t) == 1:
+                out[g, t, 1] = None
+            else:
+                for v in variants(t):
+                    out[g, v, 0] = None
+                for first in {t[0], *(x[0] for x in NICKNAMES.get(t, "").split())}:
+                    out[g, first, 2] = None
+    return list(out)
+
+
+def finer_name_grams(tokens: tuple[str, ...]) -> list[tuple[str, str, int]]:
+    return _finer(tokens, _placed_grams(tokens))
+
+
+def finer_contact_grams(tokens: tuple[str, ...]) -> list[tuple[str, str, int]]:
+    return _finer(tokens, _placed_variants(tokens))

@@ -1,57 +1,66 @@
 """Problem 3: variant spellings of names of people and organisations.
 
 1. Names become folded tokens, organisations a core and a type (one Arrow pass; names.py).
-2. Spellings of an organisation's core are linked to the most frequent core of the tenant within two letters, by a
-   prefix-filtered set-similarity join on the q-grams of the core.
+2. A spelling of an organisation's core belongs to the most frequent core of the tenant within two letters, and so on to
+   the end of the chain. Cores within two letters have one of three pieces in common, so pieces are the keys of that join.
 3. Rows of one tenant, employer and token set are one vertex. Candidate pairs of vertices come from a prefix-filtered
    set-similarity join on token q-grams (order-free 2-grams of tokens, the second reduced to its initial) within the
-   employer, and from a shared personal e-mail address or phone number.
+   employer, and from a shared e-mail address or phone number.
 4. Candidates are verified by soft token likeness weighted by the tokens' rarity in the corpus: the same tokens but for
    errors and short forms link at the same employer or with a shared contact; abbreviations link with a shared contact,
    or to the one person of the employer they can stand for.
 5. Linked vertices get one class by min-label propagation with pointer jumping; rounds are checkpointed.
 
-Contacts that more than OFFICE name classes of a tenant use are office mailboxes or switchboards and link nobody.
+A contact is an office's, and no evidence, if more than OFFICE people use it. People are counted, not spellings: a name
+that is alike to a fuller one of the same contact is that person's.
 
-Scale: vertices, not rows, are joined, so copies never meet each other; the prefix filter drops the frequent q-grams of
-a hot employer (the rarest half of each set is probed); nothing is collected, and only tables under a checked size are
-broadcast. Tokens' weights cover all rows.
+Scale: vertices, not rows, are joined, so copies never meet each other. The prefix filter probes the rarest q-grams of the
+smaller set. A q-gram of more than HOT vertices (of a hot employer, or of a switchboard) is no meeting place by itself:
+names that share it are alike only if another token is too, so its vertices meet by the variants of their other tokens,
+which finds the same links. Nothing is collected, and only tables under a checked size are broadcast. Weights cover all rows.
 
 Defined results: rows without a name are linked by organisation only; rows with neither have no class; null and blank
 are alike; e-mail addresses in a name field are no name; texts of any length are read whole; repeated rows share their
-class; ties between cores go to the alphabetically first; extra columns are ignored.
+class; ties between cores go to the alphabetically first; cores of fewer than four letters are acronyms and have no
+variants, those of four have variants of one letter; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
 from rollcall.llm import names
+from rollcall.llm.skeleton import look_alike_table, use
 from rollcall.session import broadcast_if_small, cut
 
-#: A contact used by more name classes of a tenant than this is an office's.
-OFFICE = 8
-#: Share of the smaller set of q-grams two names have in common at least.
-OVERLAP = 0.5
+#: A contact used by more people than this is an office's.
+OFFICE = 3
+#: Vertices that meet by a shared key alone; those of larger keys meet by their other tokens as well.
+HOT = 64
+#: Share of the smaller set of q-grams two names of an employer have in common at least.
+OVERLAP = 1 / 3
 LEAST_STRONG, LEAST_WEAK, LEAST_CONTACT = 0.7, 0.45, 0.35
 ROUNDS = 30
+_FINER = ArrayType(StructType().add("gram", StringType()).add("part", StringType()).add("role", IntegerType()))
 
 
-@F.pandas_udf(StructType().add("text", StringType()).add("core", StringType()).add("kind", StringType()))
-def _parsed(name: pd.Series, organization: pd.Series) -> pd.DataFrame:
-    people = [" ".join(names.name_tokens(n)) for n in name]
-    offices = [names.organisation(o) for o in organization]
-    return pd.DataFrame({"text": people, "core": [c for c, _ in offices], "kind": [k for _, k in offices]})
+def _parsed(spark: SparkSession) -> Callable:
+    table = look_alike_table(spark)
 
+    @F.pandas_udf(StructType().add("text", StringType()).add("core", StringType()).add("kind", StringType()))
+    def parsed(name: pd.Series, organization: pd.Series) -> pd.DataFrame:
+        use(table.value)
+        people = [" ".join(names.name_tokens(n)) for n in name]
+        offices = [names.organisation(o) for o in organization]
+        return pd.DataFrame({"text": people, "core": [c for c, _ in offices], "kind": [k for _, k in offices]})
 
-@F.pandas_udf(ArrayType(StringType()))
-def _grams(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: names.name_grams(t.split(" ")))
+    return parsed
 
 
 @functools.lru_cache(1 << 16)
@@ -59,6 +68,26 @@ def _split(text: str) -> tuple[str, ...]:
     return tuple(text.split(" "))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _name_grams(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: names.name_grams(_split(t)))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _contact_grams(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: names.contact_grams(_split(t)))
+
+
+@F.pandas_udf(_FINER)
+def _finer_name_grams(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: names.finer_name_grams(_split(t)))
+
+
+@F.pandas_udf(_FINER)
+def _finer_contact_grams(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: names.finer_contact_grams(_split(t)))
+
+
 @functools.lru_cache(1 << 16)
 def _quarters(text: str) -> tuple[float, ...]:
     """Weights written as one character each, in quarters from '!'."""
@@ -66,8 +95,10 @@ def _quarters(text: str) -> tuple[float, ...]:
 
 
 @F.pandas_udf(StructType().add("class", IntegerType()).add("score", DoubleType()))
-def _compared(a: pd.Series, b: pd.Series, wa: pd.Series, wb: pd.Series) -> pd.DataFrame:
-    got = [names.compare_names(_split(x), _split(y), _quarters(p), _quarters(q)) for x, y, p, q in zip(a, b, wa, wb)]
+def _compared(a: pd.Series, b: pd.Series, wa: pd.Series, wb: pd.Series, contact: pd.Series) -> pd.DataFrame:
+    """Likeness of names; without a shared contact only of those that have enough q-grams in common."""
+    none = (names.NONE, 0.0)
+    got = [names.compare_names(_split(x), _split(y), _quarters(p), _quarters(q)) if c or names.overlap(_split(x), _split(y), OVERLAP) else none for x, y, p, q, c in zip(a, b, wa, wb, contact)]
     return pd.DataFrame({"class": [c for c, _ in got], "score": [s for _, s in got]}).astype({"class": "int32"})
 
 
@@ -90,64 +121,95 @@ def phone_key(c: Column | str) -> Column:
 
 def parse_rows(rows: DataFrame) -> DataFrame:
     """(row_id, tenant, name_hash, organization_hash, text, core, kind, email_key, phone_key, host) of rows (row_id, tenant, full_name, organization, email, phone)."""
-    p = _parsed("full_name", "organization")
+    p = _parsed(rows.sparkSession)("full_name", "organization")
     parsed = rows.select("row_id", "tenant", F.xxhash64("full_name").alias("name_hash"), F.xxhash64("organization").alias("organization_hash"), p.alias("p"), email_key("email").alias("email_key"), phone_key("phone").alias("phone_key"))
-    host = F.regexp_extract(F.coalesce("email_key", F.lit("")), "@([a-z0-9-]+)\\.", 1)
-    return parsed.select("row_id", "tenant", "name_hash", "organization_hash", "p.text", "p.core", "p.kind", "email_key", "phone_key", F.regexp_replace(host, "-", "").alias("host"))
+    return parsed.select("row_id", "tenant", "name_hash", "organization_hash", "p.text", "p.core", "p.kind", "email_key", "phone_key", host_of("email_key").alias("host"))
+
+
+def host_of(email: str) -> Column:
+    """The first word of an address's host without hyphens, '' if there is no address."""
+    return F.regexp_replace(F.regexp_extract(F.coalesce(email, F.lit("")), "@([a-z0-9-]+)\\.", 1), "-", "")
+
+
+# Employers.
 
 
-def count_cores(parsed: DataFrame) -> DataFrame:
-    """(tenant, core, n): spellings of organisations' cores and their rows."""
-    return parsed.filter("core <> ''").groupBy("tenant", "core").agg(F.count(F.lit(1)).alias("n"))
+def core_kinds(parsed: DataFrame) -> DataFrame:
+    """(tenant, core, kind, n): spellings of organisations' cores with the types told beside them, and their rows."""
+    return parsed.filter("core <> ''").groupBy("tenant", "core", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-def core_spellings(cores: DataFrame, fresh: DataFrame | None = None) -> DataFrame:
-    """(tenant, core, to_core): the core each spelling is a variant of (itself if of none). With `fresh`, of those spellings only, against `cores` and themselves.
+def _pieces(parts: int) -> Column:
+    """(at, piece) of a core cut into parts of even size; at is the part's number."""
+    cuts = [F.floor(F.length("core") * k / parts).cast("int") for k in range(parts + 1)]
+    return F.array(*(F.struct(F.lit(k).alias("at"), F.substring(F.col("core"), cuts[k] + 1, cuts[k + 1] - cuts[k]).alias("piece")) for k in range(parts)))
 
-    A prefix filter of one side is enough in any order of the q-grams; of both sides it needs a common one, by rarity.
+
+def core_pieces(cores: DataFrame) -> DataFrame:
+    """(key, tenant, core): the pieces cores are found by. Within two letters one of three pieces is whole, within one letter one of two."""
+    three = cores.filter(F.length("core") >= 5).select("tenant", "core", F.lit(3).alias("parts"), F.explode(_pieces(3)).alias("p"))
+    two = cores.filter(F.length("core").isin(4, 5)).select("tenant", "core", F.lit(2).alias("parts"), F.explode(_pieces(2)).alias("p"))
+    every = three.unionByName(two)
+    return every.select(F.xxhash64("tenant", "parts", F.length("core"), "p.at", "p.piece").alias("key"), "tenant", "core")
+
+
+def _probes(cores: DataFrame, parts: int, reach: int, least: int) -> DataFrame:
+    """(key, tenant, core): every piece a core within `reach` letters may have left whole in this one."""
+    lengths = F.filter(F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda d: F.length("core") + d), lambda n: n >= least)
+    one = cores.select("tenant", "core", F.explode(lengths).alias("of"))
+    at = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("at")
+    one = one.select("tenant", "core", "of", at)
+    start, end = (F.floor(F.col("of") * (F.col("at") + k) / parts).cast("int") for k in (0, 1))
+    moved = one.select("tenant", "core", "of", "at", start.alias("start"), (end - start).alias("size"), F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("by"))
+    inside = moved.filter((F.col("start") + F.col("by") >= 0) & (F.col("start") + F.col("by") + F.col("size") <= F.length("core")))
+    piece = F.substring(F.col("core"), F.col("start") + F.col("by") + 1, F.col("size"))
+    return inside.select(F.xxhash64("tenant", F.lit(parts), "of", "at", piece).alias("key"), "tenant", "core").distinct()
+
+
+def near_cores(fresh: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(tenant, core, other): pairs of cores within two letters (one if one has only four), one of `fresh`, the other among those of `pieces`."""
+    probes = _probes(fresh.filter(F.length("core") >= 5), 3, 2, 5).unionByName(_probes(fresh.filter(F.length("core").isin(4, 5)), 2, 1, 4))
+    pairs = probes.join(pieces.select("key", F.col("core").alias("other")), "key").filter("core <> other").select("tenant", "core", "other").distinct()
+    short = F.least(F.length("core"), F.length("other")) < 5
+    return pairs.filter(F.when(short, F.levenshtein("core", "other", 1)).otherwise(F.levenshtein("core", "other", 2)) >= 0)
+
+
+def spelling_roots(counts: DataFrame, near: DataFrame) -> DataFrame:
+    """(tenant, core, to_core): the core each spelling stands for, of spellings (tenant, core, n) and pairs near(tenant, core, other) both ways.
+
+    Each goes to its most frequent neighbour if that is more frequent (or as frequent and before it in the alphabet), and
+    on to the end. Only spellings that go somewhere take part in the rounds.
     """
-    cores = cut(cores if fresh is None else cores.unionByName(fresh))
-    padded = F.concat(F.lit("^"), F.col("core"), F.lit("$"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.substring(padded, i, F.lit(2))))
-    gram_rows = lambda df: df.filter(F.length("core") >= 5).select("tenant", "core", "n", F.explode(grams).alias("gram"), F.size(grams).alias("size"))
-    least = F.col("size") - F.ceil(F.col("size") * 0.5) + 1
-    rank = lambda *by: F.row_number().over(Window.partitionBy("tenant", "core").orderBy(*by))
-    if fresh is None:
-        long = gram_rows(cores)
-        frequency = long.groupBy("tenant", "gram").agg(F.count(F.lit(1)).alias("df"))
-        a = b = long.join(frequency, ["tenant", "gram"]).withColumn("at", rank("df", "gram")).filter(F.col("at") <= least)
-    else:
-        a, b = gram_rows(fresh).withColumn("at", rank(F.xxhash64("gram"))).filter(F.col("at") <= least), gram_rows(cores)
-    a = a.select("tenant", "gram", "core", "n", "size")
-    b = b.select("tenant", "gram", F.col("core").alias("other"), F.col("n").alias("other_n"), F.col("size").alias("other_size"))
-    near = (F.col("core") != F.col("other")) & (F.abs(F.col("size") - F.col("other_size")) <= 2) & ((F.col("other_n") > F.col("n")) | ((F.col("other_n") == F.col("n")) & (F.col("other") < F.col("core"))))
-    pairs = a.join(b, ["tenant", "gram"]).filter(near).select("tenant", "core", "other", "other_n").distinct()
-    pairs = pairs.filter(F.levenshtein("core", "other", 2) >= 0)
-    best = pairs.groupBy("tenant", "core").agg(F.max_by("other", F.struct("other_n", F.hash("other"))).alias("to_core"))
-    first = (cores if fresh is None else fresh).select("tenant", "core").join(best, ["tenant", "core"], "left").withColumn("to_core", F.coalesce("to_core", "core"))
-    onward = first.select("tenant", F.col("core").alias("to_core"), F.col("to_core").alias("last"))
-    return first.join(onward, ["tenant", "to_core"], "left").select("tenant", "core", F.coalesce("last", "to_core").alias("to_core"))
-
-
-def _looked(parsed: DataFrame, spelt: DataFrame) -> DataFrame:
-    """parsed with to_core, by the organisation's core or else the address's host."""
-    known = broadcast_if_small(spelt.select("tenant", F.col("core").alias("_core"), "to_core"))
-    return parsed.withColumn("_core", F.when(F.col("core") != "", F.col("core")).when(F.col("host") != "", F.col("host"))).join(known, ["tenant", "_core"], "left").drop("_core")
+    n = counts.select("tenant", F.col("core").alias("other"), F.col("n").alias("other_n"))
+    better = (F.col("other_n") > F.col("n")) | ((F.col("other_n") == F.col("n")) & (F.col("other") < F.col("core")))
+    best = near.join(counts, ["tenant", "core"]).join(n, ["tenant", "other"]).filter(better).groupBy("tenant", "core").agg(F.min_by("other", F.struct((-F.col("other_n")).alias("n"), "other")).alias("to_core"))
+    best = cut(best)
+    while True:
+        onward = best.select("tenant", F.col("core").alias("to_core"), F.col("to_core").alias("last"))
+        if not best.join(onward, ["tenant", "to_core"], "left_semi").limit(1).count():
+            break
+        best = cut(best.join(onward, ["tenant", "to_core"], "left").select("tenant", "core", F.coalesce("last", "to_core").alias("to_core")))
+    return counts.select("tenant", "core").join(broadcast_if_small(best), ["tenant", "core"], "left").withColumn("to_core", F.coalesce("to_core", "core"))
 
 
-def usual_kinds(parsed: DataFrame, spelt: DataFrame) -> DataFrame:
-    """(tenant, to_core, usual): the type most rows of a core tell."""
-    kinds = _looked(parsed.filter("kind <> ''"), spelt).filter("to_core is not null").groupBy("tenant", "to_core", "kind").agg(F.count(F.lit(1)).alias("n"))
-    return kinds.groupBy("tenant", "to_core").agg(F.max_by("kind", F.struct("n", "kind")).alias("usual"))
+def usual_kinds(kinds: DataFrame, spelt: DataFrame) -> DataFrame:
+    """(tenant, to_core, usual): the type most rows of a core tell, of core_kinds() and spelling_roots()."""
+    told = kinds.filter("kind <> ''").join(spelt, ["tenant", "core"]).groupBy("tenant", "to_core", "kind").agg(F.sum("n").alias("n"))
+    return told.groupBy("tenant", "to_core").agg(F.max_by("kind", F.struct("n", "kind")).alias("usual"))
 
 
 def with_employers(parsed: DataFrame, spelt: DataFrame, usual: DataFrame) -> DataFrame:
     """parsed with `employer`: core and type; the host of the address where no organisation is given; null if neither names one of the tenant's."""
-    typed = _looked(parsed, spelt).join(broadcast_if_small(usual), ["tenant", "to_core"], "left")
+    known = broadcast_if_small(spelt.select("tenant", F.col("core").alias("_core"), "to_core"))
+    placed = parsed.withColumn("_core", F.when(F.col("core") != "", F.col("core")).when(F.col("host") != "", F.col("host"))).join(known, ["tenant", "_core"], "left").drop("_core")
+    typed = placed.join(broadcast_if_small(usual), ["tenant", "to_core"], "left")
     kind = F.when(F.col("kind") != "", F.col("kind")).otherwise(F.coalesce("usual", F.lit("")))
     return typed.withColumn("employer", F.when(F.col("to_core").isNotNull(), F.concat("to_core", F.lit("/"), kind))).drop("to_core", "usual")
 
 
+# Vertices.
+
+
 def with_vertices(placed: DataFrame) -> DataFrame:
     """placed with `words` (the sorted tokens) and `vertex`, the id of tenant, employer and words."""
     words = F.array_join(F.array_sort(F.split("text", " ")), " ")
@@ -155,56 +217,118 @@ def with_vertices(placed: DataFrame) -> DataFrame:
 
 
 def vertices(people: DataFrame) -> DataFrame:
-    """(vertex, tenant, employer, words, text, weights) of the name classes; text holds the tokens in a typed order, weights a character each (see _quarters)."""
+    """(vertex, place, tenant, employer, words, text) of the name classes; text holds the tokens in a typed order, place is the employer's id."""
+    place = F.when(F.col("employer").isNotNull(), F.xxhash64("tenant", "employer"))
     one = people.groupBy("vertex").agg(*(F.min(c).alias(c) for c in ("tenant", "employer", "words")), F.min("text").alias("text"))
-    one = cut(one)
-    token = one.select("vertex", F.posexplode(F.split("text", " ")).alias("at", "token"))
-    frequency = token.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    total = one.agg(F.count(F.lit(1)).alias("total"))
-    weighted = token.join(broadcast_if_small(frequency), "token").crossJoin(F.broadcast(total))
-    mark = F.char(F.lit(33) + F.floor(4 * F.least(F.log1p(F.col("total") / F.col("df")), F.lit(23.0))))  # a character per token travels cheaper than an array
-    weights = weighted.groupBy("vertex").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", mark.alias("w")))), lambda x: x["w"]), "").alias("weights"))
-    return cut(one.join(weights, "vertex"))
+    return one.withColumn("place", place)
+
+
+def tokens_of(nodes: DataFrame) -> DataFrame:
+    """(token, df): how many vertices have a token, by its occurrences."""
+    return nodes.select(F.explode(F.split("text", " ")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+
+
+def weighted(nodes: DataFrame, frequency: DataFrame, total: int) -> DataFrame:
+    """nodes with the weights of their tokens, a character each (see _quarters): log(1 + total / df)."""
+    token = nodes.select("vertex", F.posexplode(F.split("text", " ")).alias("at", "token")).join(broadcast_if_small(frequency), "token")
+    mark = F.char(F.lit(33) + F.floor(4 * F.least(F.log1p(F.lit(float(total)) / F.col("df")), F.lit(23.0))))  # a character per token travels cheaper than an array
+    weights = token.groupBy("vertex").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", mark.alias("w")))), lambda x: x["w"]), "").alias("weights"))
+    return nodes.join(weights, "vertex")
+
+
+# Candidates.
 
 
 def name_keys(nodes: DataFrame) -> DataFrame:
-    """(vertex, size, key): the hashed q-grams of each vertex within its employer."""
-    grams = nodes.filter("employer is not null").select("vertex", "tenant", "employer", _grams("text").alias("grams"))
-    return grams.select("vertex", F.size("grams").alias("size"), F.explode("grams").alias("gram"), "tenant", "employer").select("vertex", "size", F.xxhash64("tenant", "employer", "gram").alias("key"))
+    """(key, vertex, size): the hashed q-grams of each vertex within its employer."""
+    grams = nodes.filter("place is not null").select("vertex", "place", _name_grams("text").alias("grams"))
+    return grams.select("vertex", "place", F.size("grams").alias("size"), F.explode("grams").alias("gram")).select(F.xxhash64("place", "gram").alias("key"), "vertex", "size")
 
 
-def employer_candidates(keys: DataFrame) -> DataFrame:
+def _meet(probes: DataFrame, keys: DataFrame, frequency: DataFrame, placed: DataFrame, finer: Callable, hot: int, sized: bool = False) -> DataFrame:
+    """(place, a, b): probes (key, vertex) with the other vertices of keys (key, vertex) that share the key.
+
+    placed: (place, vertex, text) the keys are made of. Keys of more than `hot` vertices are refined by finer(). sized:
+    both have `size`, and a probe is only to meet vertices of its size and more.
+    """
+    usual, over = frequency.filter(F.col("df").between(2, hot)).select("key"), frequency.filter(F.col("df") > hot).select("key")
+    size = ["size"] if sized else []
+    a = probes.join(usual, "key").select("key", F.col("vertex").alias("a"), *(F.col(c).alias("sa") for c in size))
+    b = keys.select("key", F.col("vertex").alias("b"), *(F.col(c).alias("sb") for c in size), *(["place"] if "place" in keys.columns else []))
+    fits = (F.col("sa") < F.col("sb")) | ((F.col("sa") == F.col("sb")) & (F.col("a") != F.col("b"))) if sized else F.col("a") != F.col("b")
+    columns = ["place", "a", "b"] if "place" in keys.columns else ["a", "b"]
+    pairs = a.join(b, "key").filter(fits).select(*columns)
+    if over.limit(1).count():
+        crowd = keys.join(broadcast_if_small(over), "key", "left_semi").select("vertex").distinct()
+        parts = placed.join(crowd, "vertex", "left_semi").select("place", "vertex", F.explode(finer("text")).alias("x"))
+        parts = parts.select("place", "vertex", F.xxhash64("place", "x.gram").alias("key"), "x.part", "x.role").join(broadcast_if_small(over), "key", "left_semi")
+        parts = cut(parts.select("place", "vertex", "key", F.xxhash64("key", F.col("part")).alias("part"), "role"))
+        mine = parts.join(probes.select("key", "vertex"), ["key", "vertex"], "left_semi").select("part", F.col("vertex").alias("a"), F.col("role").alias("ra"))
+        other = parts.select("part", "place", F.col("vertex").alias("b"), F.col("role").alias("rb"))
+        for x, y in ((0, (0,)), (1, (1, 2)), (2, (1,))):
+            pairs = pairs.unionByName(mine.filter(F.col("ra") == x).join(other.filter(F.col("rb").isin(*y)), "part").filter("a <> b").select(*columns))
+    return pairs.select(*columns[:-2], F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def meetings(probes: DataFrame, keys: DataFrame, frequency: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): probes (key, vertex) with every vertex of keys that shares a q-gram within the employer."""
+    return _meet(probes, keys, frequency, nodes.select("place", "vertex", "text"), _finer_name_grams, HOT)
+
+
+def employer_candidates(nodes: DataFrame, keys: DataFrame, hot: int | None = None) -> DataFrame:
     """(a, b): pairs of vertices of one employer that share a q-gram among the rarest of the smaller set."""
-    frequency = keys.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    frequency = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
     ranked = keys.join(frequency, "key").withColumn("at", F.row_number().over(Window.partitionBy("vertex").orderBy("df", "key")))
-    probes = ranked.filter(F.col("at") <= F.col("size") - F.ceil(F.col("size") * OVERLAP) + 1).select("key", F.col("vertex").alias("a"), F.col("size").alias("sa"))
-    other = keys.select("key", F.col("vertex").alias("b"), F.col("size").alias("sb"))
-    pairs = probes.join(other, "key").filter((F.col("sa") < F.col("sb")) | ((F.col("sa") == F.col("sb")) & (F.col("a") != F.col("b"))))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    probes = ranked.filter(F.col("at") <= F.col("size") - F.ceil(F.col("size") * OVERLAP) + 1).select("key", "vertex", "size")
+    return _meet(probes, keys, frequency, nodes.select("place", "vertex", "text"), _finer_name_grams, hot or HOT, sized=True)
 
 
 def contact_uses(people: DataFrame) -> DataFrame:
-    """(contact, vertex, words): which name classes use an address or a number of a tenant."""
+    """(contact, vertex): which name classes use an address or a number of a tenant."""
     contact = F.array_compact(F.array(F.when(F.col("email_key").isNotNull(), F.xxhash64("tenant", F.lit("e"), "email_key")), F.when(F.col("phone_key").isNotNull(), F.xxhash64("tenant", F.lit("p"), "phone_key"))))
-    return people.select("vertex", "words", F.explode(contact).alias("contact")).groupBy("contact", "vertex").agg(F.min("words").alias("words"))
+    return people.select("vertex", F.explode(contact).alias("contact")).distinct()
+
 
+def contact_candidates(nodes: DataFrame, uses: DataFrame, mine: DataFrame | None = None, hot: int | None = None) -> DataFrame:
+    """(contact, a, b): pairs of vertices (one of `mine`) with an e-mail address or phone number in common.
 
-def contact_candidates(uses: DataFrame) -> DataFrame:
-    """(a, b): pairs of vertices with a personal e-mail address or phone number in common."""
-    personal = uses.groupBy("contact").agg(F.approx_count_distinct("words").alias("n"), F.count(F.lit(1)).alias("m")).filter((F.col("n") <= OFFICE) & (F.col("m") > 1)).select("contact")
-    mine = cut(uses.join(personal, "contact", "left_semi").select("contact", "vertex"))
-    pairs = mine.withColumnRenamed("vertex", "a").join(mine.withColumnRenamed("vertex", "b"), "contact").filter("a < b")
-    return pairs.select("a", "b").distinct()
+    Of a contact of more than `hot` vertices only those that share a variant of a token, without which names aren't alike.
+    """
+    hot = hot or HOT
+    many = cut(uses.groupBy("contact").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"))
+    shared = uses.join(broadcast_if_small(many.filter(F.col("m") <= hot).select("contact")), "contact", "left_semi")
+    asked = shared if mine is None else shared.join(mine, "vertex", "left_semi")
+    pairs = asked.withColumnRenamed("vertex", "a").join(shared.withColumnRenamed("vertex", "b"), "contact").filter("a < b" if mine is None else "a <> b")
+    pairs = pairs.select("contact", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = pairs if mine is None else pairs.distinct()
+    crowded = many.filter(F.col("m") > hot)
+    if crowded.limit(1).count():
+        crowd = uses.join(broadcast_if_small(crowded.select("contact")), "contact", "left_semi").join(nodes.select("vertex", "text"), "vertex")
+        placed = cut(crowd.select(F.col("contact").alias("place"), "vertex", "text"))
+        keys = placed.select("place", "vertex", F.explode(_contact_grams("text")).alias("gram"))
+        keys = cut(keys.select("place", F.xxhash64("place", "gram").alias("key"), "vertex"))
+        frequency = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
+        probes = keys if mine is None else keys.join(mine, "vertex", "left_semi")
+        pairs = pairs.unionByName(_meet(probes.select("key", "vertex"), keys, frequency, placed, _finer_contact_grams, hot).withColumnRenamed("place", "contact"))
+    return pairs
+
+
+def full_names(nodes: DataFrame) -> DataFrame:
+    """Vertices with names of three and more full words."""
+    return nodes.filter(F.size(F.filter(F.split("words", " "), lambda t: F.length(t) > 1)) >= 3)
 
 
 def namesake_candidates(nodes: DataFrame) -> DataFrame:
     """(a, b): vertices without an employer and vertices of the same words in the tenant; only names of three and more full words."""
-    full = nodes.filter(F.size(F.filter(F.split("words", " "), lambda t: F.length(t) > 1)) >= 3)
+    full = full_names(nodes)
     lone = full.filter("employer is null").select("tenant", "words", F.col("vertex").alias("a"))
     rest = full.filter("employer is not null").select("tenant", "words", F.col("vertex").alias("b"))
     return lone.join(rest, ["tenant", "words"]).select("a", "b")
 
 
+# Decisions.
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(vertex, label): the smallest vertex of each connected component, for vertices that have an edge (a, b)."""
     both = cut(edges.select(F.col("a").alias("vertex"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("vertex"), F.col("a").alias("to"))).distinct())
@@ -221,26 +345,45 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def verified(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, same_employer, contact, class, score, short) of candidate pairs with alike names; short is the vertex with fewer letters."""
-    side = lambda x: nodes.select(F.col("vertex").alias(x), *(F.col(c).alias(x + "_" + c) for c in ("text", "employer", "weights")))
+    """(a, b, same_employer, contact, class, score, short) of candidate pairs with alike names; short is the vertex with fewer letters. nodes: weighted()."""
+    side = lambda x: nodes.select(F.col("vertex").alias(x), *(F.col(c).alias(x + "_" + c) for c in ("text", "place", "weights")))
     known = pairs.join(side("a"), "a").join(side("b"), "b")
-    got = known.withColumn("c", _compared("a_text", "b_text", "a_weights", "b_weights"))
-    short = F.when(F.length("a_text") <= F.length("b_text"), F.col("a")).otherwise(F.col("b"))
-    return got.select("a", "b", F.coalesce(F.col("a_employer") == F.col("b_employer"), F.lit(False)).alias("same_employer"), "contact", F.col("c.class").alias("class"), F.col("c.score").alias("score"), short.alias("short")).filter("class > 0")
+    got = known.withColumn("c", _compared("a_text", "b_text", "a_weights", "b_weights", "contact"))
+    short = F.when((F.length("a_text") < F.length("b_text")) | ((F.length("a_text") == F.length("b_text")) & (F.col("a") < F.col("b"))), F.col("a")).otherwise(F.col("b"))
+    same = F.coalesce(F.col("a_place") == F.col("b_place"), F.lit(False))
+    return got.select("a", "b", same.alias("same_employer"), "contact", F.col("c.class").alias("class"), F.col("c.score").alias("score"), short.alias("short")).filter("class > 0")
+
+
+def both_candidates(org: DataFrame, shared: DataFrame) -> DataFrame:
+    """(a, b, contact): candidates by employer (a, b) and by contact (contact, a, b), each pair once."""
+    every = org.select("a", "b", F.lit(False).alias("contact")).unionByName(shared.select("a", "b", F.lit(True).alias("contact")))
+    return every.groupBy("a", "b").agg(F.max("contact").alias("contact"))
+
+
+def office_contacts(uses: DataFrame, alike: DataFrame) -> DataFrame:
+    """(contact): those more than OFFICE people use. alike: (contact, short): vertices that are alike to a fuller name of the contact."""
+    people = uses.groupBy("contact").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > OFFICE)
+    covered = alike.select("contact", "short").distinct().groupBy("contact").agg(F.count(F.lit(1)).alias("k"))
+    return people.join(covered, "contact", "left").filter(F.col("m") - F.coalesce("k", F.lit(0)) > OFFICE).select("contact")
+
+
+def evident(found: DataFrame, shared: DataFrame, office: DataFrame) -> DataFrame:
+    """found with `contact` true only where a contact of (contact, a, b) is shared that is no office's; pairs with neither that nor the employer in common are left out."""
+    personal = shared.join(broadcast_if_small(office), "contact", "left_anti").select("a", "b").distinct().withColumn("_own", F.lit(True))
+    out = found.join(personal, ["a", "b"], "left").withColumn("contact", F.coalesce("_own", F.lit(False))).drop("_own")
+    return out.filter("same_employer or contact")
 
 
 def decided(found: DataFrame, namesakes: DataFrame) -> DataFrame:
     """(vertex, label) of vertices that are linked: sure links, then abbreviations (and names without an employer) that fit one class only."""
     sure = ((F.col("class") == names.STRONG) & (F.col("score") >= LEAST_STRONG)) | ((F.col("class") == names.WEAK) & F.col("contact") & (F.col("score") >= LEAST_CONTACT))
-    strong = cut(found.filter(sure).select("a", "b"))
-    first = components(strong)
+    first = components(found.filter(sure).select("a", "b"))
     maybe = found.filter((F.col("class") == names.WEAK) & ~F.col("contact") & F.col("same_employer") & (F.col("score") >= LEAST_WEAK)).select("short", F.when(F.col("short") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("long"))
     maybe = maybe.unionByName(namesakes.select(F.col("a").alias("short"), F.col("b").alias("long")))
     labelled = maybe.join(first.withColumnRenamed("vertex", "long"), "long", "left").withColumn("label", F.coalesce("label", "long"))
     single = labelled.groupBy("short").agg(F.min("label").alias("b"), F.max("label").alias("_other")).filter("b = _other and short <> b")
     # What is left joins classes: the second graph has a vertex per class an abbreviation belongs to, and no more.
-    near = single.join(first.withColumnRenamed("vertex", "short"), "short", "left").select("short", F.coalesce("label", "short").alias("a"), "b")
-    near = cut(near)
+    near = cut(single.join(first.withColumnRenamed("vertex", "short"), "short", "left").select("short", F.coalesce("label", "short").alias("a"), "b"))
     joined = components(near.select("a", "b").filter("a <> b")).select(F.col("vertex").alias("label"), F.col("label").alias("onto"))
     every = first.unionByName(near.select(F.col("short").alias("vertex"), F.col("a").alias("label"))).unionByName(near.select(F.col("b").alias("vertex"), F.col("b").alias("label"))).distinct()
     return every.join(joined, "label", "left").select("vertex", F.coalesce("onto", "label").alias("label")).distinct()
@@ -248,31 +391,61 @@ def decided(found: DataFrame, namesakes: DataFrame) -> DataFrame:
 
 def link_people(people: DataFrame) -> DataFrame:
     """(vertex, label): the person each name class stands for. people: rows with a name, with vertices."""
-    nodes = vertices(people)
-    org = employer_candidates(cut(name_keys(nodes))).withColumn("contact", F.lit(False))
-    pairs = org.unionByName(contact_candidates(contact_uses(people)).withColumn("contact", F.lit(True))).groupBy("a", "b").agg(F.max("contact").alias("contact"))
-    joined = decided(cut(verified(nodes, pairs)), namesake_candidates(nodes))
+    plain = cut(vertices(people))
+    nodes = cut(weighted(plain, tokens_of(plain), plain.count()))
+    uses = cut(contact_uses(people))
+    shared = cut(contact_candidates(nodes, uses))
+    pairs = both_candidates(employer_candidates(nodes, cut(name_keys(nodes))), shared)
+    found = cut(verified(nodes, pairs))
+    links = cut(shared.join(found.select("a", "b", "short"), ["a", "b"]))
+    joined = decided(cut(evident(found, links, office_contacts(uses, links))), namesake_candidates(nodes))
     return nodes.select("vertex").join(joined, "vertex", "left").select("vertex", F.coalesce("label", "vertex").alias("label"))
 
 
+def placed_rows(rows: DataFrame) -> DataFrame:
+    """parse_rows() with employers and vertices, by all the rows."""
+    parsed = cut(parse_rows(rows))
+    kinds = cut(core_kinds(parsed))
+    counts = cut(kinds.groupBy("tenant", "core").agg(F.sum("n").alias("n")))
+    spelt = cut(spelling_roots(counts, cut(near_cores(counts, core_pieces(counts)))))
+    return cut(with_vertices(with_employers(parsed, spelt, usual_kinds(kinds, spelt))))
+
+
 def classes(rows: DataFrame) -> DataFrame:
     """(row_id, tenant, kind, class_id, spelling): the person (kind 'person') or else organisation each row names, and the hash of how it is spelt.
 
     Rows that name neither are left out.
     """
-    parsed = cut(parse_rows(rows))
-    spelt = cut(core_spellings(count_cores(parsed)))
-    placed = cut(with_vertices(with_employers(parsed, spelt, usual_kinds(parsed, spelt))))
+    placed = placed_rows(rows)
     people = placed.filter("vertex is not null")
     person = people.join(link_people(people), "vertex").select("row_id", "tenant", F.lit("person").alias("kind"), F.col("label").alias("class_id"), F.col("name_hash").alias("spelling"))
     office = placed.filter("vertex is null and core <> '' and employer is not null")
     return person.unionByName(office.select("row_id", "tenant", F.lit("organization").alias("kind"), F.xxhash64("tenant", "employer").alias("class_id"), F.col("organization_hash").alias("spelling")))
 
 
+def class_members(rows: DataFrame) -> DataFrame:
+    """(row_id, tenant, kind, class_id, n_links): every row's class and the number of rows of it that are spelt differently.
+
+    The links of a class in one row each: counted per class and spelling, so a class of very many rows is joined with as many numbers as it has spellings.
+    """
+    named = cut(classes(rows))
+    group = ["tenant", "kind", "class_id"]
+    same = named.groupBy(*group, "spelling").agg(F.count(F.lit(1)).alias("_same"))
+    whole = same.groupBy(*group).agg(F.sum("_same").alias("_all"))
+    linked = same.join(whole, group).select(*group, "spelling", (F.col("_all") - F.col("_same")).alias("n_links"))
+    return named.join(linked, [*group, "spelling"]).select("row_id", *group, "n_links")
+
+
+def as_rows(records: DataFrame) -> DataFrame:
+    return records.select(F.col("id").alias("row_id"), F.col("organization_id").alias("tenant"), "full_name", "organization", "email", "phone")
+
+
 def variant_pairs(records: DataFrame) -> DataFrame:
-    """(record_a, record_b): records of one tenant that name the same person, or for rows without a name the same organisation, spelt differently."""
-    rows = records.select(F.col("id").alias("row_id"), F.col("organization_id").alias("tenant"), "full_name", "organization", "email", "phone")
-    named = cut(classes(rows).select(F.xxhash64("tenant", "kind", "class_id").alias("class"), "row_id", "spelling"))
+    """(record_a, record_b): records of one tenant that name the same person, or for rows without a name the same organisation, spelt differently.
+
+    As many rows as there are pairs, as the definition asks; class_members() has the same links in one row per record.
+    """
+    named = cut(classes(as_rows(records)).select(F.xxhash64("tenant", "kind", "class_id").alias("class"), "row_id", "spelling"))
     a = named.select("class", F.col("row_id").alias("record_a"), F.col("spelling").alias("_a"))
     b = named.select("class", F.col("row_id").alias("record_b"), F.col("spelling").alias("_b"))
     return a.join(b, "class").filter("record_a < record_b and _a <> _b").select("record_a", "record_b")

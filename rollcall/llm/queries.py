@@ -31,13 +31,19 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "raw_records").selectExpr("id row_id", "organization_id tenant", "full_name", "organization", "email", "phone")
-    return people.classes(rows)
+    """Every record's person or organisation and the number of records that spell it differently."""
+    return people.class_members(people.as_rows(table(spark, sf_dir, "raw_records", "id", "organization_id", "full_name", "organization", "email", "phone")))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("id", "organization_id", "full_name", "organization", "email", "phone")
-    return history.batch_pairs(table(spark, sf_dir, "raw_records", *columns), table(spark, sf_dir, "incoming_records", *columns))
+    return history.batch_pairs(table(spark, sf_dir, "raw_records", *columns), table(spark, sf_dir, "incoming_records", *columns, "batch_no"))
+
+
+def p4_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full copies among the incoming rows, and how much of each text history has."""
+    columns = ("id", "organization_id", "normalized_text")
+    return history.copies(table(spark, sf_dir, "raw_records", *columns), table(spark, sf_dir, "incoming_records", *columns, "batch_no"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +71,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "subject")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_golden, p2_found, p2_nearest, p3_found, p3_classes, p4_found, p5_found, p5_look_alikes, p8_ids, p9_containers, p9_report, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_golden, p2_found, p2_nearest, p3_found, p3_classes, p4_found, p4_copies, p5_found, p5_look_alikes, p8_ids, p9_containers, p9_report, p10_found)}
 
 
 def _list(values: tuple[str, ...]) -> str:

@@ -1,15 +1,21 @@
 """Problem 5: one consistent form for text that looks the same.
 
 Skeleton: decompose (NFKD and canonical order), drop what can't be seen, replace every character by its prototype from
-the look-alike table, decompose again; equal skeletons look equal. The consistent form of a value is its skeleton's
-reading as text: composed (NFC), usual spaces and widths, letters of one script per word.
+the look-alike table, decompose again; equal skeletons look equal. The table is the public confusables table that comes
+with Spark's own ICU library: it is asked once on the driver, in one call, and travels to the tasks (some thousand
+entries, whatever the data). Originals are grouped by equal skeleton; the usual form of a group is its most frequent
+member that is written as usual, and a member is unusual if it isn't written as the usual form of its group.
 
-A word keeps its script if it is written wholly in it: look-alike letters are only replaced in words that mix scripts,
-or in words made of nothing but look-alikes standing beside words of the other script.
+Written as usual means: composed (NFC), usual spaces and widths, letters of one script per word. A word keeps its
+script if it is written wholly in it: look-alike letters are only replaced in words that mix scripts, or in words made
+of nothing but look-alikes standing beside words of the other script.
 
 Defined results: null gives null, '' gives '', white space other than U+0020 becomes U+0020 (edges and runs stay as
-typed), texts of any length are handled whole, other columns are passed by. Plain values (only characters that are
-already in the usual form) are recognised by one JVM regular expression and never reach Python.
+typed), texts of any length are handled whole, other columns are passed by; members of a group that occur equally often:
+the smaller one is its usual form; a group without a member written as usual has its own reading as usual form.
+
+Scale: spellings are counted before their skeleton is made, so a value that fills a third of the table is one row; rows
+whose value has only plain characters are set aside by a JVM expression and never meet the groups.
 """
 
 from __future__ import annotations
@@ -17,48 +23,35 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
-
-# Letters of other scripts, each followed by its Latin look-alike.
-CYRILLIC = dict(
-    pair
-    for pair in (
-        "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT ҮY УY ХX ԌG ԚQ ԜW "
-        "аa вb еe ѕs іi јj кk мm нh оo рp сc тt уy хx һh ԁd ԛq ԝw ӏl"
-    ).split()
-)
-GREEK = dict(
-    pair
-    for pair in (
-        "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX "
-        "αa γy ιi κk νv οo ρp σo τt υu χx ωw ϲc ϳj"
-    ).split()
-)
-LATIN = {"Ð": "Đ", "Ɖ": "Đ", "ð": "đ", "ɖ": "đ", "ı": "i", "ȷ": "j", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ʋ": "v", "ſ": "s"}
-PUNCTUATION = {"‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", "ʼ": "'", "’": "'", "‘": "'", "՚": "'", "․": ".", "‚": ",", "⁄": "/", "∕": "/", "∶": ":"}
-#: Look-alikes close enough to be taken for the Latin letter inside a Latin word; the rest of a script's letters betray it.
-TO_LATIN = CYRILLIC | GREEK
-SAME_SCRIPT = LATIN | PUNCTUATION
-FROM_LATIN = {"CYRILLIC": {v: k for k, v in reversed(CYRILLIC.items())}, "GREEK": {v: k for k, v in reversed(GREEK.items())}}
-
-
-def _plain_class() -> str:
-    """Letters, digits and marks of the usual form, as a character class made from the Unicode data: composed Latin letters up to U+1EFF and ASCII."""
-    keep = [chr(c) for c in (*range(0xC0, 0x180), *range(0x1A0, 0x1B1), *range(0x1EA0, 0x1EFA)) if unicodedata.category(chr(c)) in ("Ll", "Lu") and unicodedata.normalize("NFKC", chr(c)) == chr(c) and chr(c) not in SAME_SCRIPT]
-    return "^[ -~" + "".join(keep) + "]*$"
-
-
-PLAIN = _plain_class()
+from pyspark.sql.types import StringType, StructType
+
+from rollcall.session import broadcast_if_small
+
+# Letters whose prototype in the public table isn't the letter they are taken for in a name, each with that letter.
+BESIDES = dict("кk κk τt υu χx ωw ðđ ÐĐ ɖđ ƉĐ ʋv ſs".split())
+_INVISIBLE = "͏ᅟᅠ឴឵ㅤﾠ"
+
+
+def _plain_letters() -> str:
+    """Composed Latin letters of the usual form up to U+1EFF, from the Unicode data."""
+    inside = (*range(0xC0, 0x180), *range(0x1A0, 0x1B1), *range(0x1EA0, 0x1EFA))
+    return "".join(c for c in map(chr, inside) if unicodedata.category(c) in ("Ll", "Lu") and unicodedata.normalize("NFKC", c) == c and c not in BESIDES and c != "ı")
+
+
+_USUAL = _plain_letters()
+PLAIN = "^[ -~" + _USUAL + "]*$"
 _plain = re.compile(PLAIN).match
 
 
 @functools.lru_cache(1 << 16)
 def _script(ch: str) -> str:
-    """Latin, Greek, Cyrillic and so on for letters, '' for everything else."""
+    """LATIN, GREEK, CYRILLIC and so on for letters, '' for everything else."""
     if ch.isascii():
         return "LATIN" if ch.isalpha() else ""
     if not unicodedata.category(ch).startswith("L"):
@@ -66,6 +59,82 @@ def _script(ch: str) -> str:
     return unicodedata.name(ch, "").split(" ")[0].replace("MICRO", "GREEK")
 
 
+class LookAlikes:
+    """The look-alike table. prototype: character to prototype; latin: letters and signs to the usual characters they are taken for; back: by script, Latin letters to that script's own."""
+
+    def __init__(self, prototype: dict[str, str]):
+        self.prototype = dict(prototype)
+        usual = {c: unicodedata.name(c)[-1].lower() for c in map(chr, range(0x250, 0xA800)) if re.fullmatch("LATIN LETTER SMALL CAPITAL [A-Z]", unicodedata.name(c, ""))}
+        self.latin: dict[str, str] = dict(usual)
+        for c in _USUAL:
+            usual.setdefault(unicodedata.normalize("NFD", self._mapped(unicodedata.normalize("NFD", c))), c)
+        for c, p in prototype.items():
+            if c in _USUAL or c.isascii():
+                continue
+            taken = self._taken(c, p, usual)
+            if taken:
+                self.latin[c] = taken
+        self.latin |= BESIDES
+        # What is taken for a letter has that letter's prototype, so that readings keep the skeleton.
+        for c, taken in self.latin.items():
+            self.prototype[c] = self._mapped(unicodedata.normalize("NFD", taken))
+        self.back: dict[str, dict[str, str]] = {}
+        for c in sorted(self.latin, reverse=True):
+            taken = self.latin[c]
+            if len(taken) == 1 and _script(c) not in ("", "LATIN"):
+                self.back.setdefault(_script(c), {})[taken] = c
+
+    @staticmethod
+    def _taken(c: str, p: str, usual: dict[str, str]) -> str:
+        """The usual letter or sign a character is taken for, in its own case; '' if it isn't a look-alike of one."""
+        kind = unicodedata.category(c)
+        if kind in ("Lu", "Ll", "Lo", "Lm"):
+            if p == "l":
+                return "I" if kind == "Lu" else "l"
+            if p == "rn":
+                return "m"
+            if len(p) == 1 and p.isascii() and (p.isalpha() or (kind == "Lm" and not p.isalnum())):
+                return p
+            return usual.get(unicodedata.normalize("NFD", p), "") if kind in ("Lu", "Ll") else ""
+        return p if kind[0] in "PS" and kind != "Sc" and len(p) == 1 and p.isascii() and not p.isalnum() else ""
+
+    def _mapped(self, text: str) -> str:
+        return "".join(self.prototype.get(c, c) for c in text)
+
+    def skeleton(self, text: str) -> str:
+        """Decomposed, every character replaced by its prototype, decomposed again."""
+        return unicodedata.normalize("NFD", self._mapped(unicodedata.normalize("NFKD", _visible(text))))
+
+    def _word(self, word: str, scripts: set[str], latin: bool) -> str:
+        """A decomposed word with look-alikes replaced where it mixes scripts; latin: other words are Latin, and none shows another script."""
+        if scripts <= {"LATIN"}:
+            return word
+        read = self.latin
+        foreign = [c for c in word if _script(c) not in ("", "LATIN")]
+        if "LATIN" not in scripts:
+            return "".join(read.get(c, c) for c in word) if latin and all(c in read for c in foreign) else word
+        shown = {_script(c) for c in foreign if c not in read}
+        borrowed = [c for c in word if _script(c) == "LATIN"]
+        own = {_script(c) for c in foreign}
+        if len(own) == 1 and (shown or (not latin and len(foreign) > len(borrowed))):
+            back = self.back.get(next(iter(own)), {})
+            if all(c in back for c in borrowed):
+                return "".join(back.get(c, c) for c in word)
+        return "".join(read.get(c, c) for c in word)
+
+    def reading(self, text: str) -> str:
+        """The text as it is usually written; the text itself if nothing in it is unusual."""
+        if _plain(text):
+            return text
+        plain = unicodedata.normalize("NFKD", _visible(text))
+        same = {c: t for c in set(plain) if (t := self.latin.get(c)) and _script(c) in ("", "LATIN")}
+        words = "".join(same.get(c, c) for c in plain).split(" ")
+        scripts = [{s for c in w if (s := _script(c))} for w in words]
+        shows = any(_script(c) not in ("", "LATIN") and c not in self.latin for w, s in zip(words, scripts) if "LATIN" not in s for c in w)
+        latin = not shows and any("LATIN" in s for s in scripts)
+        return unicodedata.normalize("NFC", " ".join(self._word(w, s, latin) for w, s in zip(words, scripts)))
+
+
 def _visible(text: str) -> str:
     """Without characters that take no room; every space as U+0020."""
     out = []
@@ -73,86 +142,93 @@ def _visible(text: str) -> str:
         kind = unicodedata.category(ch)
         if kind == "Zs" or ch in "\t\n\r\v\f\x85  ":
             out.append(" ")
-        elif kind in ("Cf", "Cc") or ch in "͏ᅟᅠ឴឵ㅤﾠ" or "︀" <= ch <= "️":
+        elif kind in ("Cf", "Cc") or ch in _INVISIBLE or "︀" <= ch <= "️":
             continue
         else:
             out.append(ch)
     return "".join(out)
 
 
+_table: LookAlikes | None = None
+_shared: dict[str, Broadcast] = {}
+
+
+def use(table: LookAlikes) -> None:
+    """Makes a table the one consistent_form() and skeleton() of this process use."""
+    global _table
+    if _table is not table:
+        _table = table
+        consistent_form.cache_clear()
+
+
+def look_alike_table(spark: SparkSession) -> Broadcast:
+    """The public look-alike table, read once per application from Spark's ICU library (its size doesn't depend on the data); also used in this process."""
+    known = _shared.get(spark.sparkContext.applicationId)
+    if known is None:
+        checker = spark.sparkContext._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+        letters = [c for c in map(chr, range(0x21, 0x30000)) if unicodedata.category(c)[0] not in "CZ"]
+        found = checker.getSkeleton("\n".join(letters)).split("\n")
+        table = LookAlikes({c: p for c, p in zip(letters, found, strict=True) if p != unicodedata.normalize("NFD", c)})
+        _shared.clear()
+        known = _shared[spark.sparkContext.applicationId] = spark.sparkContext.broadcast(table)
+        use(table)
+    return known
+
+
 def skeleton(text: str | None) -> str | None:
-    """Decomposed, every character replaced by its prototype, decomposed again."""
-    if text is None:
-        return None
-    first = unicodedata.normalize("NFKD", _visible(text))
-    return unicodedata.normalize("NFD", "".join(TO_LATIN.get(c) or SAME_SCRIPT.get(c) or c for c in first))
-
-
-def _word(word: str, scripts: set[str], latin: bool) -> str:
-    """A decomposed word with look-alikes replaced where it mixes scripts; latin: other words are Latin, and none shows another script."""
-    if scripts <= {"LATIN"}:
-        return word
-    foreign = {c for c in word if _script(c) not in ("", "LATIN")}
-    if "LATIN" not in scripts:
-        return "".join(TO_LATIN.get(c, c) for c in word) if latin and foreign <= TO_LATIN.keys() else word
-    shown = {_script(c) for c in foreign - TO_LATIN.keys()}
-    borrowed = [c for c in word if _script(c) == "LATIN"]
-    for script, back in FROM_LATIN.items():
-        if shown == {script} and all(c in back for c in borrowed):
-            return "".join(back.get(c, c) for c in word)
-    return "".join(TO_LATIN.get(c, c) for c in word)
+    return None if text is None else _table.skeleton(text)
 
 
+@functools.lru_cache(1 << 15)
 def consistent_form(text: str | None) -> str | None:
-    """The value as it is usually written; the value itself if nothing in it is unusual."""
-    if text is None or _plain(text):
-        return text
-    plain = unicodedata.normalize("NFKD", _visible(text))
-    words = "".join(SAME_SCRIPT.get(c, c) for c in plain).split(" ")
-    scripts = [{s for c in w if (s := _script(c))} for w in words]
-    shows = any(_script(c) not in ("", "LATIN") and c not in TO_LATIN for w, s in zip(words, scripts) if "LATIN" not in s for c in w)
-    latin = not shows and any("LATIN" in s for s in scripts)
-    return unicodedata.normalize("NFC", " ".join(_word(w, s, latin) for w, s in zip(words, scripts)))
+    """The value as it is usually written, by the table in use."""
+    return text if text is None or _plain(text) else _table.reading(text)
 
 
-@F.pandas_udf(StringType())
-def _consistent(values: pd.Series) -> pd.Series:
-    return values.map(consistent_form, na_action="ignore")
+def _read(spark: SparkSession) -> Callable[[Column], Column]:
+    """A function that gives a value's skeleton and reading."""
+    table = look_alike_table(spark)
 
+    @F.pandas_udf(StructType().add("skeleton", StringType()).add("reading", StringType()))
+    def read(values: pd.Series) -> pd.DataFrame:
+        use(table.value)
+        return pd.DataFrame({"skeleton": values.map(skeleton, na_action="ignore"), "reading": values.map(consistent_form, na_action="ignore")})
 
-@F.pandas_udf(StringType())
-def _skeletons(values: pd.Series) -> pd.Series:
-    return values.map(skeleton, na_action="ignore")
+    return read
 
 
-def skeleton_column(c: Column | str) -> Column:
-    return _skeletons(F.col(c) if isinstance(c, str) else c)
+def _values(df: DataFrame, fields: tuple[str, ...], key: str | None = None) -> DataFrame:
+    """([record_id,] field_name, value) of the values that aren't null."""
+    own = [F.col(key).alias("record_id")] if key else []
+    values = F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("value")) for f in fields))
+    return df.select(*own, F.explode(values).alias("v")).select(*(["record_id"] if key else []), "v.field_name", "v.value").filter("value is not null")
 
 
-def _odd_values(df: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
-    """(record_id, field_name, value) of values with a character outside the plain class."""
-    values = F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in fields))
-    odd = F.filter(values, lambda x: x["value"].isNotNull() & ~x["value"].rlike(PLAIN))
-    return df.select(F.col(key).alias("record_id"), F.explode(odd).alias("v")).select("record_id", "v.field_name", "v.value")
+def spellings(df: DataFrame, fields: tuple[str, ...] = ("full_name", "organization")) -> DataFrame:
+    """(field_name, value, n, skeleton, reading, usual): every stored spelling, its rows, and the usual form of its skeleton group."""
+    counted = _values(df, fields).groupBy("field_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    keyed = counted.withColumn("r", _read(df.sparkSession)("value")).select("field_name", "value", "n", "r.skeleton", "r.reading")
+    best = F.min(F.when(F.col("value") == F.col("reading"), F.struct((-F.col("n")).alias("n"), F.col("value").alias("form"))))
+    group = Window.partitionBy("field_name", "skeleton")
+    usual = F.when(F.col("value") == F.col("reading"), F.col("value")).otherwise(F.coalesce(best.over(group)["form"], F.col("reading")))
+    return keyed.withColumn("usual", usual)
 
 
 def unusual_values(df: DataFrame, key: str = "id", fields: tuple[str, ...] = ("full_name", "organization")) -> DataFrame:
-    """(record_id, field_name, value, consistent, skeleton) of values that aren't in their usual form. One pass, no shuffle."""
-    out = _odd_values(df, key, fields).withColumns({"consistent": _consistent("value"), "skeleton": _skeletons("value")})
-    return out.filter(F.col("value") != F.col("consistent"))
+    """(record_id, field_name, value, consistent, skeleton) of values that aren't written as the usual form of their skeleton group."""
+    odd = spellings(df, fields).filter("value <> usual").select("field_name", "value", F.col("usual").alias("consistent"), "skeleton")
+    rows = _values(df, fields, key).filter(~F.col("value").rlike(PLAIN))
+    return rows.join(broadcast_if_small(odd), ["field_name", "value"]).select("record_id", "field_name", "value", "consistent", "skeleton")
 
 
 def consistent_columns(df: DataFrame, fields: tuple[str, ...] = ("full_name", "organization")) -> DataFrame:
-    """df with each field in its consistent form."""
-    return df.withColumns({f: F.when(F.col(f).rlike(PLAIN), F.col(f)).otherwise(_consistent(F.when(~F.col(f).rlike(PLAIN), F.col(f)))) for f in fields})
+    """df with each field in its consistent form, read value by value."""
+    read = _read(df.sparkSession)
+    return df.withColumns({f: F.when(F.col(f).rlike(PLAIN), F.col(f)).otherwise(read(F.when(~F.col(f).rlike(PLAIN), F.col(f)))["reading"]) for f in fields})
 
 
 def look_alikes(df: DataFrame, fields: tuple[str, ...] = ("full_name", "organization")) -> DataFrame:
-    """(field_name, skeleton, consistent, n_rows, n_spellings) of skeletons with more than one stored spelling.
-
-    Rows are counted per spelling before the skeleton is computed, so a spelling that fills a third of the table is one row after the first exchange.
-    """
-    values = F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in fields))
-    spellings = df.select(F.explode(values).alias("v")).select("v.field_name", "v.value").filter("value is not null").groupBy("field_name", "value").agg(F.count(F.lit(1)).alias("n"))
-    keyed = spellings.withColumns({"skeleton": _skeletons("value"), "consistent": _consistent("value")})
-    return keyed.groupBy("field_name", "skeleton").agg(F.min("consistent").alias("consistent"), F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_spellings")).filter("n_spellings > 1")
+    """(field_name, skeleton, consistent, n_rows, n_spellings) of skeletons with more than one stored spelling."""
+    form = F.min_by("usual", F.struct((-F.col("n")).alias("n"), F.col("usual").alias("form")))
+    groups = spellings(df, fields).groupBy("field_name", "skeleton").agg(form.alias("consistent"), F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_spellings"))
+    return groups.filter("n_spellings > 1")

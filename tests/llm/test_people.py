@@ -1,6 +1,15 @@
+import random
+
 import pytest
 
 from rollcall.llm import history, names, people
+from rollcall.llm.skeleton import look_alike_table
+
+
+@pytest.fixture(autouse=True, scope="module")
+def table(spark):
+    look_alike_table(spark)
+
 
 COLUMNS = "id string, organization_id string, full_name string, organization string, email string, phone string"
 
@@ -50,17 +59,98 @@ def test_hot_group_of_copies(spark):
     assert len(got) == 300 and all("x" in tuple(r) for r in got)
 
 
-def test_batches_equal_one_go(spark):
-    raw, new = ROWS[:4], [("m1", "t", "Trần Khánh Hưng", "Fisubudedo Centre", None, None), ("m2", "t", "TRẦN KHÁNH HƯNG", None, None, "0685 672 530"), ("m3", "u", "Tran Khanh Hung", None, None, None), ("m4", "t", None, "Trung tâm Fisubudedo", None, None), ("a1", "t", "Trần Khánh Hưng", "TT Fisubudedo", None, None)]
-    r, i = spark.createDataFrame(raw, COLUMNS), spark.createDataFrame(new, COLUMNS)
-    one = {tuple(x) for x in history.batch_pairs(r, i).collect()}
-    h, many = history.start(history.as_rows(r)), set()
-    for part in (new[:1], new[1:]):
-        found, hashes = history.match(h, history.as_rows(spark.createDataFrame(part, COLUMNS)))
-        many |= {tuple(x) for x in found.collect()}
-        history.append(h, hashes)
-    assert many == one
-    assert one == {tuple(sorted(p)) for p in [(m, a) for m in ("m1", "m2") for a in ("a1", "a2", "a3", "a4")] + [("m1", "m2")] + [("a1", a) for a in ("a2", "a3", "a4")]}
+def test_one_person_with_thirty_spellings_is_one_class(spark):
+    full = "Trần Khánh Hưng"
+    spelt = [full, "T. K. Hưng", "Hưng Trần", "Tran Khanh Hung"] + [f"Trần Khánh H{x}ưng" for x in "bcdghklmnpqstvx"] + [f"Trần Khá{x}nh Hưng" for x in "bcdghklpqvx"]
+    rows = [(f"r{i}", "t", n, f"Công ty TNHH Zyx{chr(97 + i)}wvu{chr(97 + i % 7)}qq" if i % 2 else None, "hung.tran@mail.example", None) for i, n in enumerate(spelt)]
+    got = people.class_members(people.as_rows(spark.createDataFrame(rows, COLUMNS))).collect()
+    assert len(got) == 30 and len({r["class_id"] for r in got}) == 1 and {r["n_links"] for r in got} == {29}
+
+
+def test_crowded_office_links_nobody_and_crowded_address_loses_nobody(spark):
+    given = ["An", "Bình", "Chi", "Dung", "Giang", "Hà", "Khoa", "Linh", "Minh", "Nga", "Oanh", "Phúc", "Quân", "Sơn", "Tâm", "Uyên", "Vinh", "Xuân", "Yến", "Đức"]
+    office = [(f"o{i}", "t", f"{s} {m} {g}", f"Viện Q{chr(97 + i % 26)}w{chr(97 + i // 26)}erty", None, "0655555123") for i, (s, m, g) in enumerate((s, m, g) for s in ("Lê", "Vũ") for m in ("Thị", "Gia") for g in given)]
+    office += [("x", "t", "L. T. An", "Viện Zzzzzz", None, "0655555123")]
+    assert people.variant_pairs(spark.createDataFrame(office, COLUMNS)).count() == 0
+
+
+@pytest.mark.parametrize("hot", [2, 5])
+def test_refined_keys_find_the_same(spark, monkeypatch, hot):
+    rows = people.as_rows(spark.read.parquet("/root/testdata/sf0.001/raw_records.parquet"))
+    want = classes_of(people.classes(rows))
+    monkeypatch.setattr(people, "HOT", hot)
+    assert classes_of(people.classes(rows)) == want
+
+
+def classes_of(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault((r["kind"], r["class_id"]), set()).add(r["row_id"])
+    return sorted(map(sorted, out.values()))
+
+
+def test_candidates_at_a_hot_employer_grow_in_proportion(spark):
+    def pairs(n):
+        parts = [a + b + c for a in "bcdghklmnprstvx" for b in ("a", "e", "i", "o", "u", "ay", "oi") for c in ("lo", "mi", "na", "pe", "qu", "ri", "su", "ta", "vo", "xi", "ke", "du", "fa", "gi", "ho", "jy", "za", "we", "by", "co")]
+        names_ = [(f"r{i}", "t", f"Nguyen H{parts[i]}zk", "Viện Abcdefgh", None, None) for i in range(n)]
+        nodes = people.vertices(people.placed_rows(people.as_rows(spark.createDataFrame(names_, COLUMNS))).filter("vertex is not null"))
+        return people.employer_candidates(nodes, people.name_keys(nodes)).count()
+
+    assert pairs(1600) < 40 * 1600
+
+
+def test_cores(spark):
+    counts = spark.createDataFrame([("t", "abcdefgh", 9), ("t", "abcdefg", 5), ("t", "abcdef", 3), ("t", "abcdxf", 3), ("t", "fpt", 9), ("t", "fpts", 2), ("t", "wxyz", 1), ("t", "wxyy", 1), ("u", "abcdef", 1)], "tenant string, core string, n long")
+    near = people.near_cores(counts, people.core_pieces(counts))
+    got = {(r["tenant"], r["core"]): r["to_core"] for r in people.spelling_roots(counts, near).collect()}
+    assert got == {("t", "abcdefgh"): "abcdefgh", ("t", "abcdefg"): "abcdefgh", ("t", "abcdef"): "abcdefgh", ("t", "abcdxf"): "abcdefgh", ("t", "fpt"): "fpt", ("t", "fpts"): "fpts", ("t", "wxyz"): "wxyy", ("t", "wxyy"): "wxyy", ("u", "abcdef"): "abcdef"}
+
+
+def step_by_step(spark, old, batches):
+    """The pairings each batch establishes."""
+    h, out = history.start(history.as_rows(spark.createDataFrame(old, COLUMNS))), []
+    for part in batches:
+        found, new = history.match(h, history.as_rows(spark.createDataFrame(part, COLUMNS)))
+        out.append({tuple(r) for r in found.collect()})
+        history.append(h, new)
+    h.drop()
+    return out
+
+
+def hold(spark, old, batches):
+    """After each batch: what it established is in the joint run over all rows so far, and all of that has come out."""
+    seen = set()
+    for k, found in enumerate(step_by_step(spark, old, batches)):
+        joint = joint_pairs(spark, old, [r for b in batches[: k + 1] for r in b])
+        seen |= found
+        assert found <= joint <= seen
+    return seen
+
+
+def test_batches_one_by_one(spark):
+    new = [("m1", "t", "Trần Khánh Hưng", "Fisubudedo Centre", None, None), ("m2", "t", "TRẦN KHÁNH HƯNG", None, None, "0685 672 530"), ("m3", "u", "Tran Khanh Hung", None, None, None), ("m4", "t", None, "Trung tâm Fisubudedo", None, None), ("n5", "t", "Trần Khánh Hưng", "TT Fisubudedo", None, None)]
+    seen = hold(spark, ROWS[:4], [new[:1], new[1:]])
+    assert seen == {tuple(sorted(p)) for p in [(m, a) for m in ("m1", "m2", "n5") for a in ("a1", "a2", "a3", "a4")] + [("m1", "m2"), ("m1", "n5"), ("m2", "n5")]}
+
+
+def test_any_cuts_give_the_joint_run(spark):
+    rows = [tuple(r) for n in ("raw_records", "incoming_records") for r in spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet").select(*(c.split()[0] for c in COLUMNS.split(", "))).collect()]
+    rng = random.Random(5)
+    rng.shuffle(rows)
+    cuts = sorted(rng.sample(range(100, len(rows)), 2))
+    hold(spark, rows[: cuts[0]], [rows[cuts[0] : cuts[1]], rows[cuts[1] :]])
+
+
+def test_rare_tokens_are_weighed_by_history(spark):
+    family = [a + b for a in ("Bu", "Ca", "Da", "Do", "Ho", "La", "Le", "Ly", "Ma", "Ta", "To", "Vo") for b in ("c", "m", "n", "ng", "p", "t", "i", "o", "ch", "nh", "u", "y", "")]
+    old = [(f"h{i:03}", "t", f"{f} Khánh Hưng", "Viện Mosatuline", None, None) for i, f in enumerate(family[:145])] + [("h", "t", "Đỗ Khánh Hưng", "Viện Mosatuline", None, None)]
+    hold(spark, old, [[("n", "t", "Đỗ Khánh Hun", "Viện Mosatuline", None, None)]])
+
+
+def test_a_batch_that_changes_the_usual_spelling_of_an_employer(spark):
+    old = [("a", "t", "Lê Gia Việt", "Viện Mosatuline", None, None), ("b", "t", "Lê Gia Việt", "Viện Mosatulines", None, None), ("c", "t", "Lê Gia Việt", "Viện Mosatulinesxx", None, None), ("d", "t", "Lê Gia Việt", None, "x.y@rapanalo.example", None), ("e", "t", "Lê Gia Việt", "Mosatuline", None, None)]
+    first = [(f"n{i}", "t", "Bùi Gia My", "Hội Mosatulinesx", None, None) for i in range(5)] + [("k", "t", "Lê Gia Việt", "Tập đoàn Rapanalo", None, None)]
+    hold(spark, old, [first, [("z", "t", "L. G. Việt", "Mosatuline", None, None)]])
 
 
 def joint_pairs(spark, old, new):
@@ -78,18 +168,28 @@ def chain():
 
 def test_history_links_of_old_rows_hold(spark):
     old, new = chain()
+    tables = spark.catalog.listTables()
     found = {tuple(r) for r in history.batch_pairs(spark.createDataFrame(old, COLUMNS), spark.createDataFrame(new, COLUMNS)).collect()}
     assert found == joint_pairs(spark, old, new) == {("a", "n1"), ("b", "n1"), ("l1", "n2")}
+    assert spark.catalog.listTables() == tables
 
 
 def test_history_links_of_appended_rows_hold(spark):
     old, new = chain()
-    h, many = history.start(history.as_rows(spark.createDataFrame(old[:1] + old[2:], COLUMNS))), set()
-    for part in (old[1:2], new):
-        found, hashes = history.match(h, history.as_rows(spark.createDataFrame(part, COLUMNS)))
-        many |= {tuple(x) for x in found.collect()}
-        history.append(h, hashes)
-    assert many == {("a", "b"), ("a", "n1"), ("b", "n1"), ("l1", "n2")}
+    assert hold(spark, old[:1] + old[2:], [old[1:2], new]) == {("a", "b"), ("a", "n1"), ("b", "n1"), ("l1", "n2")}
+
+
+def test_a_late_row_joins_earlier_ones(spark):
+    old = [("a", "t", "Trần Khánh Hưng", "Trung tâm Fisubudedo", "hung.tran@mail.example", None)]
+    batches = [[("b", "t", "Trần Khánh Hưng", "Đại học Kokobarabi", None, "0685672530")], [("c", "t", "Tran Khanh Hung", None, "hung.tran@mail.example", "0685672530")]]
+    assert step_by_step(spark, old, batches) == [set(), {("a", "b"), ("a", "c"), ("b", "c")}]
+
+
+def test_copies(spark):
+    columns = "id string, organization_id string, normalized_text string, batch_no int"
+    old = spark.createDataFrame([("a", "t", "An | Abc | Sếp", 0), ("b", "u", "Bình | Abc", 0), ("n", "t", None, 0)], columns)
+    new = spark.createDataFrame([("x", "t", " an | abc | sếp ", 1), ("y", "t", "An | Xyz", 1), ("z", "t", "An | Xyz", 2), ("w", "t", "", 2), ("v", "t", "Bình | Abc", None)], columns)
+    assert {tuple(r) for r in history.copies(old, new).collect()} == {("x", 1, True, 1.0), ("y", 1, False, 0.5), ("z", 2, True, 1.0), ("w", 2, True, 0.0), ("v", None, False, 0.5)}
 
 
 def test_empty_history_and_batch(spark):

@@ -25,6 +25,7 @@ used; extra columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from dataclasses import dataclass, field
 from functools import reduce
@@ -342,6 +343,12 @@ def append(history: History, new: dict[str, DataFrame]) -> None:
     history.vertices = new["total"]
 
 
+def _tidy(spark: SparkSession) -> None:
+    """Lets the driver give back what a finished batch leaves there: plans, compiled stages and broadcast tables, which only go with a collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def as_rows(records: DataFrame) -> DataFrame:
     return people.as_rows(records)
 
@@ -362,6 +369,7 @@ def batch_pairs(records: DataFrame, incoming: DataFrame) -> DataFrame:
             found.append(pairs)
             if number != numbers[-1]:
                 append(history, new)
+                _tidy(history.spark)
     finally:
         history.drop()
     none = records.sparkSession.createDataFrame([], "row_a string, row_b string")

@@ -29,9 +29,7 @@ import gc
 import uuid
 from dataclasses import dataclass, field
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,28 +39,28 @@ from rollcall.session import BROADCAST_BYTES, broadcast_if_small, checkpoint_dir
 
 #: Rows of history a bucket is made for.
 BUCKET_ROWS = 250_000
-# Table: (columns, bucket column).
-TABLES = {
-    "cores": ("ckey", ("ckey", "tenant", "core", "kind", "n")),
-    "pieces": ("key", ("key", "tenant", "core")),
-    "near": ("ckey", ("ckey", "tenant", "core", "other")),
-    "rows": ("ckey", ("ckey", "row_id", "tenant", "core", "kind", "host", "text", "email_key", "phone_key", "incoming")),
-    "nodes": ("vertex", ("vertex", "place", "tenant", "employer", "words", "text", "n")),
-    "members": ("vertex", ("vertex", "row_id", "incoming", "n")),
-    "tokens": ("token", ("token", "df")),
-    "keys": ("key", ("key", "vertex", "size")),
-    "contacts": ("contact", ("contact", "vertex", "n")),
-    "alike": ("a", ("a", "b", "contact")),
-    "covers": ("contact", ("contact", "short", "long")),
-    "groups": ("vertex", ("vertex", "label", "class", "batch")),
-    "group_members": ("label", ("label", "vertex")),
+# What is kept: the hash an entry is found by, and its columns.
+PARTS = {
+    "cores": ("ckey", "tenant string, core string, kind string, n long"),
+    "pieces": ("key", "tenant string, core string"),
+    "near": ("ckey", "tenant string, core string, other string"),
+    "rows": ("ckey", "row_id string, tenant string, core string, kind string, host string, text string, email_key string, phone_key string, incoming boolean"),
+    "nodes": ("vertex", "place long, tenant string, employer string, words string, text string, n long"),
+    "members": ("vertex", "row_id string, incoming boolean, n long"),
+    "tokens": ("tkey", "token string, n long"),
+    "keys": ("key", "vertex long, size int"),
+    "contacts": ("contact", "vertex long, n long"),
+    "alike": ("a", "b long, contact long"),
+    "covers": ("contact", "short long, long long"),
+    "groups": ("vertex", "label long, class long, batch int"),
+    "group_members": ("label", "vertex long"),
 }
 NODE = ("vertex", "place", "tenant", "employer", "words", "text")
 
 
 @dataclass
 class History:
-    """Bucketed hash tables in a folder all executors share."""
+    """Hash tables in a folder all executors share: the parts of one table, bucketed by hash, so that a batch is appended in one job."""
 
     spark: SparkSession
     buckets: int = 8
@@ -70,32 +68,30 @@ class History:
     batches: int = 0
     vertices: int = 0
 
-    def _table(self, part: str) -> str:
-        return f"{self.name}_{part}"
+    def _path(self) -> str:
+        return f"{checkpoint_dir(self.spark)}/{self.name}"
 
-    def _path(self, part: str = "") -> str:
-        return f"{checkpoint_dir(self.spark)}/{self.name}/{part}"
-
-    def add(self, part: str, rows: DataFrame) -> None:
-        by, columns = TABLES[part]
-        rows.select(*columns).repartition(self.buckets, by).write.mode("append").bucketBy(self.buckets, by).option("path", self._path(part)).format("parquet").saveAsTable(self._table(part))
-
-    def add_all(self, parts: dict[str, DataFrame]) -> None:
-        """Adds to every table, some at a time."""
-        with ThreadPool(4) as pool:
-            pool.map(inheritable_thread_target(self.spark)(lambda part: self.add(part, parts[part])), TABLES, chunksize=1)
+    def add(self, parts: dict[str, DataFrame]) -> None:
+        kinds = {c.split()[0]: c.split()[1] for _, columns in PARTS.values() for c in columns.split(", ")}
+        long = None
+        for part, (by, columns) in PARTS.items():
+            own = {c.split()[0] for c in columns.split(", ")}
+            one = parts[part].select(F.lit(part).alias("part"), F.col(by).cast("long").alias("hash"), *((F.col(c) if c in own else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()))
+            long = one if long is None else long.unionByName(one)
+        table = long.repartition(self.buckets, "hash").write.mode("append").partitionBy("part").bucketBy(self.buckets, "hash")
+        table.option("path", self._path()).format("parquet").saveAsTable(self.name)
 
     def read(self, part: str) -> DataFrame:
-        return self.spark.table(self._table(part))
+        by, columns = PARTS[part]
+        return self.spark.table(self.name).filter(F.col("part") == part).select(F.col("hash").alias(by), *(c.split()[0] for c in columns.split(", ")))
 
     def touched(self, part: str, hashes: DataFrame) -> DataFrame:
-        """The entries whose bucket column is among `hashes`, a table of that one column."""
+        """The entries whose hash is among `hashes`, a table of that one column."""
         return self.read(part).join(hashes.distinct(), hashes.columns[0], "left_semi")
 
     def drop(self) -> None:
-        """Deletes the tables; results that read them must have been written."""
-        for part in TABLES:
-            self.spark.sql(f"DROP TABLE IF EXISTS {self._table(part)}")
+        """Deletes the table; results that read it must have been written."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._path())
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -167,6 +163,10 @@ def _live(counted: DataFrame, *by: str) -> DataFrame:
     return counted.groupBy(*by).agg(F.sum("n").alias("n")).filter("n > 0").select(*by)
 
 
+def _counted_tokens(nodes: DataFrame) -> DataFrame:
+    return people.tokens_of(nodes).select(F.xxhash64("token").alias("tkey"), "token", F.col("df").alias("n"))
+
+
 def _unweighted(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("weights", F.lit(""))
 
@@ -195,13 +195,13 @@ def start(rows: DataFrame) -> History:
     history.vertices = nodes.count()
     shared = cut(people.contact_candidates(nodes, uses.select("contact", "vertex")))
     alike, covers = _alike(nodes, people.employer_candidates(nodes, keys.filter("size > 0")), shared)
-    groups = (people.components(alike.select("a", "b").unionByName(people.namesake_candidates(nodes))))
+    groups = people.components(alike.select("a", "b").unionByName(people.namesake_candidates(nodes)))
     tables = {
-        "cores": kinds.withColumn("ckey", _ckey()), "pieces": pieces, "near": near.withColumn("ckey", _ckey()), "rows": parsed, "nodes": counted, "tokens": people.tokens_of(nodes), "keys": keys,
+        "cores": kinds.withColumn("ckey", _ckey()), "pieces": pieces, "near": near.withColumn("ckey", _ckey()), "rows": parsed, "nodes": counted, "tokens": _counted_tokens(nodes), "keys": keys,
         "members": placed.select("vertex", "row_id", "incoming", F.lit(1).alias("n")), "contacts": uses, "alike": alike, "covers": covers, "group_members": groups,
         "groups": groups.select("vertex", "label", F.lit(None).cast("bigint").alias("class"), F.lit(0).alias("batch")),
     }
-    history.add_all(tables)
+    history.add(tables)
     return history
 
 
@@ -268,7 +268,7 @@ def match(history: History, batch: DataFrame) -> tuple[DataFrame, dict[str, Data
     old = history.touched("nodes", counted.select("vertex")).select(*NODE, F.col("n").alias("was"), "n")
     state = cut(_node_states(old.unionByName(counted.select(*NODE, F.lit(0).cast("bigint").alias("was"), "n"))))
     born, dead = state.filter("live and not before"), state.filter("before and not live")
-    tokens = people.tokens_of(born).unionByName(people.tokens_of(dead).select("token", (-F.col("df")).alias("df")))
+    tokens = _counted_tokens(born).unionByName(_counted_tokens(dead).withColumn("n", -F.col("n")))
     total = history.vertices + state.select(F.coalesce(F.sum(F.when(F.col("live"), 1).otherwise(0) - F.when(F.col("before"), 1).otherwise(0)), F.lit(0))).first()[0]
 
     # What is new meets what has its hashes.
@@ -296,8 +296,8 @@ def match(history: History, batch: DataFrame) -> tuple[DataFrame, dict[str, Data
     whole = cut(groups.select("vertex").unionByName(touched).distinct())
     nodes = _live_nodes(history.touched("nodes", whole).select(*NODE, "n").unionByName(counted.select(*NODE, "n")))
     nodes = cut(nodes.join(whole, "vertex", "left_semi"))
-    bag = nodes.select(F.explode(F.split("text", " ")).alias("token")).distinct()
-    frequency = history.touched("tokens", bag).unionByName(tokens).groupBy("token").agg(F.sum("df").alias("df"))
+    bag = nodes.select(F.explode(F.split("text", " ")).alias("token")).select(F.xxhash64("token").alias("tkey"))
+    frequency = history.touched("tokens", bag).unionByName(tokens).groupBy("token").agg(F.sum("n").alias("df"))
     links = history.touched("alike", whole.select(F.col("vertex").alias("a"))).unionByName(alike)
     links = cut(links.distinct().join(nodes.select(F.col("vertex").alias("a")), "a", "left_semi").join(nodes.select(F.col("vertex").alias("b")), "b", "left_semi"))
     contacts = links.filter("contact is not null").select("contact").distinct()
@@ -305,8 +305,8 @@ def match(history: History, batch: DataFrame) -> tuple[DataFrame, dict[str, Data
     shared = _using(links.filter("contact is not null"), every_use, "a", "b")
     covered = _using(history.touched("covers", contacts).unionByName(covers), every_use, "short", "long")
     pairs = people.both_candidates(links.filter("contact is null"), shared)
-    found = cut(people.evident(people.verified(people.weighted(nodes, frequency, total), pairs), shared, people.office_contacts(every_use, covered)))
-    labels = people.decided(found, people.namesake_candidates(nodes))
+    found = people.evident(people.verified(people.weighted(nodes, frequency, total), pairs), shared, people.office_contacts(every_use, covered))
+    labels = people.decided_by_group(found, people.namesake_candidates(nodes), groups)
     labels = cut(nodes.select("vertex").join(labels, "vertex", "left").select("vertex", F.coalesce("label", "vertex").alias("class")))
 
     # Pairings that weren't there before.
@@ -338,7 +338,7 @@ def _using(links: DataFrame, uses: DataFrame, x: str, y: str) -> DataFrame:
 
 def append(history: History, new: dict[str, DataFrame]) -> None:
     """Appends what match() found for a batch."""
-    history.add_all(new)
+    history.add(new)
     history.batches += 1
     history.vertices = new["total"]
 

@@ -28,7 +28,7 @@ variants, those of four have variants of one letter; extra columns are ignored.
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -47,6 +47,11 @@ HOT = 64
 OVERLAP = 1 / 3
 LEAST_STRONG, LEAST_WEAK, LEAST_CONTACT = 0.7, 0.45, 0.35
 ROUNDS = 30
+#: Pairs of a group that one task decides; larger groups are decided in rounds over the cluster.
+GROUP = 10_000
+# What links two names for sure, and what only does if the shorter one fits one class.
+SURE = f"(class = {names.STRONG} and score >= {LEAST_STRONG}) or (class = {names.WEAK} and contact and score >= {LEAST_CONTACT})"
+MAYBE = f"class = {names.WEAK} and not contact and same_employer and score >= {LEAST_WEAK}"
 _FINER = ArrayType(StructType().add("gram", StringType()).add("part", StringType()).add("role", IntegerType()))
 
 
@@ -376,9 +381,8 @@ def evident(found: DataFrame, shared: DataFrame, office: DataFrame) -> DataFrame
 
 def decided(found: DataFrame, namesakes: DataFrame) -> DataFrame:
     """(vertex, label) of vertices that are linked: sure links, then abbreviations (and names without an employer) that fit one class only."""
-    sure = ((F.col("class") == names.STRONG) & (F.col("score") >= LEAST_STRONG)) | ((F.col("class") == names.WEAK) & F.col("contact") & (F.col("score") >= LEAST_CONTACT))
-    first = components(found.filter(sure).select("a", "b"))
-    maybe = found.filter((F.col("class") == names.WEAK) & ~F.col("contact") & F.col("same_employer") & (F.col("score") >= LEAST_WEAK)).select("short", F.when(F.col("short") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("long"))
+    first = components(found.filter(SURE).select("a", "b"))
+    maybe = found.filter(MAYBE).select("short", F.when(F.col("short") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("long"))
     maybe = maybe.unionByName(namesakes.select(F.col("a").alias("short"), F.col("b").alias("long")))
     labelled = maybe.join(first.withColumnRenamed("vertex", "long"), "long", "left").withColumn("label", F.coalesce("label", "long"))
     single = labelled.groupBy("short").agg(F.min("label").alias("b"), F.max("label").alias("_other")).filter("b = _other and short <> b")
@@ -389,6 +393,47 @@ def decided(found: DataFrame, namesakes: DataFrame) -> DataFrame:
     return every.join(joined, "label", "left").select("vertex", F.coalesce("onto", "label").alias("label")).distinct()
 
 
+def _decide(links: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """decided() for whole groups of links (kind, a, b): kind 0 are sure, kind 1 have an abbreviation a that b may be meant by."""
+    top: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        top.setdefault(v, v)
+        while top[v] != v:
+            top[v] = v = top[top[v]]
+        return v
+
+    def join(pairs: Iterator[tuple[int, int]]) -> None:
+        for a, b in pairs:
+            a, b = root(a), root(b)
+            top[max(a, b)] = min(a, b)
+
+    rows = [x for pdf in links for x in zip(pdf["kind"], pdf["a"], pdf["b"])]
+    join((a, b) for kind, a, b in rows if kind == 0)
+    fits: dict[int, set[int]] = {}
+    for kind, a, b in rows:
+        if kind == 1:
+            fits.setdefault(a, set()).add(root(b))
+    join([(a, next(iter(b))) for a, b in fits.items() if len(b) == 1])
+    yield pd.DataFrame([(v, root(v)) for v in list(top)], columns=["vertex", "label"], dtype="int64")
+
+
+def decided_by_group(found: DataFrame, namesakes: DataFrame, groups: DataFrame, most: int | None = None) -> DataFrame:
+    """decided() where the connected groups (vertex, label) of all pairs are known: a partition of whole groups is decided in one pass; groups of more than `most` pairs by decided() itself."""
+    of = groups.select(F.col("vertex").alias("a"), F.col("label").alias("_group"))
+    found, namesakes = cut(found.join(of, "a")), cut(namesakes.join(of, "a"))
+    large = found.groupBy("_group").agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") > (GROUP if most is None else most)).select("_group")
+    some = large.limit(1).count()
+    small = [df.join(broadcast_if_small(large), "_group", "left_anti") if some else df for df in (found, namesakes)]
+    other = F.when(F.col("short") == F.col("a"), F.col("b")).otherwise(F.col("a"))
+    links = small[0].filter(SURE).select("_group", F.lit(0).alias("kind"), "a", "b").unionByName(small[0].filter(MAYBE).select("_group", F.lit(1).alias("kind"), F.col("short").alias("a"), other.alias("b")))
+    links = links.unionByName(small[1].select("_group", F.lit(1).alias("kind"), "a", "b"))
+    out = links.repartition("_group").select("kind", "a", "b").mapInPandas(_decide, "vertex long, label long")
+    if some:
+        out = out.unionByName(decided(*(df.join(large, "_group", "left_semi") for df in (found, namesakes))))
+    return out
+
+
 def link_people(people: DataFrame) -> DataFrame:
     """(vertex, label): the person each name class stands for. people: rows with a name, with vertices."""
     plain = cut(vertices(people))

@@ -2,7 +2,7 @@
 
 Skeleton: decompose (NFKD and canonical order), drop what can't be seen, replace every character by its prototype from
 the look-alike table, decompose again; equal skeletons look equal. The table is the public confusables table that comes
-with Spark's own ICU library: it is asked once on the driver, in one call, and travels to the tasks (some thousand
+with Spark's own ICU library: it is asked once on the driver, in some dozen calls, and travels to the tasks (some thousand
 entries, whatever the data). Originals are grouped by equal skeleton; the usual form of a group is its most frequent
 member that is written as usual, and a member is unusual if it isn't written as the usual form of its group.
 
@@ -166,9 +166,13 @@ def look_alike_table(spark: SparkSession) -> Broadcast:
     known = _shared.get(spark.sparkContext.applicationId)
     if known is None:
         checker = spark.sparkContext._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
-        letters = [c for c in map(chr, range(0x21, 0x30000)) if unicodedata.category(c)[0] not in "CZ"]
-        found = checker.getSkeleton("\n".join(letters)).split("\n")
-        table = LookAlikes({c: p for c, p in zip(letters, found, strict=True) if p != unicodedata.normalize("NFD", c)})
+        prototypes = {}
+        for start in range(0, 0x30000, 1 << 12):
+            letters = [c for c in map(chr, range(max(start, 0x21), start + (1 << 12))) if unicodedata.category(c)[0] not in "CZ"]
+            if letters:
+                found = checker.getSkeleton("\n".join(letters)).split("\n")
+                prototypes |= {c: p for c, p in zip(letters, found, strict=True) if p != unicodedata.normalize("NFD", c)}
+        table = LookAlikes(prototypes)
         _shared.clear()
         known = _shared[spark.sparkContext.applicationId] = spark.sparkContext.broadcast(table)
         use(table)

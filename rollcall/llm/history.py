@@ -25,7 +25,6 @@ used; extra columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import uuid
 from dataclasses import dataclass, field
 from functools import reduce
@@ -39,6 +38,8 @@ from rollcall.session import BROADCAST_BYTES, broadcast_if_small, checkpoint_dir
 
 #: Rows of history a bucket is made for.
 BUCKET_ROWS = 250_000
+#: Consecutive batches that together are less than this part of history are taken in one step, which costs the same few dozen jobs for any number of rows.
+STEP = 12
 # What is kept: the hash an entry is found by, and its columns.
 PARTS = {
     "cores": ("ckey", "tenant string, core string, kind string, n long"),
@@ -66,6 +67,7 @@ class History:
     buckets: int = 8
     name: str = field(default_factory=lambda: "history_" + uuid.uuid4().hex[:12])
     batches: int = 0
+    rows: int = 0
     vertices: int = 0
 
     def _path(self) -> str:
@@ -183,7 +185,7 @@ def start(rows: DataFrame) -> History:
     """A history of rows (row_id, tenant, full_name, organization, email, phone)."""
     parsed = cut(_own_core(people.parse_rows(rows)).withColumn("incoming", F.lit(False)))
     n = parsed.count()
-    history = History(rows.sparkSession, min(4096, max(rows.sparkSession.sparkContext.defaultParallelism, n // BUCKET_ROWS)))
+    history = History(rows.sparkSession, min(4096, max(rows.sparkSession.sparkContext.defaultParallelism, n // BUCKET_ROWS)), rows=n)
     kinds = cut(people.core_kinds(parsed))
     pieces = cut(people.core_pieces(_counts(kinds)))
     near = cut(people.near_cores(_counts(kinds), pieces))
@@ -343,33 +345,41 @@ def append(history: History, new: dict[str, DataFrame]) -> None:
     history.vertices = new["total"]
 
 
-def _tidy(spark: SparkSession) -> None:
-    """Lets the driver give back what a finished batch leaves there: plans, compiled stages and broadcast tables, which only go with a collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def as_rows(records: DataFrame) -> DataFrame:
     return people.as_rows(records)
 
 
-def batch_pairs(records: DataFrame, incoming: DataFrame) -> DataFrame:
-    """(record_a, record_b): all pairings of incoming rows with records, earlier batches and each other; batches are taken one by one in order of batch_no.
+def steps(counts: list[tuple[int, int]], known: int, part: int = STEP) -> list[list[int]]:
+    """Batch numbers, in order, as steps of consecutive batches: counts are (number, rows), known the rows of history."""
+    out, room = [], 0
+    for number, n in sorted(counts):
+        if n > room:
+            out.append([])
+            room = known // part
+        out[-1].append(number)
+        room -= n
+        known += n
+    return out
+
+
+def batch_pairs(records: DataFrame, incoming: DataFrame, part: int = STEP) -> DataFrame:
+    """(record_a, record_b): all pairings of incoming rows with records, earlier batches and each other.
 
-    The batch numbers are read on the driver; the tables of the history are dropped at the end.
+    Batches are taken in order of batch_no, each matched against all accepted before and then appended; small ones that
+    follow each other in one step (see steps()), which gives the same pairings. The batch numbers and their rows are read
+    on the driver; the history is dropped at the end.
     """
     first = F.lit(-(1 << 31))
     incoming = incoming.withColumn("_batch", F.coalesce("batch_no", first) if "batch_no" in incoming.columns else first)
     history = start(as_rows(records))
-    numbers = sorted(r[0] for r in incoming.select("_batch").distinct().collect())
+    order = steps([tuple(r) for r in incoming.groupBy("_batch").count().collect()], history.rows, part)
     found = []
     try:
-        for number in numbers:
-            pairs, new = match(history, as_rows(incoming.filter(F.col("_batch") == number)))
+        for step in order:
+            pairs, new = match(history, as_rows(incoming.filter(F.col("_batch").between(step[0], step[-1]))))
             found.append(pairs)
-            if number != numbers[-1]:
+            if step is not order[-1]:
                 append(history, new)
-                _tidy(history.spark)
     finally:
         history.drop()
     none = records.sparkSession.createDataFrame([], "row_a string, row_b string")

@@ -185,6 +185,11 @@ def test_a_late_row_joins_earlier_ones(spark):
     assert step_by_step(spark, old, batches) == [set(), {("a", "b"), ("a", "c"), ("b", "c")}]
 
 
+def test_steps():
+    assert history.steps([(2, 10), (1, 10), (3, 10), (5, 100), (6, 1)], 240, 12) == [[1, 2], [3], [5], [6]]
+    assert history.steps([], 5) == [] and history.steps([(1, 5), (2, 5)], 0) == [[1], [2]]
+
+
 def test_copies(spark):
     columns = "id string, organization_id string, normalized_text string, batch_no int"
     old = spark.createDataFrame([("a", "t", "An | Abc | Sếp", 0), ("b", "u", "Bình | Abc", 0), ("n", "t", None, 0)], columns)

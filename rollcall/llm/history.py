@@ -37,7 +37,7 @@ from rollcall.llm import people
 from rollcall.session import BROADCAST_BYTES, broadcast_if_small, checkpoint_dir, cut, size_estimate
 
 #: Rows of history a bucket is made for.
-BUCKET_ROWS = 250_000
+BUCKET_ROWS = 25_000
 #: Consecutive batches that together are less than this part of history are taken in one step, which costs the same few dozen jobs for any number of rows.
 STEP = 12
 # What is kept: the hash an entry is found by, and its columns.
@@ -46,7 +46,7 @@ PARTS = {
     "pieces": ("key", "tenant string, core string"),
     "near": ("ckey", "tenant string, core string, other string"),
     "rows": ("ckey", "row_id string, tenant string, core string, kind string, host string, text string, email_key string, phone_key string, incoming boolean"),
-    "nodes": ("vertex", "place long, tenant string, employer string, words string, text string, n long"),
+    "nodes": ("vertex", "place long, name long, text string, n long"),
     "members": ("vertex", "row_id string, incoming boolean, n long"),
     "tokens": ("tkey", "token string, n long"),
     "keys": ("key", "vertex long, size int"),
@@ -56,7 +56,7 @@ PARTS = {
     "groups": ("vertex", "label long, class long, batch int"),
     "group_members": ("label", "vertex long"),
 }
-NODE = ("vertex", "place", "tenant", "employer", "words", "text")
+NODE = ("vertex", "place", "name", "text")
 
 
 @dataclass
@@ -134,7 +134,7 @@ def _placed(rows: DataFrame, places: tuple[DataFrame, DataFrame]) -> DataFrame:
 
 def _name_keys(nodes: DataFrame) -> DataFrame:
     """Paragraph hashes: q-grams of the name within the employer, and full names within the tenant (of size 0)."""
-    whole = people.full_names(nodes).select(F.xxhash64(F.lit("name"), "tenant", "words").alias("key"), "vertex", F.lit(0).alias("size"))
+    whole = people.full_names(nodes).select(F.xxhash64(F.lit("name"), "name").alias("key"), "vertex", F.lit(0).alias("size"))
     return people.name_keys(nodes).unionByName(whole)
 
 
@@ -145,15 +145,14 @@ def _live_nodes(counted: DataFrame) -> DataFrame:
 
 def _node_states(counted: DataFrame) -> DataFrame:
     """(NODE, before, live): vertices counted (NODE, was, n), whether they had rows before and have rows now."""
-    texts = counted.groupBy("vertex", "text").agg(*(F.first(c).alias(c) for c in ("place", "tenant", "employer", "words")), F.sum("was").alias("was"), F.sum("n").alias("n"))
+    texts = counted.groupBy("vertex", "text").agg(*(F.first(c).alias(c) for c in ("place", "name")), F.sum("was").alias("was"), F.sum("n").alias("n"))
     text = F.coalesce(F.min(F.when(F.col("n") > 0, F.col("text"))), F.min("text")).alias("text")
-    return texts.groupBy("vertex").agg(text, *(F.min(c).alias(c) for c in ("place", "tenant", "employer", "words")), F.max(F.col("was") > 0).alias("before"), F.max(F.col("n") > 0).alias("live"))
+    return texts.groupBy("vertex").agg(text, *(F.min(c).alias(c) for c in ("place", "name")), F.max(F.col("was") > 0).alias("before"), F.max(F.col("n") > 0).alias("live"))
 
 
 def _node_counts(placed: DataFrame, n: int = 1) -> DataFrame:
     """(NODE, n) of placed rows with a name: which texts a vertex has, and in how many rows."""
-    place = F.when(F.col("employer").isNotNull(), F.xxhash64("tenant", "employer"))
-    return placed.withColumn("place", place).groupBy(*NODE).agg((F.lit(n) * F.count(F.lit(1))).alias("n"))
+    return placed.groupBy(*NODE).agg((F.lit(n) * F.count(F.lit(1))).alias("n"))
 
 
 def _use_counts(placed: DataFrame, n: int = 1) -> DataFrame:
@@ -254,7 +253,7 @@ def match(history: History, batch: DataFrame) -> tuple[DataFrame, dict[str, Data
     pairs = history.touched("near", trees).select("tenant", "core", "other", F.lit(True).alias("was")).unionByName(near.withColumn("was", F.lit(False)))
     before, now = _both_places(every.groupBy("tenant", "core", "kind").agg(F.sum("was").alias("was"), F.sum("n").alias("n")), pairs)
     moved = _moved(history, before, now, fresh)
-    columns = ("row_id", "tenant", "employer", "words", "text", "vertex", "email_key", "phone_key", "incoming")
+    columns = ("row_id", "tenant", *NODE, "email_key", "phone_key", "incoming")
     named = _placed(parsed, now).filter("vertex is not null").select(*columns)
     if moved:
         named = named.unionByName(moved[1].select(*columns))

@@ -216,16 +216,21 @@ def with_employers(parsed: DataFrame, spelt: DataFrame, usual: DataFrame) -> Dat
 
 
 def with_vertices(placed: DataFrame) -> DataFrame:
-    """placed with `words` (the sorted tokens) and `vertex`, the id of tenant, employer and words."""
+    """placed with `vertex`, the id of tenant, employer and name words, `place`, that of the employer (null without one), and `name`, that of the words within the tenant."""
     words = F.array_join(F.array_sort(F.split("text", " ")), " ")
-    return placed.withColumn("words", words).withColumn("vertex", F.when(F.col("text") != "", F.xxhash64("tenant", F.coalesce("employer", F.lit("?")), words)))
+    named = F.col("text") != ""
+    return placed.withColumns(
+        {
+            "vertex": F.when(named, F.xxhash64("tenant", F.coalesce("employer", F.lit("?")), words)),
+            "place": F.when(F.col("employer").isNotNull(), F.xxhash64("tenant", "employer")),
+            "name": F.when(named, F.xxhash64("tenant", words)),
+        }
+    )
 
 
 def vertices(people: DataFrame) -> DataFrame:
-    """(vertex, place, tenant, employer, words, text) of the name classes; text holds the tokens in a typed order, place is the employer's id."""
-    place = F.when(F.col("employer").isNotNull(), F.xxhash64("tenant", "employer"))
-    one = people.groupBy("vertex").agg(*(F.min(c).alias(c) for c in ("tenant", "employer", "words")), F.min("text").alias("text"))
-    return one.withColumn("place", place)
+    """(vertex, place, name, text) of the name classes; text holds the tokens in a typed order."""
+    return people.groupBy("vertex").agg(*(F.min(c).alias(c) for c in ("place", "name", "text")))
 
 
 def tokens_of(nodes: DataFrame) -> DataFrame:
@@ -320,15 +325,14 @@ def contact_candidates(nodes: DataFrame, uses: DataFrame, mine: DataFrame | None
 
 def full_names(nodes: DataFrame) -> DataFrame:
     """Vertices with names of three and more full words."""
-    return nodes.filter(F.size(F.filter(F.split("words", " "), lambda t: F.length(t) > 1)) >= 3)
+    return nodes.filter(F.size(F.filter(F.split("text", " "), lambda t: F.length(t) > 1)) >= 3)
 
 
 def namesake_candidates(nodes: DataFrame) -> DataFrame:
     """(a, b): vertices without an employer and vertices of the same words in the tenant; only names of three and more full words."""
     full = full_names(nodes)
-    lone = full.filter("employer is null").select("tenant", "words", F.col("vertex").alias("a"))
-    rest = full.filter("employer is not null").select("tenant", "words", F.col("vertex").alias("b"))
-    return lone.join(rest, ["tenant", "words"]).select("a", "b")
+    lone = full.filter("place is null").select("name", F.col("vertex").alias("a"))
+    return lone.join(full.filter("place is not null").select("name", F.col("vertex").alias("b")), "name").select("a", "b")
 
 
 # Decisions.

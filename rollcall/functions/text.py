@@ -119,10 +119,16 @@ def tenant_key(claim: Column | str, second_claim: Column | str, uid: Column | st
 
 
 def number_text(c: Column | str) -> Column:
-    """A sheet's number as text: whole numbers without a point."""
-    v = as_column(c)
+    """A sheet's number as text: its shortest decimal without an exponent, whole numbers without a point."""
+    v = as_column(c).cast("double")
     whole = (v == F.floor(v)) & (F.abs(v) < 1e15)
-    return F.when(whole, v.cast("bigint").cast("string")).otherwise(F.regexp_replace(F.format_string("%.10f", v), "0+$", ""))
+    shown = v.cast("string")
+    sign, digits = F.when(v < 0, F.lit("-")).otherwise(F.lit("")), F.regexp_replace(F.regexp_extract(shown, "^-?([0-9.]+)", 1), "\\.0$|\\.", "")
+    power = F.regexp_extract(shown, "E(-?[0-9]+)$", 1).try_cast("int")
+    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    point = F.when(F.length(digits) > power + 1, F.concat(F.lit("."), F.substr(digits, power + 2))).otherwise(F.lit(""))
+    large = F.concat(sign, F.rpad(F.substr(digits, F.lit(1), power + 1), power + 1, F.lit("0")), point)
+    return F.when(whole, v.cast("bigint").cast("string")).when(power < 0, small).when(power >= 0, large).otherwise(F.regexp_replace(shown, "\\.0$", ""))
 
 
 def like_escape(text: str) -> str:

@@ -10,8 +10,14 @@ from collections.abc import Callable, Sequence
 from rollcall.operators import search
 from rollcall.schemas import FIELDS
 
-#: Tries of a call, first wait, what is worth another try.
-TRIES, WAIT, AGAIN = 3, 0.4, ("429", "500", "502", "503", "504", "UNAVAILABLE", "RESOURCE_EXHAUSTED", "deadline")
+#: Tries of a call and first wait.
+TRIES, WAIT = 3, 0.4
+# Codes and states worth another try, as whole words in any case.
+AGAIN = re.compile(r"(?<![\w.])(?:429|500|502|503|504|unavailable|resource[_ ]exhausted|deadline(?:[_ ]exceeded)?|overloaded|timeout|timed out)(?![\w.]*\d)(?!\w)", re.I)
+
+
+class EmptyAnswer(ValueError):
+    """The model answered nothing; worth another try."""
 
 
 def strip_fence(text: str) -> str:
@@ -19,13 +25,25 @@ def strip_fence(text: str) -> str:
     return re.sub(r"^\s*```(?:json)?\s*|\s*```\s*$", "", text)
 
 
+def _passing(e: Exception) -> bool:
+    """Whether a failure is a state or code that may pass: a code counts as an attribute or in front of the text, not as part of a number in it."""
+    code = getattr(e, "code", None) or getattr(e, "status_code", None)
+    if isinstance(code, int):
+        return code in (429, 500, 502, 503, 504)
+    found = AGAIN.search(str(e))
+    return bool(found) and not (found[0].isdigit() and re.search(rf"\b{found[0]} (?:rows|records|tokens|characters|bytes)\b", str(e)))
+
+
 def call_json(ask: Callable[[], str], tries: int = TRIES, wait: float = WAIT, sleep: Callable[[float], None] = time.sleep) -> object:
     """The parsed answer of a call; passing failures are tried again after growing waits."""
     for n in range(tries):
         try:
-            return json.loads(strip_fence(ask()))
+            text = strip_fence(ask() or "").strip()
+            if not text:
+                raise EmptyAnswer("empty answer")
+            return json.loads(text)
         except Exception as e:  # noqa: BLE001 - the caller's client decides the type
-            if n == tries - 1 or not any(x in str(e) for x in AGAIN):
+            if n == tries - 1 or not (isinstance(e, EmptyAnswer) or _passing(e)):
                 raise
             sleep(wait * 2**n)
     raise AssertionError

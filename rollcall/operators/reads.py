@@ -1,6 +1,7 @@
 """Read models: entity directory, histories, review queue, statistics.
 
-Derived counts are aggregated once per entity and joined, never re-evaluated per row. Filters on a tenant reach the scan.
+Derived counts are aggregated once per entity and joined, never re-evaluated per row. of_tenant() narrows every table to a
+tenant, so all reads over its result scan that tenant only; a lookup by id narrows links and records before it counts.
 """
 
 from __future__ import annotations
@@ -29,6 +30,11 @@ def label(c: Column | str, labels: dict[str, str]) -> Column:
     return F.coalesce(F.create_map(*(F.lit(x) for kv in labels.items() for x in kv))[v], v)
 
 
+def of_tenant(tables: dict[str, DataFrame], tenant: str) -> dict[str, DataFrame]:
+    """The tables of one tenant; the condition reaches the scan of each."""
+    return {n: df.filter(F.col("organization_id") == tenant) for n, df in tables.items()}
+
+
 def links(tables: dict[str, DataFrame]) -> DataFrame:
     """Each record's entity once, whatever the table repeats."""
     return tables["raw_to_canonical"].select("raw_record_id", "canonical_entity_id").distinct()
@@ -65,6 +71,30 @@ def entity_page(tables: dict[str, DataFrame], predicate: Predicate | None = None
     return search_entities(tables, predicate).orderBy(F.desc("event_count"), "display_name", "id").offset((page - 1) * size).limit(size)
 
 
+def entity_total(tables: dict[str, DataFrame], predicate: Predicate | None = None) -> DataFrame:
+    """(total, pages) of the entities a predicate leaves; without a predicate nothing but the entities is read."""
+    found = tables["canonical_entities"] if predicate is None else search_entities(tables, predicate)
+    return found.agg(F.count(F.lit(1)).alias("total")).withColumn("pages", F.greatest(F.lit(1), F.ceil(F.col("total") / PAGE)).cast("bigint"))
+
+
+def entity_by_id(tables: dict[str, DataFrame], tenant: str, entity_id: str) -> DataFrame:
+    """One entity with its counts; no row if the tenant has none of that id."""
+    own = of_tenant(tables, tenant)
+    own |= {"canonical_entities": own["canonical_entities"].filter(F.col("id") == entity_id), "raw_to_canonical": own["raw_to_canonical"].filter(F.col("canonical_entity_id") == entity_id)}
+    return entities(own)
+
+
+def record_by_id(tables: dict[str, DataFrame], tenant: str, record_id: str) -> DataFrame:
+    """One record with its source; no row if the tenant has none of that id."""
+    own = of_tenant(tables, tenant)
+    return record_details(own | {"raw_records": own["raw_records"].filter(F.col("id") == record_id)})
+
+
+def as_json(df: DataFrame) -> DataFrame:
+    """(json): the rows of a read as the objects an API answers with; blanks and nulls are kept."""
+    return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
+
+
 def page_count(total: int, size: int = PAGE) -> int:
     return max(1, -(-total // size))
 
@@ -76,6 +106,11 @@ def source_list(tables: dict[str, DataFrame]) -> DataFrame:
     return s.join(counts, s["id"] == counts["source_id"], "left").select(*s.columns, F.coalesce("record_count", F.lit(0)).alias("record_count"))
 
 
+def latest_sources(tables: dict[str, DataFrame]) -> DataFrame:
+    """source_list(), the latest import first."""
+    return source_list(tables).orderBy(F.desc("imported_at"), "id")
+
+
 def record_details(tables: dict[str, DataFrame]) -> DataFrame:
     """Records with the name and type of their source, blanks for nulls."""
     text = ("full_name", "organization", "role_title", "email", "phone", "event_name", "event_date_raw", "notes")
@@ -97,8 +132,8 @@ def differing_fields(tables: dict[str, DataFrame]) -> DataFrame:
     """(entity_id, fields): fields with more than one distinct non-blank value, but for case and edges, among an entity's records."""
     fields = ("full_name", "organization", "role_title", "email", "phone")
     r = tables["raw_records"].select(F.col("id").alias("raw_record_id"), *(F.nullif(F.lower(F.trim(c)), F.lit("")).alias(c) for c in fields))
-    per = links(tables).join(r, "raw_record_id").groupBy(F.col("canonical_entity_id").alias("entity_id")).agg(*(F.countDistinct(c).alias(c) for c in fields))
-    return per.select("entity_id", F.concat_ws(",", *(F.when(F.col(c) > 1, F.lit(c)) for c in fields)).alias("fields")).filter("fields <> ''")
+    per = links(tables).join(r, "raw_record_id").groupBy(F.col("canonical_entity_id").alias("entity_id")).agg(*(f(c).alias(n + c) for c in fields for n, f in (("_low_", F.min), ("_high_", F.max))))
+    return per.select("entity_id", F.concat_ws(",", *(F.when(F.col("_low_" + c) != F.col("_high_" + c), F.lit(c)) for c in fields)).alias("fields")).filter("fields <> ''")
 
 
 def pending(tables: dict[str, DataFrame]) -> DataFrame:
@@ -136,7 +171,7 @@ def statistics(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def statistics_by_type(tables: dict[str, DataFrame]) -> DataFrame:
-    """(organization_id, source_type, label, files, records); sources without records count none."""
+    """(organization_id, source_type, label, files, records) in order of tenant and type; sources without records count none."""
     s = tables["sources"].select(F.col("id").alias("source_id"), "organization_id", "source_type")
     counts = tables["raw_records"].groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
-    return s.join(counts, "source_id", "left").groupBy("organization_id", "source_type").agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("records")).withColumn("label", label("source_type", SOURCE_LABELS))
+    return s.join(counts, "source_id", "left").groupBy("organization_id", "source_type").agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("records")).withColumn("label", label("source_type", SOURCE_LABELS)).orderBy("organization_id", "source_type")

@@ -1,7 +1,8 @@
 """State transitions as pure functions from five DataFrames to five DataFrames, and snapshots that publish them.
 
-A snapshot is a folder v=N; a pointer file names the current one and is replaced by rename, so readers never see a half
-written version. There is one writer.
+A snapshot is a folder v=N with the tables that changed and a list that names the folder of every table; a pointer file
+names the current version and is replaced by rename, so readers never see a half written one. A table that is the very one
+that was loaded isn't written again. There is one writer.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from rollcall.operators import retrieval
 from rollcall.session import cut
 
 BATCH = 16
+#: Decisions that are folded before their tables are cut.
+SETTLE = 8
 
 
 class NotFound(LookupError):
@@ -65,17 +68,31 @@ class Snapshots:
         jvm = spark.sparkContext._jvm
         self._path = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._loaded: dict[str, DataFrame] = {}
+        self._version: int | None = None
 
     def current(self) -> int | None:
         found = [s.getPath().getName() for s in self._fs.globStatus(self._path("CURRENT-*")) or []]
         return max((int(n.split("-")[1]) for n in found), default=None)
 
+    def folders(self, version: int) -> dict[str, str]:
+        """The folder of every table of a version."""
+        rows = self.spark.read.schema("name string, folder string").json(f"{self.folder}/v={version}/tables").collect()
+        return {r["name"]: r["folder"] for r in rows}
+
     def save(self, state: State) -> State:
-        """Writes the next version, then publishes it."""
+        """Writes the tables that changed as the next version, then publishes it."""
         old = self.current()
         version = (old or 0) + 1
+        known = self.folders(old) if old is not None else {}
+        at = {}
         for name, df in state.tables.items():
-            df.write.mode("overwrite").parquet(f"{self.folder}/v={version}/{name}")
+            if old is not None and self._loaded.get(name) is df and self._version == old:
+                at[name] = known[name]
+                continue
+            at[name] = f"{self.folder}/v={version}/{name}"
+            df.write.mode("overwrite").parquet(at[name])
+        self.spark.createDataFrame(list(at.items()), "name string, folder string").coalesce(1).write.mode("overwrite").json(f"{self.folder}/v={version}/tables")
         draft = self._path(f".draft-{uuid.uuid4().hex}")
         self._fs.create(draft).close()
         if not self._fs.rename(draft, self._path(f"CURRENT-{version}")):
@@ -92,8 +109,10 @@ class Snapshots:
         version = version or self.current()
         if version is None:
             return State.empty(self.spark)
-        read = {n: self.spark.read.schema(s).parquet(f"{self.folder}/v={version}/{n}") for n, s in schemas.TABLES.items()}
-        return State(**read, version=version)
+        at = self.folders(version)
+        self._loaded = {n: self.spark.read.schema(s).parquet(at[n]) for n, s in schemas.TABLES.items()}
+        self._version = version
+        return State(**self._loaded, version=version)
 
 
 def add_links(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -178,9 +197,15 @@ def approve(state: State, suggestion_id: str, tenant: str, by: str, as_of: str)
 
 
 def decide_all(state: State, decisions: list[tuple[str, str]], tenant: str, by: str, as_of: str) -> State:
-    """Decisions (suggestion id, 'approve' or 'reject') folded in order; they don't commute. Lineage is cut after each."""
+    """Decisions (suggestion id, 'approve' or 'reject') folded in order; they don't commute. Tables a decision leaves as they are aren't written; the others are cut from their lineage every SETTLE decisions."""
     steps = {"approve": approve, "reject": reject}
-    return reduce(lambda st, d: steps[d[1]](st, d[0], tenant, by, as_of).settled(), decisions, state)
+    start = now = state
+    for n, (suggestion, what) in enumerate(decisions, 1):
+        now = steps[what](now, suggestion, tenant, by, as_of)
+        if n % SETTLE == 0 or n == len(decisions):
+            now = now.map(lambda name, df: df if df is getattr(start, name) else cut(df))  # noqa: B023
+            start = now
+    return now
 
 
 def embedded(records: DataFrame, embed: Callable[[list[str]], list[list[float]]], dim: int, batch: int = BATCH) -> DataFrame:

@@ -16,10 +16,10 @@ ROUNDS = 40
 
 
 def tenant_list(sources: DataFrame) -> DataFrame:
-    """(organization_id, importers, sources) of shared tenants, that is all but those of single users."""
+    """(organization_id, importers, sources) of shared tenants, that is all but those of single users, by name."""
     shared = sources.filter(~F.col("organization_id").like("org\\_user\\_%"))
     who = F.nullif(F.trim(null_to_blank("imported_by")), F.lit(""))
-    return shared.groupBy("organization_id").agg(F.array_join(F.array_sort(F.collect_set(who)), ", ").alias("importers"), F.count(F.lit(1)).alias("sources"))
+    return shared.groupBy("organization_id").agg(F.array_join(F.array_sort(F.collect_set(who)), ", ").alias("importers"), F.count(F.lit(1)).alias("sources")).orderBy("organization_id")
 
 
 def shared_entities(links: DataFrame, records: DataFrame) -> DataFrame:

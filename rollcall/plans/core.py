@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rollcall import schemas
@@ -490,9 +490,94 @@ def source_titles(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "sources").select("id", text.trim_extension("name").alias("title"), text.truncate("name", 20).alias("short"))
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity = floor(l_quantity) THEN l_quantity::BIGINT::VARCHAR END AS quantity FROM lineitem")
+_PRICE = "l_extendedprice::DOUBLE"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_quantity::BIGINT::VARCHAR AS quantity, CASE WHEN {_PRICE} = floor({_PRICE}) THEN ({_PRICE})::BIGINT::VARCHAR ELSE ({_PRICE})::VARCHAR END AS price FROM lineitem")
 def sheet_numbers(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_quantity") == F.floor("l_quantity"), text.number_text("l_quantity")).alias("quantity"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", text.number_text("l_quantity").alias("quantity"), text.number_text("l_extendedprice").alias("price"))
+
+
+@query(f"WITH {ENTITIES} SELECT * FROM entities WHERE organization_id = '{TENANT}'")
+def tenant_entities(spark: SparkSession, d: str) -> DataFrame:
+    """The directory of one tenant: the condition is in the filters of every scan."""
+    return reads.search_entities(reads.of_tenant(tables(spark, d), TENANT))
+
+
+@query(f"{DETAILS} WHERE r.organization_id = '{TENANT}'")
+def tenant_records(spark: SparkSession, d: str) -> DataFrame:
+    return reads.record_details(reads.of_tenant(tables(spark, d), TENANT))
+
+
+@query(f"WITH {ENTITIES} SELECT * FROM entities WHERE organization_id = '{TENANT}' AND id = (SELECT min(id) FROM canonical_entities WHERE organization_id = '{TENANT}')")
+def entity_lookup(spark: SparkSession, d: str) -> DataFrame:
+    t = tables(spark, d)
+    return reads.entity_by_id(t, TENANT, _first_id(t["canonical_entities"]))
+
+
+@query(f"{DETAILS} WHERE r.organization_id = '{TENANT}' AND r.id = (SELECT min(id) FROM raw_records WHERE organization_id = '{TENANT}')")
+def record_lookup(spark: SparkSession, d: str) -> DataFrame:
+    t = tables(spark, d)
+    return reads.record_by_id(t, TENANT, _first_id(t["raw_records"]))
+
+
+def _first_id(df: DataFrame) -> str:
+    return df.filter(F.col("organization_id") == TENANT).agg(F.min("id")).first()[0]
+
+
+@query(f"WITH {LINKS}, {{0}}, h AS (SELECT x.*, row_number() OVER (ORDER BY event_date DESC NULLS LAST, created_at DESC, id) AS k FROM links l JOIN details x ON x.id = l.raw_record_id WHERE l.canonical_entity_id = (SELECT canonical_entity_id FROM raw_to_canonical GROUP BY 1 ORDER BY count(DISTINCT raw_record_id) DESC, 1 LIMIT 1)) SELECT id, event_date, created_at, k::INT AS position FROM h".format(f"details AS ({DETAILS})"))
+def history_order(spark: SparkSession, d: str) -> DataFrame:
+    """The history of the entity with the most records, with each record's place in it."""
+    t = tables(spark, d)
+    top = reads.links(t).groupBy("canonical_entity_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "canonical_entity_id").first()[0]
+    order = Window.orderBy(F.monotonically_increasing_id())  # one entity's records, in the order given
+    return reads.entity_history(t, top).coalesce(1).withColumn("position", F.row_number().over(order)).select("id", "event_date", "created_at", "position")
+
+
+@query(f"WITH {ENTITIES} SELECT count(*) AS total, greatest(1, ceil(count(*) / 25.0))::BIGINT AS pages FROM entities WHERE event_count > 1")
+def entity_total(spark: SparkSession, d: str) -> DataFrame:
+    return reads.entity_total(tables(spark, d), search.build([_f("event_count", "gt", "1")], "AND"))
+
+
+@query("SELECT s.id, s.organization_id, s.name, s.source_type, s.imported_at, count(r.id) AS record_count FROM sources s LEFT JOIN raw_records r ON r.source_id = s.id GROUP BY ALL ORDER BY s.imported_at DESC, s.id LIMIT 20")
+def latest_sources(spark: SparkSession, d: str) -> DataFrame:
+    return reads.latest_sources(tables(spark, d)).limit(20)
+
+
+@query("SELECT s.organization_id, s.source_type, count(DISTINCT s.id) AS files FROM sources s GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 7")
+def first_types(spark: SparkSession, d: str) -> DataFrame:
+    return reads.statistics_by_type(tables(spark, d)).limit(7).select("organization_id", "source_type", "files")
+
+
+@query(r"SELECT organization_id, count(*) AS sources FROM sources WHERE organization_id NOT LIKE 'org\_user\_%' ESCAPE '\' GROUP BY 1 ORDER BY 1 LIMIT 3")
+def first_tenants(spark: SparkSession, d: str) -> DataFrame:
+    return tenants.tenant_list(table(spark, d, "sources")).limit(3).select("organization_id", "sources")
+
+
+@query("WITH s AS (SELECT id, CASE WHEN coalesce(full_name, '') <> '' THEN full_name WHEN coalesce(email, '') = '' THEN organization ELSE email END AS name FROM raw_records WHERE coalesce(full_name, '') <> '' OR coalesce(email, '') <> '' OR coalesce(organization, '') <> '') SELECT id AS raw_record_id, name AS display_name FROM s")
+def seed_names(spark: SparkSession, d: str) -> DataFrame:
+    """The display name each record's own entity would start with."""
+    entities, links = state.seeds(table(spark, d, "raw_records"), IMPORT_AS_OF)
+    return links.join(entities, links["canonical_entity_id"] == entities["id"]).select("raw_record_id", "display_name")
+
+
+@query("SELECT id, list_filter(list_transform(string_split(coalesce(notes, ''), ','), lambda x: trim(x)), lambda x: x <> '') AS parts FROM raw_records")
+def split_notes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "raw_records").select("id", text.split_list("notes").alias("parts"))
+
+
+@query(
+    f"WITH {LINKS}, x AS (SELECT l.canonical_entity_id AS entity_id, unnest(r.embedding) AS v, generate_subscripts(r.embedding, 1) AS pos FROM links l JOIN raw_records r ON r.id = l.raw_record_id WHERE r.embedding IS NOT NULL), m AS (SELECT entity_id, pos, avg(v::DOUBLE) AS v FROM x GROUP BY 1, 2), n AS (SELECT entity_id, sqrt(sum(v * v)) AS norm FROM m GROUP BY 1) SELECT m.entity_id, list(round(CASE WHEN norm > 0 THEN v / norm ELSE v END, 5) ORDER BY pos) AS centroid FROM m JOIN n ON n.entity_id = m.entity_id GROUP BY 1"
+)
+def unit_centroids(spark: SparkSession, d: str) -> DataFrame:
+    t = tables(spark, d)
+    return state.centroids(t["raw_to_canonical"], t["raw_records"], unit=True).withColumn("centroid", F.transform("centroid", lambda x: F.round(x, 5)))
+
+
+@query("SELECT id AS source_id, map_from_entries(list_sort(map_entries(field_mapping)))::JSON::VARCHAR AS mapping FROM sources")
+def mapping_json(spark: SparkSession, d: str) -> DataFrame:
+    """Each file's mapping as the JSON object that is stored with it, its headers in order."""
+    return table(spark, d, "sources").select(F.col("id").alias("source_id"), grid.map_json("field_mapping").alias("mapping"))
 
 
 @query("WITH m AS (SELECT unnest(map_entries(field_mapping)) AS e FROM sources) SELECT e.key AS header, e.value AS field, CASE e.value " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in reads.FIELD_OPTIONS.items()) + " ELSE e.value END AS label, count(*) AS files FROM m GROUP BY ALL")

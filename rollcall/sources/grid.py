@@ -110,3 +110,8 @@ def as_records(parsed: DataFrame, source_id: str, tenant: str, as_of: str) -> Da
     return parsed.withColumns({
         "id": stable_id(F.lit(source_id), F.col("row_number").cast("string")), "source_id": F.lit(source_id), "organization_id": F.lit(tenant),
         "embedding": F.lit(None).cast("array<float>"), "created_at": F.lit(as_of).cast("timestamp")}).drop("entity_type", "resolvable")
+
+
+def map_json(c: str):
+    """A map of texts as a JSON object with its keys in order; mappings and raw rows are stored like this."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(c))), {"ignoreNullFields": "false"})

@@ -13,8 +13,14 @@ DRIVE_BYTES, LISTED = 60 << 20, 500
 CELLS = "path string, row_number int, cells array<string>"
 
 
+def refused_files(spark: SparkSession, path: str, limit: int = MAX_BYTES) -> DataFrame:
+    """(path, length, reason) of the files a read of the path leaves out for their size; contents aren't read."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length").filter(F.col("length") > limit)
+    return files.withColumn("reason", F.concat(F.lit(f"larger than {limit} bytes: "), F.col("length")))
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(path, row_number, cells) of CSV files; quoted cells may hold line breaks. Each file is split by a real CSV reader in one task, as line numbers need."""
+    """(path, row_number, cells) of CSV files; quoted cells may hold line breaks. Each file is split by a real CSV reader in one task, as line numbers need. Larger files are in refused_files()."""
     files = spark.read.format("binaryFile").load(path).filter(F.col("length") <= MAX_BYTES).select("path", "content")
 
     def run(batches):  # noqa: ANN001, ANN202
@@ -40,7 +46,7 @@ def read_values(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_workbooks(spark: SparkSession, path: str, limit: int = DRIVE_BYTES) -> DataFrame:
-    """(path, row_number, cells) of workbooks on any file system Spark reads; larger files are left out."""
+    """(path, row_number, cells) of workbooks on any file system Spark reads; larger files are in refused_files()."""
     files = spark.read.format("binaryFile").load(path).filter(F.col("length") <= limit).select("path", "content")
 
     def run(batches):  # noqa: ANN001, ANN202

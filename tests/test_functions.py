@@ -60,3 +60,36 @@ def test_scores(spark):
 @pytest.mark.parametrize("version, ok", [("0.8.6", True), ("0.8.0", True), ("0.10.0", True), ("1.0.0", True), ("0.7.4", False), ("0.5.1", False), ("", False), ("garbage", False), ("0", False)])
 def test_versions(version, ok):
     assert text.version_at_least(version) is ok
+
+
+def test_number_text(spark):
+    from rollcall.functions.text import number_text
+
+    values = {12.0: "12", -3.0: "-3", 0.5: "0.5", 1e-12: "0.000000000001", -2.5e-7: "-0.00000025", 1234567.25: "1234567.25", 1e21: "1000000000000000000000", 12345678.9: "12345678.9", 0.1234567890123: "0.1234567890123"}
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", number_text("v").alias("t"))
+    assert {r["v"]: r["t"] for r in df.collect()} == values
+
+
+def test_retries():
+    from rollcall.operators.models import call_json
+
+    def tries(*answers):
+        seen = []
+
+        def ask():
+            seen.append(1)
+            a = answers[len(seen) - 1]
+            if isinstance(a, Exception):
+                raise a
+            return a
+
+        try:
+            return call_json(ask, sleep=lambda _: None), len(seen)
+        except Exception as e:  # noqa: BLE001
+            return type(e).__name__, len(seen)
+
+    assert tries(RuntimeError("DEADLINE_EXCEEDED"), '{"a": 1}') == ({"a": 1}, 2)
+    assert tries(RuntimeError("limit of 1500 rows"), "{}") == ("RuntimeError", 1)
+    assert tries("", " ", "{}") == ({}, 3) and tries("", None, "")[0] == "EmptyAnswer"
+    assert tries(RuntimeError("HTTP 503"), RuntimeError("status: 429 Too Many"), "[]") == ([], 3)
+    assert tries("no json", "{}") == ("JSONDecodeError", 1)

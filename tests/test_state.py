@@ -107,6 +107,8 @@ def test_snapshots(spark, st, tmp_path):
     one = snaps.save(st)
     two = snaps.save(replace(one, sources=one.sources.filter("id = 's1'")))
     assert (one.version, two.version, snaps.current()) == (1, 2, 2) and snaps.load(1).sources.count() == 3
+    assert snaps.folders(2)["raw_records"] == snaps.folders(1)["raw_records"] and snaps.folders(2)["sources"] != snaps.folders(1)["sources"]
+    assert snaps.load().raw_records.count() == one.raw_records.count() and snaps.load().sources.count() == 1
     snaps.drop()
     assert snaps.current() is None
 
@@ -121,6 +123,10 @@ def test_import_batch_and_stream(spark, tmp_path):
     now = snaps.load()
     assert now.raw_records.count() == 3 and now.canonical_entities.count() == 2
     assert [(r["status"], r["llm_verdict"]) for r in now.merge_suggestions.collect()] == [("pending", True)]
+    (tmp_path / "in" / "c.xlsx").write_bytes(b"nothing")
+    imports.watch(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/cp", take).awaitTermination()
+    refused = spark.read.parquet(f"file://{tmp_path}/state/refused").collect()
+    assert [(r["path"].rsplit("/", 1)[-1], r["reason"].split(":")[0]) for r in refused] == [("c.xlsx", "no workbook")] and snaps.load().version == now.version
 
 
 def test_embedding_checks(spark):

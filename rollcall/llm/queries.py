@@ -71,7 +71,13 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "subject")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_golden, p2_found, p2_nearest, p3_found, p3_classes, p4_found, p4_copies, p5_found, p5_look_alikes, p8_ids, p9_containers, p9_report, p10_found)}
+def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The composition of the whole corpus by subject."""
+    mixed = subjects.subject_mixtures(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "doc_labels"), table(spark, sf_dir, "subjects"))
+    return subjects.composition(mixed)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_golden, p2_found, p2_nearest, p3_found, p3_classes, p4_found, p4_copies, p5_found, p5_look_alikes, p8_ids, p9_containers, p9_report, p10_found, p10_composition)}
 
 
 def _list(values: tuple[str, ...]) -> str:

@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.1"
 
 
 def test_sentences_fold_markup_and_odd_characters():
-    assert s.sentences("<p>Một câu.<br>HAI câu!</p>Paper no. 9 looks") == ["mot cau", "hai cau", "paper no. 9 looks"]
+    assert s.sentences("<p>Một câu.<br>HAI câu!</p>Paper no. 9 looks") == ["mot cau", "hai cau", "paper no. 0 looks"]
     assert s.sentences("chia g会場iúp một\r\n\r\n\tphần") == ["chia giup motphan"] and s.sentences(None) == [] == s.sentences(" \n ")
 
 
@@ -45,3 +45,8 @@ def test_edge_cases(spark):
     got = s.assign_subjects(docs, labels, known).collect()
     assert {(r["doc_id"], r["subject"]) for r in got} == {(4, "sport")} and len(got) == 2
     assert s.assign_subjects(docs.filter("false"), labels.filter("false"), known).count() == 0
+    mixed = s.subject_mixtures(docs, labels, known).collect()
+    assert len(mixed) == 5 * 3 and all(abs(sum(r["share"] for r in mixed if r["doc_id"] == d) - 1) < 1e-5 for d in (1, 2, 3))
+    assert {r["share"] for r in mixed if r["doc_id"] == 1} == {0.0, 1.0}
+    whole = {r["subject"]: r["documents"] for r in s.composition(s.subject_mixtures(docs, labels, known)).collect()}
+    assert abs(sum(whole.values()) - 5) < 0.01 and whole["sport"] > whole["law"]

@@ -7,7 +7,8 @@ and pruned alike. As every vector searches the graph when it is inserted, every
 so insertion finds the neighbours of all vectors; vectors of other shards of a large cell are beam-searched in the
 finished graph.
 
-Shards: centroids fitted on a bounded sample (SAMPLE rows; at most CELLS centroids) cut the space into cells. Every
+Shards: centroids fitted on a bounded sample (SAMPLE rows) cut the space into cells, about as many as shards are needed:
+up to CELLS of a first level, and for larger tables up to FINE shifts from each, a table all cells share. Every
 vector joins its nearest cell and up to OVERLAP - 1 others almost as near, so pairs near a border meet in one of them. Cells above SHARD rows are split by
 hash into shards of bounded size; each of its vectors is inserted in one and searched in all others, in chunks. Every
 row is indexed; equal vectors are one node and get their places back at the end, each copy linked to the first k.
@@ -24,17 +25,16 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollcall.session import broadcast_if_small, cut
+from rollcall.session import broadcast_if_small, cut, shuffle_width
 
 DIM = 64
-#: Rows the centroids are fitted on, most centroids, cells a vector joins (those whose centroid is at most MARGIN less similar than the nearest), and rows of a shard at most.
-SAMPLE, CELLS, OVERLAP, MARGIN, SHARD = 32768, 1024, 2, 0.06, 8192
+#: Rows the centroids are fitted on, most centroids of the first and of the second level, cells a vector joins (those whose centroid is at most MARGIN less similar than the nearest), and rows of a shard at most.
+SAMPLE, CELLS, FINE, OVERLAP, MARGIN, SHARD = 32768, 1024, 1024, 2, 0.06, 8192
 #: Edges per node, beam width, nodes expanded at once, pruning slack, vectors inserted at once, entry points.
 DEGREE, BEAM, WIDE, ALPHA, BATCH, ENTRIES = 16, 26, 4, 1.2, 1024, 12
 
@@ -183,7 +183,11 @@ def best_of(nodes: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int, least:
     ids, sims = ids.ravel(), sims.ravel()
     ok = (ids < n) & (sims >= least) & (ids != rows)
     rows, ids, sims = rows[ok], ids[ok], sims[ok]
-    a, b, s = np.concatenate([rows, ids]), np.concatenate([ids, rows]), np.concatenate([sims, sims])
+    return _top(np.concatenate([rows, ids]), np.concatenate([ids, rows]), np.concatenate([sims, sims]), k)
+
+
+def _top(a: np.ndarray, b: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k most similar b of every a, each once."""
     order = np.lexsort((b, -s, a))
     a, b, s = a[order], b[order], s[order]
     if not len(a):
@@ -195,38 +199,37 @@ def best_of(nodes: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int, least:
     return a[nth < k], b[nth < k], s[nth < k]
 
 
-def _matrix(column: pd.Series, dim: int) -> np.ndarray:
-    """Vectors of a column of bytes."""
-    return np.frombuffer(b"".join(column), np.float32).reshape(-1, dim)
+def _shard(k: int, least: float, dim: int) -> Callable[[pa.Table], pa.Table]:
+    """A function that gives a row per vector of a shard and the k neighbours found for it there."""
 
-
-def _shard(k: int, least: float, dim: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        base = pdf[pdf["role"] == 0]
-        x, keys, n = _matrix(base["v"], dim), base["id"].to_numpy(), len(base)
-        got = []
+    def run(table: pa.Table) -> pa.Table:
+        role = table.column("role").to_numpy()
+        x = np.frombuffer(b"".join(table.column("v").to_pylist()), np.float32).reshape(-1, dim)
+        keys = table.column("id").to_numpy()
+        mine, asked = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+        n, got = len(mine), []
 
         def note(nodes: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> None:
             got.append(best_of(nodes, ids, sims, 2 * k, least, n))
 
-        graph = Graph(x)
+        graph = Graph(x[mine])
         if n:
             graph.build(note)
-        out = []
-        if got and pdf["chunk"].iloc[0] == 0:
-            a, b, s = (np.concatenate([g[i] for g in got]) for i in range(3))
-            out.append((keys[a], keys[b], s))
-        others = pdf[pdf["role"] == 1]
-        if n and len(others):
-            ids, sims = graph.search(_matrix(others["v"], dim))
-            names = others["id"].to_numpy()
+        if n and len(asked):
+            # Numbered after the shard's own vectors.
+            ids, sims = graph.search(x[asked])
             r, c = np.nonzero((ids < n) & (sims >= least) & (np.arange(ids.shape[1]) < 2 * k))
-            out.append((names[r], keys[ids[r, c]], sims[r, c]))
-            out.append((keys[ids[r, c]], names[r], sims[r, c]))
-        if not out:
-            return pd.DataFrame({"a": [], "b": [], "similarity": []}).astype({"a": str, "b": str, "similarity": "float32"})
-        a, b, s = (np.concatenate([o[i] for o in out]) for i in range(3))
-        return pd.DataFrame({"a": a, "b": b, "similarity": s.astype(np.float32)})
+            a, b, s = (r + n).astype(np.int64), ids[r, c].astype(np.int64), sims[r, c]
+            found = (np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([s, s]))
+            got = [*got, found] if table.column("chunk")[0].as_py() == 0 else [found]
+        elif n and table.column("chunk")[0].as_py():
+            got = []
+        a, b, s = (np.concatenate([g[i] for g in got]) for i in range(3)) if got else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+        a, b, s = _top(a, b, s, k)
+        names = keys[np.concatenate([mine, asked])]
+        start = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
+        ends = pa.array(np.r_[start, len(a)].astype(np.int32))
+        return pa.Table.from_arrays([pa.array(names[a[start]], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(names[b], pa.int64())), pa.ListArray.from_arrays(ends, pa.array(s.astype(np.float32)))], ["a", "b", "similarity"])
 
     return run
 
@@ -244,6 +247,18 @@ def centroids(sample: np.ndarray, cells: int, rounds: int = 8, seed: int = 11) -
     return c.astype(np.float32)
 
 
+def shifts(rest: np.ndarray, many: int, rounds: int = 6, seed: int = 13) -> np.ndarray:
+    """Centroids of what vectors differ from their first-level centroid by: one table for all cells, so cells times shifts grow with the table while the sample stays bounded."""
+    rng = np.random.default_rng(seed)
+    c = rest[rng.choice(len(rest), min(many, len(rest)), replace=False)].copy()
+    for _ in range(rounds):
+        at = np.concatenate([((rest[i : i + 4096] @ c.T) - (c**2).sum(1) / 2).argmax(1) for i in range(0, len(rest), 4096)])
+        sums, count = np.zeros_like(c), np.bincount(at, minlength=len(c))
+        np.add.at(sums, at, rest)
+        c = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], c)
+    return c.astype(np.float32)
+
+
 def unit_vectors(batch: pa.RecordBatch, dim: int) -> tuple[pa.Array, np.ndarray]:
     """(ids, vectors at length one) of the valid rows of a batch (id, vector)."""
     lists = batch.column(1)
@@ -258,43 +273,63 @@ def unit_vectors(batch: pa.RecordBatch, dim: int) -> tuple[pa.Array, np.ndarray]
     return batch.column(0).take(pa.array(right[good])), x
 
 
-def _placed(df: DataFrame, dim: int, middle: np.ndarray) -> DataFrame:
+def _cells(x: np.ndarray, middle: np.ndarray, fine: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(cells, whether they are near enough) of unit vectors: the OVERLAP nearest centroids of the first level, or with a second level the nearest pairs of one of those and a shift from it."""
+    sims = x @ middle.T
+    m = min(OVERLAP, sims.shape[1])
+    top = np.argpartition(-sims, m - 1, axis=1)[:, :m].astype(np.int64)
+    how = np.take_along_axis(sims, top, 1)
+    if fine is not None:
+        lengths = (middle**2).sum(1)[:, None] + 2 * middle @ fine.T + (fine**2).sum(1)[None, :]
+        # Similarity less half the square of the centroid's length: the nearest centroid has the most of it.
+        pair = how[:, :, None] + (x @ fine.T)[:, None, :] - lengths[top] / 2
+        flat = pair.reshape(len(x), -1)
+        best = np.argpartition(-flat, min(OVERLAP, flat.shape[1]) - 1, axis=1)[:, : min(OVERLAP, flat.shape[1])]
+        how = np.take_along_axis(flat, best, 1)
+        top = np.take_along_axis(top, best // len(fine), 1) * len(fine) + best % len(fine)
+    return top.astype(np.int32), how >= how.max(1, keepdims=True, initial=-9) - MARGIN
+
+
+def _placed(df: DataFrame, dim: int, middle: np.ndarray, fine: np.ndarray | None = None) -> DataFrame:
     """(id, v, cells): the unit vector, as bytes, and the cells of every valid row. One Arrow pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, x = unit_vectors(batch, dim)
-            sims = x @ middle.T
-            m = min(OVERLAP, sims.shape[1])
-            top = np.argpartition(-sims, m - 1, axis=1)[:, :m].astype(np.int32)
-            near = np.take_along_axis(sims, top, 1) >= sims.max(1, keepdims=True, initial=-2) - MARGIN
-            ends = np.r_[0, np.cumsum(near.sum(1))].astype(np.int32)
-            at = (np.arange(len(x) + 1) * 4 * dim).astype(np.int32)
-            v = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(x))])
-            yield pa.RecordBatch.from_arrays([ids, v, pa.ListArray.from_arrays(pa.array(ends), pa.array(top[near]))], ["id", "v", "cells"])
+        for whole in batches:
+            for lo in range(0, len(whole), 1024):
+                ids, x = unit_vectors(whole.slice(lo, 1024), dim)
+                top, near = _cells(x, middle, fine)
+                ends = np.r_[0, np.cumsum(near.sum(1))].astype(np.int32)
+                at = (np.arange(len(x) + 1) * 4 * dim).astype(np.int32)
+                v = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(x))])
+                yield pa.RecordBatch.from_arrays([ids, v, pa.ListArray.from_arrays(pa.array(ends), pa.array(top[near]))], ["id", "v", "cells"])
 
     return df.mapInArrow(run, "id string, v binary, cells array<int>")
 
 
-def nearest(df: DataFrame, k: int, least: float = -1.0, key: str = "id", vector: str = "embedding", dim: int = DIM, shard: int = SHARD) -> DataFrame:
+def nearest(df: DataFrame, k: int, least: float = -1.0, key: str = "id", vector: str = "embedding", dim: int = DIM, shard: int = SHARD, most_cells: int | None = None) -> DataFrame:
     """(a, b, similarity, rank): for each row a the k most similar rows b with at least the given similarity."""
     rows = df.select(F.col(key).cast("string").alias("id"), F.col(vector).cast("array<float>").alias("e"))
     total = rows.count()
-    cells = min(CELLS, max(1, math.ceil(OVERLAP * total / (0.75 * shard))))
-    middle = np.zeros((1, dim), np.float32)
+    wanted = max(1, math.ceil(OVERLAP * total / (0.75 * shard)))
+    cells = min(most_cells or CELLS, wanted)
+    middle, fine = np.zeros((1, dim), np.float32), None
     if cells > 1:
         share = max(1, total // SAMPLE)
         drawn = rows.filter((F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(share)) == 0) & F.col("e").isNotNull()).limit(2 * SAMPLE).toArrow().combine_chunks()
         sample = [unit_vectors(b, dim)[1] for b in drawn.to_batches()]
         if sample and sum(map(len, sample)):
-            middle = centroids(np.concatenate(sample), cells)
-    placed = cut(_placed(rows, dim, middle).withColumn("h", F.xxhash64("v")))
+            sample = np.concatenate(sample)
+            middle = centroids(sample, cells)
+            if wanted > 1.5 * cells:
+                at = np.concatenate([(sample[i : i + 4096] @ middle.T).argmax(1) for i in range(0, len(sample), 4096)])
+                fine = shifts(sample - middle[at], min(FINE, math.ceil(wanted / cells)))
+    placed = cut(_placed(rows, dim, middle, fine).withColumns({"h": F.xxhash64("v"), "n": F.monotonically_increasing_id()}))
     # Equal vectors are one node, that of the smallest id; only the hashes of vectors that occur twice are looked up.
     twice = cut(placed.groupBy("h").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "node"))
     copied = twice.limit(1).count() > 0
     nodes = placed.join(broadcast_if_small(twice), "h", "left").filter("node is null or node = id").drop("node") if copied else placed
-    own = nodes.select("id", "v", F.explode("cells").alias("cell"))
-    # One row per cell, at most CELLS.
+    own = nodes.select(F.col("n").alias("id"), "v", F.explode("cells").alias("cell"))
+    # One row per cell, at most CELLS times FINE.
     parts = {r["cell"]: math.ceil(r["count"] / shard) for r in placed.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect()}
     many = {c: p for c, p in parts.items() if p > 1}
     role, chunk = F.lit(0).alias("role"), F.lit(0).alias("chunk")
@@ -308,8 +343,12 @@ def nearest(df: DataFrame, k: int, least: float = -1.0, key: str = "id", vector:
     else:
         spread = own.select("id", "v", "cell", F.lit(0).alias("sub"), role, chunk)
     tasks = max(1, min(4096, sum(parts.values())))
-    pairs = spread.repartition(tasks, "cell", "sub", "chunk").groupBy("cell", "sub", "chunk").applyInPandas(_shard(k, least, dim), "a string, b string, similarity float")
-    ranked = _ranked(pairs.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), k)
+    lists = spread.repartition(tasks, "cell", "sub", "chunk").groupBy("cell", "sub", "chunk").applyInArrow(_shard(k, least, dim), "a long, b array<long>, similarity array<float>")
+    # A vector's lists of its cells and shards travel as numbers, once; only the k best of them get their ids back.
+    pairs = lists.repartition(shuffle_width(df.sparkSession), "a").select("a", F.explode(F.arrays_zip("b", "similarity")).alias("x")).select("a", "x.b", "x.similarity")
+    best = _ranked(pairs.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), k).drop("rank")
+    name = lambda c: placed.select(F.col("n").alias(c), F.col("id").alias("_" + c))
+    ranked = _ranked(best.join(name("b"), "b").join(name("a"), "a").select(F.col("_a").alias("a"), F.col("_b").alias("b"), "similarity"), k)
     return _with_copies(ranked, placed, twice, k, least) if copied else ranked
 
 

@@ -37,11 +37,32 @@ def test_recall(spark, shard):
 
 def test_hot_cell_is_split(spark, monkeypatch):
     monkeypatch.setattr(n, "CELLS", 1)
+    monkeypatch.setattr(n, "FINE", 1)
     x = clustered(900, 5)
     want, got = brute(x, 5, 0.9), found(n.similar_pairs(frame(spark, x), shard=100))
     assert len(got & want) >= 0.95 * len(want)
 
 
+def test_cells_of_two_levels(spark):
+    x = clustered(1500, 4)
+    got = found(n.similar_pairs(frame(spark, x), shard=100, most_cells=4))
+    want = brute(x, 5, 0.9)
+    assert len(got & want) >= 0.9 * len(want)
+
+
+def test_recall_without_a_floor(spark):
+    x = clustered(1200, 3)
+    got = {}
+    for r in n.nearest(frame(spark, x), 5).collect():
+        got.setdefault(int(r["a"]), []).append((r["rank"], int(r["b"])))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = np.argsort(-s, axis=1)[:, :5]
+    hits = sum(len({b for _, b in got[i]} & set(want[i].tolist())) for i in range(len(x)))
+    assert all(sorted(r for r, _ in v) == [1, 2, 3, 4, 5] for v in got.values()) and hits >= 0.9 * 5 * len(x)
+
+
 def test_invalid_vectors_and_empty(spark):
     v = [1.0] * 64
     rows = [("a", v), ("b", [2.0] * 64), ("c", None), ("d", [0.0] * 64), ("e", [1.0] * 32), ("f", [float("nan")] * 64), ("g", [float("inf")] + v[1:]), ("h", [None] + v[1:])]

@@ -141,6 +141,7 @@ class Graph:
         stamp = np.full((b, self.n + 1), -1, np.int16)
         stamp[:, start] = 0
         stamp[:, self.n] = 0
+        stamps = stamp.ravel()
         done = ids == self.n
         live = np.arange(b)
         result = ids.copy(), sims.copy()
@@ -157,15 +158,14 @@ class Graph:
             expand = np.where(fresh, np.take_along_axis(ids, pick, 1), self.n)
             np.put_along_axis(done, pick, True, 1)
             near = self.edges[expand].reshape(len(live), -1)
-            row = live[:, None]
-            new = stamp[row, near] < 0
-            r, c = np.nonzero(new)
-            cell = near[r, c]
-            stamp[live[r], cell] = wide[c]
-            first = stamp[live[r], cell] == wide[c]
-            r, c, cell = r[first], c[first], cell[first]
+            places = (live * (self.n + 1))[:, None] + near
+            at = np.flatnonzero(stamps.take(places) < 0)
+            place, mark = places.ravel().take(at), wide.take(at % near.shape[1])
+            stamps[place] = mark
+            first = stamps.take(place) == mark
+            at = at[first]
             how = np.full(near.shape, -2, np.float32)
-            how[r, c] = np.einsum("id,id->i", q[live[r]], self.x[cell])
+            how.ravel()[at] = np.einsum("id,id->i", q.take(live.take(at // near.shape[1]), 0), self.x.take(near.ravel().take(at), 0))
             every = np.hstack([sims, how])
             top = np.argpartition(-every, beam - 1, axis=1)[:, :beam]
             top = np.take_along_axis(top, np.argsort(-np.take_along_axis(every, top, 1), axis=1), 1)

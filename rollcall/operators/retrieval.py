@@ -18,13 +18,15 @@ from pyspark.sql import functions as F
 
 from rollcall.functions.scores import AUTO_REJECT, COMBINED_FLOOR, SIMILARITY_FLOOR, clamp01, combine_confidence
 from rollcall.functions.text import blank_to_null, digits_only, null_to_blank, stable_id
-from rollcall.session import shuffle_width
+from rollcall.session import cut, shuffle_width
 
 TOP, IDENTIFIERS = 5, 5
 #: Oldest entities of a shared address or number a record meets before the rest.
 FIRST = 64
 #: Vectors of either side a task holds at once.
 BLOCK = 4096
+#: Entities of a cell of the index, rows its centroids are fitted on, most centroids, cells a record is looked for in.
+CELL, SAMPLE, CELLS, PROBES = 4096, 16384, 4096, 3
 VERDICTS = "record_id string, entity_id string, verdict boolean, confidence double, reasoning string"
 
 
@@ -86,11 +88,63 @@ def _best(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     return run
 
 
-def candidates_by_vector(tables: dict[str, DataFrame], records: DataFrame, k: int = TOP, floor: float = SIMILARITY_FLOOR, block: int = BLOCK) -> DataFrame:
+def _centroids(sample: np.ndarray, cells: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
+    """Spherical k-means."""
+    c = sample[np.random.default_rng(seed).choice(len(sample), min(cells, len(sample)), replace=False)].copy()
+    for _ in range(rounds):
+        at = np.concatenate([(sample[i : i + 4096] @ c.T).argmax(1) for i in range(0, len(sample), 4096)])
+        sums = np.zeros_like(c)
+        np.add.at(sums, at, sample)
+        norms = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(norms > 0, sums / np.maximum(norms, 1e-30), c)
+    return c
+
+
+def _nearest_cells(middle: dict[int, np.ndarray], probes: int) -> Callable:
+    """A pandas UDF of vectors: the cells whose centroids are most similar, by the vectors' length; cell 0 where none was fitted."""
+
+    @F.pandas_udf("array<int>")
+    def cells(vectors: pd.Series) -> pd.Series:
+        out = pd.Series([[0]] * len(vectors), index=vectors.index)
+        sizes = vectors.map(len)
+        for dim, c in middle.items():
+            mine = vectors[sizes == dim]
+            for lo in range(0, len(mine), 1024):
+                part = mine.iloc[lo : lo + 1024]
+                sims = _unit(part) @ c.T
+                top = np.argpartition(-sims, min(probes, len(c)) - 1, axis=1)[:, : min(probes, len(c))]
+                out.loc[part.index] = pd.Series(top.tolist(), index=part.index)
+        return out
+
+    return cells
+
+
+def index_cells(entities: DataFrame, cell: int = CELL, sample: int = SAMPLE) -> dict[int, np.ndarray]:
+    """Centroids by length of vectors (entity_id, v, dim), as many as cells of `cell` rows are needed, fitted on at most `sample` rows of each length drawn by hash; lengths of one cell have none.
+
+    One count per length reaches the driver; more than 64 lengths are an error.
+    """
+    counts = {r["dim"]: r["count"] for r in entities.groupBy("dim").count().limit(65).collect()}
+    if len(counts) > 64:
+        raise ValueError("vectors of more than 64 lengths")
+    out = {}
+    for dim, n in sorted(counts.items()):
+        wanted = min(CELLS, -(-n // cell))
+        if wanted > 1:
+            share = max(1, n // sample)
+            rows = entities.filter((F.col("dim") == dim) & (F.pmod(F.xxhash64("entity_id", F.lit("cells")), F.lit(share)) == 0)).select("v").limit(sample).toPandas()
+            if len(rows):
+                out[dim] = _centroids(_unit(rows["v"]), wanted)
+    return out
+
+
+def candidates_by_vector(tables: dict[str, DataFrame], records: DataFrame, k: int = TOP, floor: float = SIMILARITY_FLOOR, block: int = BLOCK, exact: bool = False, probes: int = PROBES, cell: int = CELL) -> DataFrame:
     """(record_id, entity_id, similarity): the k most similar entities of the same tenant and type that a record may still be matched with.
 
-    Exact. Both sides are cut into blocks per tenant and type by hash (block sizes follow the counted sizes, one row per
-    tenant and type), every pair of blocks is one matrix product, and the k best per block meet in a ranked union.
+    By an index: every entity is in the cell of its nearest centroid, and a record is compared, exactly, with the entities
+    of its `probes` nearest cells; their number grows with the table, so the work grows in proportion to the rows. exact:
+    with all entities. A cell's two sides are cut into blocks per tenant and type by hash (block sizes follow the counted
+    sizes, one row per cell, tenant and type), every pair of blocks is one matrix product, and the k best meet in a ranked union.
     """
     valid = lambda c: F.col(c).isNotNull() & F.exists(c, lambda x: x != 0)
     pairs = excluded_pairs(tables)
@@ -98,9 +152,15 @@ def candidates_by_vector(tables: dict[str, DataFrame], records: DataFrame, k: in
     cur = entity_kind(records).filter(valid("embedding")).select(F.col("id").alias("record_id"), "organization_id", "entity_type", "source_id", "row_number", F.col("embedding").alias("v")).filter("entity_type is not null")
     spans = later_rows(tables).groupBy("entity_id").agg(F.collect_list(F.struct("source_id", "last_row")).alias("spans"))
     ent = tables["canonical_entities"].filter(valid("embedding")).select(F.col("id").alias("entity_id"), "organization_id", "entity_type", F.col("embedding").alias("v"), F.size("embedding").alias("dim"))
-    cur = cur.withColumn("dim", F.size("v")).join(gone, "record_id", "left")
-    ent = ent.join(spans, "entity_id", "left")
-    group = ["organization_id", "entity_type", "dim"]
+    cur = cur.withColumn("dim", F.size("v"))
+    middle = {} if exact else index_cells(ent, cell)
+    one = F.array(F.lit(0))
+    cur = cur.withColumn("cell", F.explode(_nearest_cells(middle, probes)("v") if middle else one))
+    ent = ent.withColumn("cell", (_nearest_cells(middle, 1)("v") if middle else one)[0])
+    group = ["organization_id", "entity_type", "dim", "cell"]
+    cur, ent = cur.join(gone, "record_id", "left"), ent.join(spans, "entity_id", "left")
+    if middle:
+        cur, ent = cut(cur), cut(ent)
     sizes = ent.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / block).alias("eb")).join(cur.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / block).alias("rb")), group)
     left = cur.join(sizes, group).withColumn("r", F.pmod(F.xxhash64("record_id"), F.col("rb"))).withColumn("e", F.explode(F.sequence(F.lit(0), (F.col("eb") - 1).cast("int"))))
     right = ent.join(sizes, group).withColumn("e", F.pmod(F.xxhash64("entity_id"), F.col("eb")).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rb") - 1)))
@@ -178,7 +238,7 @@ class RuleAdjudicator:
 
 
 def adjudicate(short: DataFrame, records: DataFrame, entities: DataFrame, judge: Adjudicator) -> DataFrame:
-    """VERDICTS of every shortlisted pair the judge answers; a failing call loses that record's pairs only, unknown indices are dropped."""
+    """VERDICTS of every shortlisted pair the judge answers; unknown indices are dropped. A failing call loses that record's pairs only, and leaves a row without an entity that tells why."""
     r = records.select(F.col("id").alias("record_id"), F.struct("full_name", "organization", "role_title", "email", "phone").alias("record"))
     e = entities.select(F.col("id").alias("entity_id"), F.struct("entity_type", "display_name", "primary_organization", "primary_role", "primary_email", "primary_phone").alias("entity"))
     grouped = short.join(e, "entity_id").groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("candidate_index", "entity_id", "entity", "similarity"))).alias("candidates")).join(r, "record_id")
@@ -190,7 +250,8 @@ def adjudicate(short: DataFrame, records: DataFrame, entities: DataFrame, judge:
                 known = [dict(c["entity"]) | {"entity_id": c["entity_id"], "similarity": c["similarity"]} for c in candidates]
                 try:
                     answers = judge(dict(record), known)
-                except Exception:  # noqa: BLE001 - a record's failure must not lose the batch
+                except Exception as e:  # noqa: BLE001 - a record's failure must not lose the batch
+                    rows.append((rid, None, None, None, f"{type(e).__name__}: {e}"))
                     continue
                 for a in answers:
                     if 0 <= a["candidate_index"] < len(known):

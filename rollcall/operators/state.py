@@ -7,6 +7,7 @@ that was loaded isn't written again. There is one writer.
 
 from __future__ import annotations
 
+import logging
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
@@ -236,19 +237,36 @@ def seeds(records: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
     return entities, r.select(F.col("id").alias("raw_record_id"), F.col("_e").alias("canonical_entity_id"), "organization_id", F.lit("seed").alias("link_method"), now.alias("linked_at"))
 
 
-def import_batch(state: State, source: DataFrame, records: DataFrame, as_of: str, judge: retrieval.Adjudicator | None = None, **floors: float) -> tuple[State, DataFrame]:
-    """(new state, counters): a source and its parsed records are appended with their seeds, then all records are resolved as one batch."""
-    records = cut(records.select(*schemas.RECORDS.names))
+def import_batch(state: State, source: DataFrame, records: DataFrame, as_of: str, judge: retrieval.Adjudicator | None = None, embed: Callable[[list[str]], list[list[float]]] | None = None, dim: int = 0, **floors: float) -> tuple[State, DataFrame]:
+    """(new state, counters): a source and its parsed records are appended with their seeds, then all records are resolved as one batch.
+
+    With `embed`, records get vectors of that dimension first; if it fails, nothing is imported. Resolution is best effort:
+    if it fails as a whole, the import stands without suggestions and is counted; a record whose judgement fails is
+    counted, too.
+    """
+    records = cut((embedded(records, embed, dim) if embed else records).select(*schemas.RECORDS.names))
     ents, links = (cut(x) for x in seeds(records, as_of))
     grown = replace(
         state, sources=state.sources.unionByName(source.select(*schemas.SOURCES.names)), raw_records=state.raw_records.unionByName(records), canonical_entities=state.canonical_entities.unionByName(ents), raw_to_canonical=add_links(state.raw_to_canonical, links)
     )
+    count = lambda df, name, where="true": df.filter(where).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("counter"), "n")
+    counters = [count(records, "imported"), count(retrieval.entity_kind(records), "unidentified", "entity_type is null"), count(ents, "new_entities")]
+    try:
+        fresh, resolved = _resolved(grown, records, as_of, judge or retrieval.RuleAdjudicator(), floors, count)
+    except Exception as e:  # noqa: BLE001 - what is imported stays imported
+        logging.getLogger(__name__).warning("resolution failed: %s", e)
+        failed = records.limit(1).select(F.lit("resolution_failed").alias("counter"), F.lit(1).cast("bigint").alias("n"))
+        return grown, reduce(DataFrame.unionByName, [*counters, failed])
+    return replace(grown, merge_suggestions=state.merge_suggestions.unionByName(fresh)), reduce(DataFrame.unionByName, [*counters, *resolved])
+
+
+def _resolved(grown: State, records: DataFrame, as_of: str, judge: retrieval.Adjudicator, floors: dict[str, float], count: Callable) -> tuple[DataFrame, list[DataFrame]]:
+    """(new suggestions, counters) of an import's records."""
     by_vector = retrieval.candidates_by_vector(grown.tables, records, floor=floors.get("similarity", retrieval.SIMILARITY_FLOOR))
     resolvable = retrieval.entity_kind(records).filter("entity_type is not null").drop("entity_type")
     short = cut(retrieval.shortlist(by_vector, retrieval.candidates_by_identifier(grown.tables, resolvable)))
-    verdicts = retrieval.adjudicate(short, records, grown.canonical_entities, judge or retrieval.RuleAdjudicator())
+    verdicts = cut(retrieval.adjudicate(short, records, grown.canonical_entities, judge))
     outcome = cut(retrieval.scored(short, verdicts, floors.get("auto_reject", retrieval.AUTO_REJECT), floors.get("combined", retrieval.COMBINED_FLOOR)))
-    fresh = cut(new_suggestions(state.merge_suggestions, retrieval.as_suggestions(outcome, records, as_of)))
-    count = lambda df, name, where="true": df.filter(where).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("counter"), "n")
-    counters = [count(records, "imported"), count(retrieval.entity_kind(records), "unidentified", "entity_type is null"), count(ents, "new_entities"), count(fresh, "suggestions", "status = 'pending'"), count(fresh, "auto_rejected", "status = 'rejected'"), count(short.select("record_id").distinct(), "judged_records")]
-    return replace(grown, merge_suggestions=state.merge_suggestions.unionByName(fresh)), reduce(DataFrame.unionByName, counters)
+    fresh = cut(new_suggestions(grown.merge_suggestions, retrieval.as_suggestions(outcome, records, as_of)))
+    asked = short.select("record_id").distinct()
+    return fresh, [count(fresh, "suggestions", "status = 'pending'"), count(fresh, "auto_rejected", "status = 'rejected'"), count(asked, "judged_records"), count(verdicts, "judge_errors", "entity_id is null")]

@@ -98,7 +98,8 @@ def test_failing_judge_loses_its_record_only(spark, st):
             raise ValueError
         return [{"candidate_index": 0, "is_match": True, "confidence": 7, "reasoning": ""}, {"candidate_index": 99, "is_match": True, "confidence": 1, "reasoning": ""}]
 
-    assert [(r["record_id"], r["confidence"]) for r in retrieval.adjudicate(short, st.raw_records, st.canonical_entities, judge).collect()] == [("r1", 1.0)]
+    got = retrieval.adjudicate(short, st.raw_records, st.canonical_entities, judge).collect()
+    assert [(r["record_id"], r["confidence"]) for r in got if r["entity_id"]] == [("r1", 1.0)] and [r["reasoning"] for r in got if not r["entity_id"]] == ["ValueError: "]
 
 
 def test_snapshots(spark, st, tmp_path):
@@ -164,3 +165,12 @@ def test_search_rejections():
     p = search.build([dict(zip(("column", "operator", "value"), b)) for b in bad])
     assert not p.applied and [r for _, r in p.rejected] == ["unknown column", "unknown operator", "operator doesn't fit the column", "blank value", "not a number", "not a number"]
     assert search.column_ids() == sorted(search.COLUMNS) and "contains" in search.operator_ids()
+
+
+def test_index_finds_what_the_exact_search_finds(spark):
+    t = {n: spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("raw_records", "canonical_entities", "raw_to_canonical", "merge_suggestions")}
+    pairs = lambda df: {(r["record_id"], r["entity_id"]) for r in df.collect()}
+    exact = pairs(retrieval.candidates_by_vector(t, t["raw_records"], exact=True))
+    found = pairs(retrieval.candidates_by_vector(t, t["raw_records"], cell=256))
+    assert len(exact) > 10 and len(found & exact) >= 0.9 * len(exact) and len(found - exact) <= 0.02 * len(exact)
+    assert pairs(retrieval.candidates_by_vector(t, t["raw_records"])) == exact

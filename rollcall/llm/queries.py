@@ -109,3 +109,11 @@ SQL: dict[str, str] = {
     + " UNION ALL ".join(f"SELECT group_id, '{n}' AS field_name, id, updated_at FROM e WHERE {ok}" for n, ok in _USABLE_SQL.items())
     + ") SELECT group_id, field_name, id AS canonical_entity_id FROM (SELECT *, row_number() OVER (PARTITION BY group_id, field_name ORDER BY updated_at DESC NULLS LAST, id) AS k FROM f) WHERE k = 1",
 }
+
+_TEXT = "lower(trim(regexp_replace(coalesce(normalized_text, ''), '\\s+', ' ', 'g')))"
+_PARTS = "unnest(list_filter(list_distinct(string_split({0}, ' | ')), lambda x: x <> ''))"
+SQL["p4_copies"] = f"""WITH o AS (SELECT organization_id AS o, -2 AS b, {_TEXT} AS t FROM raw_records UNION ALL SELECT organization_id, coalesce(batch_no, -1), {_TEXT} FROM incoming_records),
+c AS (SELECT o, t, min(b) AS c FROM o GROUP BY ALL), p AS (SELECT o, part, min(b) AS p FROM (SELECT o, b, {_PARTS.format("t")} AS part FROM o) GROUP BY ALL),
+m AS (SELECT id, organization_id AS o, batch_no, coalesce(batch_no, -1) AS b, {_TEXT} AS t FROM incoming_records),
+s AS (SELECT x.id, x.b, count_if(p.p < x.b)::DOUBLE / count(*) AS v FROM (SELECT id, o, b, {_PARTS.format("t")} AS part FROM m) x JOIN p ON p.o = x.o AND p.part = x.part GROUP BY ALL)
+SELECT m.id AS record_id, m.batch_no, c.c < m.b AS is_copy, round(coalesce(s.v, 0), 6) AS coverage FROM m JOIN c ON c.o = m.o AND c.t = m.t LEFT JOIN s ON s.id = m.id AND s.b = m.b"""

@@ -99,6 +99,25 @@ def test_candidates_at_a_hot_employer_grow_in_proportion(spark):
     assert pairs(1600) < 40 * 1600
 
 
+def test_groups_decided_in_one_pass_or_in_rounds(spark):
+    rows = [(1, 2, True, False, 2, 0.9, 1), (2, 3, True, False, 2, 0.9, 2), (4, 5, True, False, 1, 0.6, 4), (4, 6, True, False, 1, 0.6, 4), (7, 8, True, False, 1, 0.6, 7), (9, 10, False, True, 1, 0.4, 9), (10, 11, True, False, 1, 0.5, 11)]
+    found = spark.createDataFrame(rows, "a long, b long, same_employer boolean, contact boolean, class int, score double, short long")
+    namesakes = spark.createDataFrame([(12, 1), (13, 4)], "a long, b long")
+    groups = people.components(found.select("a", "b").unionByName(namesakes))
+    sets = lambda df: sorted(sorted(r["vertex"] for r in rows) for rows in group_by(df.collect()))
+    want = sets(people.decided(found, namesakes))
+    assert [1, 2, 3, 12] in want and [7, 8] in want and [9, 10, 11] in want and not any({4, 5} <= set(x) for x in want)
+    several = lambda x: [s for s in x if len(s) > 1]
+    assert all(several(sets(people.decided_by_group(found, namesakes, groups, most))) == several(want) for most in (0, 2, 100))
+
+
+def group_by(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r["label"], []).append(r)
+    return out.values()
+
+
 def test_cores(spark):
     counts = spark.createDataFrame([("t", "abcdefgh", 9), ("t", "abcdefg", 5), ("t", "abcdef", 3), ("t", "abcdxf", 3), ("t", "fpt", 9), ("t", "fpts", 2), ("t", "wxyz", 1), ("t", "wxyy", 1), ("u", "abcdef", 1)], "tenant string, core string, n long")
     near = people.near_cores(counts, people.core_pieces(counts))

@@ -9,9 +9,12 @@ finished graph.
 
 Shards: centroids fitted on a bounded sample (SAMPLE rows) cut the space into cells, about as many as shards are needed:
 up to CELLS of a first level, and for larger tables up to FINE shifts from each, a table all cells share. Every
-vector joins its nearest cell and up to OVERLAP - 1 others almost as near, so pairs near a border meet in one of them. Cells above SHARD rows are split by
+vector joins its nearest cell and up to OVERLAP - 1 others almost as near, so pairs near a border meet in one of them.
+Shifts part pairs far more often than as many centroids would, so they only come where the sample has no more centroids
+to give. Cells above SHARD rows are split by
 hash into shards of bounded size; each of its vectors is inserted in one and searched in all others, in chunks. Every
 row is indexed; equal vectors are one node and get their places back at the end, each copy linked to the first k.
+Vectors travel as whole millionths of three bytes each, which is what they are rounded to.
 
 The index is approximate by nature; tests measure its recall against brute force (at least 0.9).
 
@@ -33,10 +36,10 @@ from pyspark.sql import functions as F
 from rollcall.session import broadcast_if_small, cut, shuffle_width
 
 DIM = 64
-#: Rows the centroids are fitted on, most centroids of the first and of the second level, cells a vector joins (those whose centroid is at most MARGIN less similar than the nearest), and rows of a shard at most.
-SAMPLE, CELLS, FINE, OVERLAP, MARGIN, SHARD = 32768, 1024, 1024, 2, 0.06, 8192
+#: Rows the centroids are fitted on, most centroids of the first and of the second level, cells a vector joins at most (those whose centroid is at most MARGIN less similar than the nearest) and about, and rows of a shard at most.
+SAMPLE, CELLS, FINE, OVERLAP, MARGIN, COPIES, SHARD = 32768, 32768, 1024, 5, 0.06, 3.5, 8192
 #: Edges per node, beam width, nodes expanded at once, pruning slack, vectors inserted at once, entry points.
-DEGREE, BEAM, WIDE, ALPHA, BATCH, ENTRIES = 16, 26, 4, 1.2, 1024, 12
+DEGREE, BEAM, WIDE, ALPHA, BATCH, ENTRIES = 16, 26, 4, 1.2, 2048, 12
 
 
 class Graph:
@@ -204,7 +207,7 @@ def _shard(k: int, least: float, dim: int) -> Callable[[pa.Table], pa.Table]:
 
     def run(table: pa.Table) -> pa.Table:
         role = table.column("role").to_numpy()
-        x = np.frombuffer(b"".join(table.column("v").to_pylist()), np.float32).reshape(-1, dim)
+        x = unpacked(b"".join(table.column("v").to_pylist()), dim)
         keys = table.column("id").to_numpy()
         mine, asked = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
         n, got = len(mine), []
@@ -235,11 +238,12 @@ def _shard(k: int, least: float, dim: int) -> Callable[[pa.Table], pa.Table]:
 
 
 def centroids(sample: np.ndarray, cells: int, rounds: int = 8, seed: int = 11) -> np.ndarray:
-    """Spherical k-means on a bounded sample."""
+    """Spherical k-means on a bounded sample; of less than half the rounds where a centroid stands for a few rows of it only."""
     rng = np.random.default_rng(seed)
     c = sample[rng.choice(len(sample), min(cells, len(sample)), replace=False)].copy()
-    for _ in range(rounds):
-        at = np.concatenate([(sample[i : i + 4096] @ c.T).argmax(1) for i in range(0, len(sample), 4096)])
+    step = _rows_at_once(len(c))
+    for _ in range(rounds if 16 * len(c) <= len(sample) else rounds * 3 // 8):
+        at = np.concatenate([(sample[i : i + step] @ c.T).argmax(1) for i in range(0, len(sample), step)])
         sums = np.zeros_like(c)
         np.add.at(sums, at, sample)
         norms = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -273,13 +277,46 @@ def unit_vectors(batch: pa.RecordBatch, dim: int) -> tuple[pa.Array, np.ndarray]
     return batch.column(0).take(pa.array(right[good])), x
 
 
+def packed(x: np.ndarray) -> np.ndarray:
+    """Unit vectors rounded to six places as three bytes a number."""
+    whole = np.rint(x.astype(np.float64) * 1e6).astype("<i4")
+    return np.ascontiguousarray(whole[:, :, None].view(np.uint8)[:, :, :3]).reshape(len(x), 3 * x.shape[1])
+
+
+def unpacked(data: bytes, dim: int) -> np.ndarray:
+    three = np.frombuffer(data, np.uint8).reshape(-1, dim, 3)
+    four = np.zeros((*three.shape[:2], 4), np.uint8)
+    four[:, :, 1:] = three
+    return ((four.view("<i4")[:, :, 0] >> 8) / 1e6).astype(np.float32)
+
+
+def _rows_at_once(many: int) -> int:
+    """Rows whose similarities to so many centroids are held at once: 16 MB of them."""
+    return max(32, min(4096, (4 << 20) // many))
+
+
+def _nearest_cells(sims: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the OVERLAP nearest of many centroids, their similarities): of those within MARGIN, which are few; -9 where there is none."""
+    row, cell = np.divmod(np.flatnonzero(sims >= sims.max(1, keepdims=True) - MARGIN), sims.shape[1])
+    how = sims[row, cell]
+    order = np.lexsort((-how, row))
+    row, cell, how = row[order], cell[order], how[order]
+    nth = np.arange(len(row)) - np.searchsorted(row, row)
+    ok = nth < OVERLAP
+    top, best = np.zeros((len(sims), OVERLAP), np.int64), np.full((len(sims), OVERLAP), -9, np.float32)
+    top[row[ok], nth[ok]], best[row[ok], nth[ok]] = cell[ok], how[ok]
+    return top, best
+
+
 def _cells(x: np.ndarray, middle: np.ndarray, fine: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """(cells, whether they are near enough) of unit vectors: the OVERLAP nearest centroids of the first level, or with a second level the nearest pairs of one of those and a shift from it."""
     sims = x @ middle.T
-    m = min(OVERLAP, sims.shape[1])
-    top = np.argpartition(-sims, m - 1, axis=1)[:, :m].astype(np.int64)
-    how = np.take_along_axis(sims, top, 1)
-    if fine is not None:
+    if fine is None:
+        top, how = _nearest_cells(sims)
+    else:
+        m = min(OVERLAP, sims.shape[1])
+        top = np.argpartition(-sims, m - 1, axis=1)[:, :m].astype(np.int64)
+        how = np.take_along_axis(sims, top, 1)
         lengths = (middle**2).sum(1)[:, None] + 2 * middle @ fine.T + (fine**2).sum(1)[None, :]
         # Similarity less half the square of the centroid's length: the nearest centroid has the most of it.
         pair = how[:, :, None] + (x @ fine.T)[:, None, :] - lengths[top] / 2
@@ -293,14 +330,16 @@ def _cells(x: np.ndarray, middle: np.ndarray, fine: np.ndarray | None) -> tuple[
 def _placed(df: DataFrame, dim: int, middle: np.ndarray, fine: np.ndarray | None = None) -> DataFrame:
     """(id, v, cells): the unit vector, as bytes, and the cells of every valid row. One Arrow pass."""
 
+    rows = min(1024, _rows_at_once(len(middle)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, len(whole), 1024):
-                ids, x = unit_vectors(whole.slice(lo, 1024), dim)
+            for lo in range(0, len(whole), rows):
+                ids, x = unit_vectors(whole.slice(lo, rows), dim)
                 top, near = _cells(x, middle, fine)
                 ends = np.r_[0, np.cumsum(near.sum(1))].astype(np.int32)
-                at = (np.arange(len(x) + 1) * 4 * dim).astype(np.int32)
-                v = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(x))])
+                at = (np.arange(len(x) + 1) * 3 * dim).astype(np.int32)
+                v = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(at), pa.py_buffer(packed(x))])
                 yield pa.RecordBatch.from_arrays([ids, v, pa.ListArray.from_arrays(pa.array(ends), pa.array(top[near]))], ["id", "v", "cells"])
 
     return df.mapInArrow(run, "id string, v binary, cells array<int>")
@@ -310,7 +349,7 @@ def nearest(df: DataFrame, k: int, least: float = -1.0, key: str = "id", vector:
     """(a, b, similarity, rank): for each row a the k most similar rows b with at least the given similarity."""
     rows = df.select(F.col(key).cast("string").alias("id"), F.col(vector).cast("array<float>").alias("e"))
     total = rows.count()
-    wanted = max(1, math.ceil(OVERLAP * total / (0.75 * shard)))
+    wanted = max(1, math.ceil(COPIES * total / (0.75 * shard)))
     cells = min(most_cells or CELLS, wanted)
     middle, fine = np.zeros((1, dim), np.float32), None
     if cells > 1:
@@ -321,7 +360,8 @@ def nearest(df: DataFrame, k: int, least: float = -1.0, key: str = "id", vector:
             sample = np.concatenate(sample)
             middle = centroids(sample, cells)
             if wanted > 1.5 * cells:
-                at = np.concatenate([(sample[i : i + 4096] @ middle.T).argmax(1) for i in range(0, len(sample), 4096)])
+                step = _rows_at_once(len(middle))
+                at = np.concatenate([(sample[i : i + step] @ middle.T).argmax(1) for i in range(0, len(sample), step)])
                 fine = shifts(sample - middle[at], min(FINE, math.ceil(wanted / cells)))
     placed = cut(_placed(rows, dim, middle, fine).withColumns({"h": F.xxhash64("v"), "n": F.monotonically_increasing_id()}))
     # Equal vectors are one node, that of the smallest id; only the hashes of vectors that occur twice are looked up.

@@ -50,6 +50,24 @@ def test_cells_of_two_levels(spark):
     assert len(got & want) >= 0.9 * len(want)
 
 
+def test_many_cells_keep_pairs_together():
+    # Vectors without structure and a variant of each: of pairs near a border, two cells a vector aren't enough to meet in.
+    rng = np.random.default_rng(8)
+    unit = lambda x: (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    x = unit(rng.normal(size=(3000, 64)))
+    y = unit(x + rng.normal(scale=0.038, size=x.shape))
+    middle = n.centroids(unit(rng.normal(size=(20000, 64))), 1000)
+    (a, near_a), (b, near_b) = n._cells(x, middle, None), n._cells(y, middle, None)
+    met = ((a[:, :, None] == b[:, None, :]) & near_a[:, :, None] & near_b[:, None, :]).any((1, 2))
+    assert 0.9 < (x * y).sum(1).mean() < 0.97 and met.mean() >= 0.985 and near_a.sum(1).mean() < 4
+
+
+def test_vectors_travel_whole():
+    x = np.round(np.random.default_rng(1).uniform(-1, 1, (50, 64)), 6).astype(np.float32)
+    x[0, :3] = -1, 1, 0
+    assert np.array_equal(n.unpacked(n.packed(x).tobytes(), 64), x)
+
+
 def test_recall_without_a_floor(spark):
     x = clustered(1200, 3)
     got = {}

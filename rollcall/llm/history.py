@@ -25,6 +25,7 @@ used; extra columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from dataclasses import dataclass, field
 from functools import reduce
@@ -344,6 +345,12 @@ def append(history: History, new: dict[str, DataFrame]) -> None:
     history.vertices = new["total"]
 
 
+def _tidy(spark: SparkSession) -> None:
+    """Lets the driver give back what the jobs of a step leave there: plans, compiled stages and broadcast tables, which only go with a collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def as_rows(records: DataFrame) -> DataFrame:
     return people.as_rows(records)
 
@@ -371,6 +378,7 @@ def batch_pairs(records: DataFrame, incoming: DataFrame, part: int = STEP) -> Da
     first = F.lit(-(1 << 31))
     incoming = incoming.withColumn("_batch", F.coalesce("batch_no", first) if "batch_no" in incoming.columns else first)
     history = start(as_rows(records))
+    _tidy(history.spark)
     order = steps([tuple(r) for r in incoming.groupBy("_batch").count().collect()], history.rows, part)
     found = []
     try:
@@ -379,6 +387,8 @@ def batch_pairs(records: DataFrame, incoming: DataFrame, part: int = STEP) -> Da
             found.append(pairs)
             if step is not order[-1]:
                 append(history, new)
+            del new
+            _tidy(history.spark)
     finally:
         history.drop()
     none = records.sparkSession.createDataFrame([], "row_a string, row_b string")

@@ -30,14 +30,16 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
 from rollcall.llm import names
 from rollcall.llm.skeleton import look_alike_table, use
-from rollcall.session import broadcast_if_small, cut
+from rollcall.session import BROADCAST_BYTES, broadcast_if_small, cut, size_estimate
 
 #: A contact used by more people than this is an office's.
 OFFICE = 3
@@ -338,8 +340,33 @@ def namesake_candidates(nodes: DataFrame) -> DataFrame:
 # Decisions.
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(vertex, label): the smallest vertex of each connected component, for vertices that have an edge (a, b)."""
+def _least_connected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(vertex, label) of all edges (a, b) of a partition."""
+    ends = [[b.column(i).to_numpy() for i in (0, 1)] for b in batches if len(b)]
+    if ends:
+        a, b = (np.concatenate([e[i] for e in ends]) for i in (0, 1))
+        vertex, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        a, b = at[: len(a)], at[len(a) :]
+        # Vertices are in order, so the smallest index is the smallest vertex; the roots of an edge's ends are joined until all ends have one.
+        root = np.arange(len(vertex))
+        while (root[a] != root[b]).any():
+            low = np.minimum(root[a], root[b])
+            np.minimum.at(root, root[a], low)
+            np.minimum.at(root, root[b], low)
+            while (root[root] != root).any():
+                root = root[root]
+        yield pa.RecordBatch.from_arrays([pa.array(vertex), pa.array(vertex[root])], ["vertex", "label"])
+
+
+def components(edges: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """(vertex, label): the smallest vertex of each connected component, for vertices that have an edge (a, b).
+
+    Edges small enough to be broadcast go through one task instead, without rounds: these cost the driver a handful of
+    shuffles and jobs each, whatever the number of edges.
+    """
+    edges = cut(edges.select("a", "b").dropna())
+    if size_estimate(edges) <= limit:
+        return cut(edges.coalesce(1).mapInArrow(_least_connected, "vertex long, label long"))
     both = cut(edges.select(F.col("a").alias("vertex"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("vertex"), F.col("a").alias("to"))).distinct())
     labels = cut(both.groupBy("vertex").agg(F.least(F.min("to"), F.first("vertex")).alias("label")))
     for _ in range(ROUNDS):

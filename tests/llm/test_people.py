@@ -220,3 +220,15 @@ def test_empty_history_and_batch(spark):
     some, none = spark.createDataFrame(ROWS, COLUMNS), spark.createDataFrame([], COLUMNS)
     assert history.batch_pairs(some, none).count() == 0
     assert history.batch_pairs(none, some.filter("id like 'o%'")).count() == 0
+
+
+def test_components_of_few_edges_take_no_rounds(spark, monkeypatch):
+    # A chain, a ring, a loop and a missing end; two tables are written instead of some for every round.
+    edges = [(i + 1, i) for i in range(40)] + [(-5, 90), (90, 91), (91, -5), (70, 70), (None, 71)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    written = []
+    monkeypatch.setattr(people, "cut", lambda one, real=people.cut: written.append(1) or real(one))
+    want = {i: 0 for i in range(41)} | {-5: -5, 90: -5, 91: -5, 70: 70}
+    assert {r["vertex"]: r["label"] for r in people.components(df).collect()} == want and len(written) == 2
+    assert {r["vertex"]: r["label"] for r in people.components(df, limit=-1).collect()} == want
+    assert people.components(df.filter("false")).count() == 0

@@ -5,7 +5,8 @@ proposes neighbours among those inserted before, the batch's own vectors propose
 pruning (a candidate goes if one already kept is alpha times closer to it) keeps diverse edges; reverse edges are added
 and pruned alike. As every vector searches the graph when it is inserted, every pair is looked for by its later member,
 so insertion finds the neighbours of all vectors; vectors of other shards of a large cell are beam-searched in the
-finished graph.
+finished graph. A batch is as large as a shard, in which comparing all vectors costs a fraction of the search and misses
+none; so edges are made, and followed, where a cell has several shards, and elsewhere not at all.
 
 Shards: centroids fitted on a bounded sample (SAMPLE rows) cut the space into cells, about as many as shards are needed:
 up to CELLS of a first level, and for larger tables up to FINE shifts from each, a table all cells share. Every
@@ -38,8 +39,10 @@ from rollcall.session import broadcast_if_small, cut, shuffle_width
 DIM = 64
 #: Rows the centroids are fitted on, most centroids of the first and of the second level, cells a vector joins at most (those whose centroid is at most MARGIN less similar than the nearest) and about, and rows of a shard at most.
 SAMPLE, CELLS, FINE, OVERLAP, MARGIN, COPIES, SHARD = 32768, 32768, 1024, 5, 0.06, 3.5, 8192
-#: Edges per node, beam width, nodes expanded at once, pruning slack, vectors inserted at once, entry points.
-DEGREE, BEAM, WIDE, ALPHA, BATCH, ENTRIES = 16, 26, 4, 1.2, 2048, 12
+#: Edges per node, beam width, nodes expanded at once, pruning slack, vectors inserted at once (a shard, where comparing them all costs a quarter of a beam search), entry points.
+DEGREE, BEAM, WIDE, ALPHA, BATCH, ENTRIES = 16, 26, 4, 1.2, 8192, 12
+#: Vectors of a batch compared with all of it at once, and queries that search the graph at once.
+OWN, ASKED = 512, 2048
 
 
 class Graph:
@@ -53,16 +56,16 @@ class Graph:
         self.used = np.zeros(self.n + 1, np.int32)
         self.entries = np.random.default_rng(seed)
 
-    def build(self, found: Callable[[np.ndarray, np.ndarray, np.ndarray], None]) -> None:
-        """Inserts all vectors; found(nodes, neighbours, similarities) is called with what each batch's search proposes."""
+    def build(self, found: Callable[[np.ndarray, np.ndarray, np.ndarray], None], least: float = -1.0, searched: bool = True) -> None:
+        """Inserts all vectors; found(nodes, neighbours, similarities) is called with what each batch's search proposes.
+
+        If the finished graph isn't searched, nobody follows the edges of the last batch: it gets none, and proposals under
+        `least` are left out there.
+        """
         for lo in range(0, self.n, BATCH):
             hi = min(lo + BATCH, self.n)
-            own = self.x[lo:hi] @ self.x[lo:hi].T
-            np.fill_diagonal(own, -2)
-            width = min(self.beam, hi - lo)
-            near = np.argpartition(-own, width - 1, axis=1)[:, :width]
-            ids, sims = (near + lo).astype(np.int32), np.take_along_axis(own, near, 1)
-            ids[sims <= -2] = self.n
+            linked = searched or hi < self.n
+            ids, sims = self._own(lo, hi, -2 if linked else least)
             if lo:
                 there, how = self.search(self.x[lo:hi], lo)
                 ids, sims = np.hstack([ids, there]), np.hstack([sims, how])
@@ -70,10 +73,25 @@ class Graph:
             ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
             nodes = np.arange(lo, hi, dtype=np.int32)
             found(nodes, ids, sims)
-            kept = self.prune(ids, sims)
-            self.edges[lo:hi, : self.degree] = kept
-            self.used[lo:hi] = (kept < self.n).sum(1)
-            self._reverse(nodes, kept)
+            if linked:
+                kept = self.prune(ids, sims)
+                self.edges[lo:hi, : self.degree] = kept
+                self.used[lo:hi] = (kept < self.n).sum(1)
+                self._reverse(nodes, kept)
+
+    def _own(self, lo: int, hi: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, similarities): the most similar vectors of a batch for each of its vectors, exact; n and -2 for a vector that has none of at least `least`."""
+        width, x = min(self.beam, hi - lo), self.x[lo:hi]
+        ids, sims = np.full((hi - lo, width), self.n, np.int32), np.full((hi - lo, width), -2, np.float32)
+        for at in range(0, hi - lo, OWN):
+            own = x[at : at + OWN] @ x.T
+            own[np.arange(len(own)), np.arange(at, at + len(own))] = -2
+            rows = np.flatnonzero(own.max(1) >= least)
+            own = own[rows] if len(rows) < len(own) else own
+            near = np.argpartition(own, own.shape[1] - width, axis=1)[:, own.shape[1] - width :]
+            ids[at + rows], sims[at + rows] = near + lo, np.take_along_axis(own, near, 1)
+        ids[sims <= -2] = self.n
+        return ids, sims
 
     def prune(self, ids: np.ndarray, sims: np.ndarray) -> np.ndarray:
         """For rows of candidates by falling similarity: the diverse ones kept, n where none is left."""
@@ -128,9 +146,9 @@ class Graph:
         """Beam search of the first `among` nodes: (ids, similarities) by falling similarity; n and -2 where none."""
         among = self.n if among is None else among
         out = np.full((len(queries), self.beam), self.n, np.int32), np.full((len(queries), self.beam), -2, np.float32)
-        for lo in range(0, len(queries), BATCH):
-            ids, sims = self._search(queries[lo : lo + BATCH], among)
-            out[0][lo : lo + BATCH], out[1][lo : lo + BATCH] = ids, sims
+        for lo in range(0, len(queries), ASKED):
+            ids, sims = self._search(queries[lo : lo + ASKED], among)
+            out[0][lo : lo + ASKED], out[1][lo : lo + ASKED] = ids, sims
         return out
 
     def _search(self, q: np.ndarray, among: int) -> tuple[np.ndarray, np.ndarray]:
@@ -217,7 +235,7 @@ def _shard(k: int, least: float, dim: int) -> Callable[[pa.Table], pa.Table]:
 
         graph = Graph(x[mine])
         if n:
-            graph.build(note)
+            graph.build(note, least, bool(len(asked)))
         if n and len(asked):
             # Numbered after the shard's own vectors.
             ids, sims = graph.search(x[asked])

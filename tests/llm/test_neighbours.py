@@ -35,6 +35,35 @@ def test_recall(spark, shard):
     assert len(want) > 500 and len(got & want) >= 0.9 * len(want) and len(got - want) <= 0.05 * len(want)
 
 
+def proposed(x, least, searched):
+    got = []
+    graph = n.Graph(x)
+    graph.build(lambda nodes, ids, sims: got.append(n.best_of(nodes, ids, sims, 10, least, len(x))), least, searched)
+    return graph, n._top(*(np.concatenate([g[i] for g in got]) for i in range(3)), 5)
+
+
+@pytest.mark.parametrize("least", [-1.0, 0.9])
+def test_vectors_of_a_shard_are_all_compared(monkeypatch, least):
+    # Without structure a beam search misses most neighbours; edges that nobody follows cost as much again.
+    x = np.random.default_rng(3).normal(size=(5000, 64))
+    x[2500:] = x[:2500] + np.random.default_rng(4).normal(scale=0.4, size=(2500, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    monkeypatch.setattr(n.Graph, "prune", lambda *a: pytest.fail("edges that nobody follows"))
+    _, (a, b, s) = proposed(x, least, False)
+    assert {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist())} == brute(x, 5, least) and (s >= least).all()
+
+
+@pytest.mark.parametrize("searched, edges", [(True, 900), (False, 600)])
+def test_edges_are_made_where_they_are_followed(monkeypatch, searched, edges):
+    monkeypatch.setattr(n, "BATCH", 300)
+    x = clustered(900, 6)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph, (a, b, _) = proposed(x, 0.9, searched)
+    want = brute(x, 5, 0.9)
+    assert (graph.used[:900] > 0).sum() == edges
+    assert len({tuple(sorted(p)) for p in zip(a.tolist(), b.tolist())} & want) >= 0.95 * len(want)
+
+
 def test_hot_cell_is_split(spark, monkeypatch):
     monkeypatch.setattr(n, "CELLS", 1)
     monkeypatch.setattr(n, "FINE", 1)

@@ -30,6 +30,7 @@ import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,6 +100,27 @@ class History:
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def _tidy(spark: SparkSession) -> None:
+    """Lets the driver give back what some dozen jobs leave there: plans, compiled stages and broadcast tables, which go with a collection only, and native memory that the allocator keeps for each of their hundreds of threads until it is asked for it."""
+    gc.collect()
+    jvm = spark.sparkContext._jvm
+    jvm.System.gc()
+    try:
+        _trim(spark)
+    except Py4JError:  # a Java or a system without this command
+        pass
+
+
+def _trim(spark: SparkSession) -> None:
+    """Java's own command System.trim_native_heap, called as a management operation: its class may only be reached through the interface."""
+    jvm, array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    kinds, given = array(jvm.Class, 4), array(jvm.Object, 4)
+    for k, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[k] = jvm.Class.forName(kind)
+    given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    jvm.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+
+
 def _ckey(core: str = "core") -> F.Column:
     return F.xxhash64("tenant", core)
 
@@ -189,15 +211,18 @@ def start(rows: DataFrame) -> History:
     kinds = cut(people.core_kinds(parsed))
     pieces = cut(people.core_pieces(_counts(kinds)))
     near = cut(people.near_cores(_counts(kinds), pieces))
+    _tidy(history.spark)
     placed = cut(_placed(parsed, _places(kinds, near)).filter("vertex is not null"))
     counted = cut(_node_counts(placed))
     nodes = cut(_live_nodes(counted))
     uses = cut(_use_counts(placed))
     keys = cut(_name_keys(nodes))
     history.vertices = nodes.count()
+    _tidy(history.spark)
     shared = cut(people.contact_candidates(nodes, uses.select("contact", "vertex")))
     alike, covers = _alike(nodes, people.employer_candidates(nodes, keys.filter("size > 0")), shared)
     groups = people.components(alike.select("a", "b").unionByName(people.namesake_candidates(nodes)))
+    _tidy(history.spark)
     tables = {
         "cores": kinds.withColumn("ckey", _ckey()), "pieces": pieces, "near": near.withColumn("ckey", _ckey()), "rows": parsed, "nodes": counted, "tokens": _counted_tokens(nodes), "keys": keys,
         "members": placed.select("vertex", "row_id", "incoming", F.lit(1).alias("n")), "contacts": uses, "alike": alike, "covers": covers, "group_members": groups,
@@ -218,7 +243,7 @@ def _spelling_trees(history: History, parsed: DataFrame, near: DataFrame) -> Dat
     last = seen
     while True:
         last = cut(edges.join(broadcast_if_small(last), "ckey", "left_semi").select(F.col("to").alias("ckey")).distinct().join(seen, "ckey", "left_anti"))
-        if not last.limit(1).count():
+        if last.isEmpty():
             return seen
         seen = cut(seen.unionByName(last))
 
@@ -229,11 +254,11 @@ def _moved(history: History, before: tuple[DataFrame, DataFrame], now: tuple[Dat
     known = side(before).withColumnsRenamed({"to_core": "_t", "usual": "_u"})
     changed = side(now).join(known, ["tenant", "core"]).filter("to_core <> _t or usual <> _u").select("tenant", "core").unionByName(fresh.select("tenant", "core"))
     dirty = cut(history.touched("rows", changed.select(_ckey().alias("ckey"))))
-    if not dirty.limit(1).count():
+    if dirty.isEmpty():
         return None
     was = _placed(dirty, before).select("row_id", F.col("vertex").alias("_was"))
     both = cut(_placed(dirty, now).join(was, "row_id").filter("vertex is not null and not (vertex <=> _was)"))
-    if not both.limit(1).count():
+    if both.isEmpty():
         return None
     old = cut(_placed(dirty, before).join(both.select("row_id"), "row_id", "left_semi"))
     return old, both.drop("_was")
@@ -250,9 +275,11 @@ def match(history: History, batch: DataFrame) -> tuple[DataFrame, dict[str, Data
     ways = F.explode(F.array(F.struct("core", "other"), F.struct(F.col("other").alias("core"), F.col("core").alias("other"))))
     near = cut(one.select("tenant", ways.alias("w")).select("tenant", "w.core", "w.other").distinct())
     trees = _spelling_trees(history, parsed, near)
+    _tidy(history.spark)
     every = history.touched("cores", trees).select("tenant", "core", "kind", F.col("n").alias("was"), "n").unionByName(kinds.select("tenant", "core", "kind", F.lit(0).cast("bigint").alias("was"), "n"))
     pairs = history.touched("near", trees).select("tenant", "core", "other", F.lit(True).alias("was")).unionByName(near.withColumn("was", F.lit(False)))
     before, now = _both_places(every.groupBy("tenant", "core", "kind").agg(F.sum("was").alias("was"), F.sum("n").alias("n")), pairs)
+    _tidy(history.spark)
     moved = _moved(history, before, now, fresh)
     columns = ("row_id", "tenant", *NODE, "email_key", "phone_key", "incoming")
     named = _placed(parsed, now).filter("vertex is not null").select(*columns)
@@ -274,6 +301,7 @@ def match(history: History, batch: DataFrame) -> tuple[DataFrame, dict[str, Data
     total = history.vertices + state.select(F.coalesce(F.sum(F.when(F.col("live"), 1).otherwise(0) - F.when(F.col("before"), 1).otherwise(0)), F.lit(0))).first()[0]
 
     # What is new meets what has its hashes.
+    _tidy(history.spark)
     keys = cut(_name_keys(born))
     met = cut(history.touched("keys", keys.select("key")).unionByName(keys).distinct())
     used = history.touched("contacts", uses.select("contact")).select("contact", "vertex", F.col("n").alias("was"), "n").unionByName(uses.select("contact", "vertex", F.lit(0).cast("bigint").alias("was"), "n"))
@@ -283,12 +311,14 @@ def match(history: History, batch: DataFrame) -> tuple[DataFrame, dict[str, Data
     grams = met.filter("size > 0")
     frequency = cut(grams.groupBy("key").agg(F.count(F.lit(1)).alias("df")))
     org = people.meetings(keys.filter("size > 0").select("key", "vertex"), grams.select("key", "vertex"), frequency, near_nodes)
+    _tidy(history.spark)
     shared = cut(people.contact_candidates(near_nodes, used.select("contact", "vertex"), used.filter("was <= 0").select("vertex").distinct()))
     alike, covers = _alike(near_nodes, org, shared)
     names = met.filter("size = 0").select("vertex").distinct()
     namesakes = people.namesake_candidates(near_nodes.join(names, "vertex", "left_semi"))
 
     # The groups it touches, whole.
+    _tidy(history.spark)
     edges = cut(alike.select("a", "b").unionByName(namesakes))
     touched = counted.select("vertex").union(edges.select("a")).union(edges.select("b")).distinct()
     latest = lambda df: df.groupBy("vertex").agg(F.max_by(F.struct("label", "class"), "batch").alias("g")).select("vertex", "g.label", "g.class")
@@ -307,11 +337,13 @@ def match(history: History, batch: DataFrame) -> tuple[DataFrame, dict[str, Data
     shared = _using(links.filter("contact is not null"), every_use, "a", "b")
     covered = _using(history.touched("covers", contacts).unionByName(covers), every_use, "short", "long")
     pairs = people.both_candidates(links.filter("contact is null"), shared)
+    _tidy(history.spark)
     found = people.evident(people.verified(people.weighted(nodes, frequency, total), pairs), shared, people.office_contacts(every_use, covered))
     labels = people.decided_by_group(found, people.namesake_candidates(nodes), groups)
     labels = cut(nodes.select("vertex").join(labels, "vertex", "left").select("vertex", F.coalesce("label", "vertex").alias("class")))
 
     # Pairings that weren't there before.
+    _tidy(history.spark)
     was = latest(history.touched("groups", whole)).select("vertex", F.coalesce("class", "vertex").alias("was"))
     old_rows = history.touched("members", whole)
     if moved:
@@ -345,12 +377,6 @@ def append(history: History, new: dict[str, DataFrame]) -> None:
     history.vertices = new["total"]
 
 
-def _tidy(spark: SparkSession) -> None:
-    """Lets the driver give back what the jobs of a step leave there: plans, compiled stages and broadcast tables, which only go with a collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def as_rows(records: DataFrame) -> DataFrame:
     return people.as_rows(records)
 

@@ -193,7 +193,7 @@ def spelling_roots(counts: DataFrame, near: DataFrame) -> DataFrame:
     best = cut(best)
     while True:
         onward = best.select("tenant", F.col("core").alias("to_core"), F.col("to_core").alias("last"))
-        if not best.join(onward, ["tenant", "to_core"], "left_semi").limit(1).count():
+        if best.join(onward, ["tenant", "to_core"], "left_semi").isEmpty():
             break
         best = cut(best.join(onward, ["tenant", "to_core"], "left").select("tenant", "core", F.coalesce("last", "to_core").alias("to_core")))
     return counts.select("tenant", "core").join(broadcast_if_small(best), ["tenant", "core"], "left").withColumn("to_core", F.coalesce("to_core", "core"))
@@ -270,7 +270,7 @@ def _meet(probes: DataFrame, keys: DataFrame, frequency: DataFrame, placed: Data
     fits = (F.col("sa") < F.col("sb")) | ((F.col("sa") == F.col("sb")) & (F.col("a") != F.col("b"))) if sized else F.col("a") != F.col("b")
     columns = ["place", "a", "b"] if "place" in keys.columns else ["a", "b"]
     pairs = a.join(b, "key").filter(fits).select(*columns)
-    if over.limit(1).count():
+    if not over.isEmpty():
         crowd = keys.join(broadcast_if_small(over), "key", "left_semi").select("vertex").distinct()
         parts = placed.join(crowd, "vertex", "left_semi").select("place", "vertex", F.explode(finer("text")).alias("x"))
         parts = parts.select("place", "vertex", F.xxhash64("place", "x.gram").alias("key"), "x.part", "x.role").join(broadcast_if_small(over), "key", "left_semi")
@@ -314,7 +314,7 @@ def contact_candidates(nodes: DataFrame, uses: DataFrame, mine: DataFrame | None
     pairs = pairs.select("contact", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = pairs if mine is None else pairs.distinct()
     crowded = many.filter(F.col("m") > hot)
-    if crowded.limit(1).count():
+    if not crowded.isEmpty():
         crowd = uses.join(broadcast_if_small(crowded.select("contact")), "contact", "left_semi").join(nodes.select("vertex", "text"), "vertex")
         placed = cut(crowd.select(F.col("contact").alias("place"), "vertex", "text"))
         keys = placed.select("place", "vertex", F.explode(_contact_grams("text")).alias("gram"))
@@ -373,7 +373,7 @@ def components(edges: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
         seen = both.join(labels.withColumnRenamed("vertex", "to"), "to").groupBy("vertex").agg(F.min("label").alias("near"))
         jump = labels.select(F.col("vertex").alias("label"), F.col("label").alias("far"))
         fresh = cut(labels.join(seen, "vertex").join(jump, "label", "left").select("vertex", "label", F.least("label", "near", "far").alias("fresh")))
-        moved = fresh.filter("fresh < label").limit(1).count()
+        moved = not fresh.filter("fresh < label").isEmpty()
         labels = fresh.select("vertex", F.col("fresh").alias("label"))
         if not moved:
             return labels
@@ -454,7 +454,7 @@ def decided_by_group(found: DataFrame, namesakes: DataFrame, groups: DataFrame,
     of = groups.select(F.col("vertex").alias("a"), F.col("label").alias("_group"))
     found, namesakes = cut(found.join(of, "a")), cut(namesakes.join(of, "a"))
     large = found.groupBy("_group").agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") > (GROUP if most is None else most)).select("_group")
-    some = large.limit(1).count()
+    some = not large.isEmpty()
     small = [df.join(broadcast_if_small(large), "_group", "left_anti") if some else df for df in (found, namesakes)]
     other = F.when(F.col("short") == F.col("a"), F.col("b")).otherwise(F.col("a"))
     links = small[0].filter(SURE).select("_group", F.lit(0).alias("kind"), "a", "b").unionByName(small[0].filter(MAYBE).select("_group", F.lit(1).alias("kind"), F.col("short").alias("a"), other.alias("b")))

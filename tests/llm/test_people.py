@@ -222,6 +222,18 @@ def test_empty_history_and_batch(spark):
     assert history.batch_pairs(none, some.filter("id like 'o%'")).count() == 0
 
 
+def test_the_driver_is_tidied_all_along(spark, monkeypatch):
+    # What jobs leave in the driver is given back after a dozen tables or so, not after a step; Java's command for native memory can be called.
+    history._trim(spark)
+    written, most = [], []
+    for m in (people, history):
+        monkeypatch.setattr(m, "cut", lambda one, real=m.cut: written.append(1) or real(one))
+    monkeypatch.setattr(history, "_tidy", lambda s: most.append(len(written)) or written.clear())
+    old, new = chain()
+    history.batch_pairs(spark.createDataFrame(old, COLUMNS), spark.createDataFrame(new, COLUMNS))
+    assert len(most) >= 10 and max(most) <= 14 and sum(most) > 40
+
+
 def test_components_of_few_edges_take_no_rounds(spark, monkeypatch):
     # A chain, a ring, a loop and a missing end; two tables are written instead of some for every round.
     edges = [(i + 1, i) for i in range(40)] + [(-5, 90), (90, 91), (91, -5), (70, 70), (None, 71)]

@@ -59,6 +59,19 @@ PARTS = {
     "group_members": ("label", "vertex long"),
 }
 NODE = ("vertex", "place", "name", "text")
+#: Bytes of a bucket's hashes, by size_estimate(), that a task may hold as a table while it reads the bucket.
+BUCKET_BYTES = 32 << 20
+
+
+def _slots(part: str) -> list[tuple[str, str, str]]:
+    """(column, its kind, the table's column it is kept in): parts share s0, s1 ... for texts and n0, n1 ... for all else, since each row is written with the columns of all parts."""
+    out, used = [], {"s": 0, "n": 0}
+    for c in PARTS[part][1].split(", "):
+        name, kind = c.split()
+        mark = "s" if kind == "string" else "n"
+        out.append((name, kind, f"{mark}{used[mark]}"))
+        used[mark] += 1
+    return out
 
 
 @dataclass
@@ -76,22 +89,31 @@ class History:
         return f"{checkpoint_dir(self.spark)}/{self.name}"
 
     def add(self, parts: dict[str, DataFrame]) -> None:
-        kinds = {c.split()[0]: c.split()[1] for _, columns in PARTS.values() for c in columns.split(", ")}
+        slots = sorted({slot for part in PARTS for _, _, slot in _slots(part)})
         long = None
-        for part, (by, columns) in PARTS.items():
-            own = {c.split()[0] for c in columns.split(", ")}
-            one = parts[part].select(F.lit(part).alias("part"), F.col(by).cast("long").alias("hash"), *((F.col(c) if c in own else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()))
+        for part, (by, _) in PARTS.items():
+            own = {slot: F.col(c) for c, _, slot in _slots(part)}
+            one = parts[part].select(F.lit(part).alias("part"), F.col(by).cast("long").alias("hash"), *(own.get(x, F.lit(None)).cast("string" if x[0] == "s" else "long").alias(x) for x in slots))
             long = one if long is None else long.unionByName(one)
         table = long.repartition(self.buckets, "hash").write.mode("append").partitionBy("part").bucketBy(self.buckets, "hash")
-        table.option("path", self._path()).format("parquet").saveAsTable(self.name)
+        # A task has one bucket, so it keeps a file of each part open rather than sort all rows by part.
+        conf, key = self.spark.conf, "spark.sql.maxConcurrentOutputFileWriters"
+        before = conf.get(key)
+        conf.set(key, len(PARTS))
+        try:
+            table.option("path", self._path()).format("parquet").saveAsTable(self.name)
+        finally:
+            conf.set(key, before)
 
     def read(self, part: str) -> DataFrame:
-        by, columns = PARTS[part]
-        return self.spark.table(self.name).filter(F.col("part") == part).select(F.col("hash").alias(by), *(c.split()[0] for c in columns.split(", ")))
+        return self.spark.table(self.name).filter(F.col("part") == part).select(F.col("hash").alias(PARTS[part][0]), *(F.col(slot).cast(kind).alias(c) for c, kind, slot in _slots(part)))
 
     def touched(self, part: str, hashes: DataFrame) -> DataFrame:
-        """The entries whose hash is among `hashes`, a table of that one column."""
-        return self.read(part).join(hashes.distinct(), hashes.columns[0], "left_semi")
+        """The entries whose hash is among `hashes`, a table of that one column. A bucket's hashes are held as a table where they fit, so that history needn't be sorted for each batch."""
+        asked = hashes.distinct()
+        if size_estimate(asked) <= BUCKET_BYTES * self.buckets:
+            asked = asked.hint("shuffle_hash")
+        return self.read(part).join(asked, hashes.columns[0], "left_semi")
 
     def drop(self) -> None:
         """Deletes the table; results that read it must have been written."""
@@ -135,18 +157,39 @@ def _own_core(parsed: DataFrame) -> DataFrame:
     return parsed.withColumn("ckey", F.when(place.isNotNull(), F.xxhash64("tenant", place)))
 
 
+def _met(pieces: DataFrame) -> DataFrame:
+    """pieces, broadcast if they are few or else merged with their probes: these are some dozen times as many as the cores they are made of, which the optimizer takes for small enough to be broadcast."""
+    few = broadcast_if_small(pieces)
+    return few if few is not pieces else pieces.hint("merge")
+
+
 def _places(kinds: DataFrame, near: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(spellings with the core they stand for, usual types) of counted spellings."""
     spelt = cut(people.spelling_roots(cut(_counts(kinds)), near))
     return spelt, cut(people.usual_kinds(kinds, spelt))
 
 
+def _best_spellings(counts: DataFrame, near: DataFrame) -> DataFrame:
+    """(tenant, core, was_core, now_core): the most frequent of a core and its neighbours (the first in the alphabet of several), before and now; was_core is null for new spellings.
+
+    counts: (tenant, core, was, n), near: (tenant, core, other, was). Cores are met by their hashes; a core is a candidate for itself.
+    """
+    own = counts.select(_ckey().alias("ckey"), F.col("core").alias("other"), F.when(F.col("was") > 0, F.col("was")).alias("was_n"), F.col("n").alias("now_n"))
+    pairs = near.select(_ckey().alias("ckey"), F.xxhash64("tenant", "other").alias("to"), "was").join(own.withColumnRenamed("ckey", "to"), "to")
+    every = own.unionByName(pairs.select("ckey", "other", F.when(F.col("was"), F.col("was_n")).alias("was_n"), "now_n"))
+    first = lambda run: F.min(F.when(F.col(run + "_n").isNotNull(), F.struct((-F.col(run + "_n")).alias("n"), "other"))).getField("other").alias(run + "_core")
+    return counts.select("tenant", "core", _ckey().alias("ckey")).join(every.groupBy("ckey").agg(first("was"), first("now")), "ckey").select("tenant", "core", "was_core", "now_core")
+
+
 def _both_places(kinds: DataFrame, near: DataFrame) -> tuple[tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]:
-    """_places() before and now, in one run: kinds (tenant, core, kind, was, n) and near (tenant, core, other, was) with what was there before."""
-    run = lambda df, now: df.withColumn("tenant", F.concat(F.lit("now " if now else "was "), "tenant"))
-    counted = run(kinds, True).select("tenant", "core", "kind", "n").unionByName(run(kinds, False).select("tenant", "core", "kind", F.col("was").alias("n")).filter("n > 0"))
-    pairs = run(near, True).select("tenant", "core", "other").unionByName(run(near.filter("was"), False).select("tenant", "core", "other"))
-    places = _places(cut(counted), pairs)
+    """_places() before and now, in one run: kinds (tenant, core, kind, was, n) and near (tenant, core, other, was) with what was there before. Each pair of spellings is looked at once for both."""
+    run = lambda df, mark, *c: df.select(F.concat(F.lit(mark + " "), "tenant").alias("tenant"), *c)
+    kinds = cut(kinds)
+    best = cut(_best_spellings(cut(kinds.groupBy("tenant", "core").agg(F.sum("was").alias("was"), F.sum("n").alias("n"))), near))
+    best = run(best, "now", "core", F.col("now_core").alias("to_core")).unionByName(run(best.filter("was_core is not null"), "was", "core", F.col("was_core").alias("to_core")))
+    counted = run(kinds, "now", "core", "kind", "n").unionByName(run(kinds.filter("was > 0"), "was", "core", "kind", F.col("was").alias("n")))
+    spelt = cut(people.with_ends(best.select("tenant", "core"), cut(best.filter("core <> to_core"))))
+    places = spelt, cut(people.usual_kinds(counted, spelt))
     of = lambda mark: tuple(df.filter(F.col("tenant").startswith(mark)).withColumn("tenant", F.substring(F.col("tenant"), 5, 1 << 30)) for df in places)
     return of("was "), of("now ")
 
@@ -210,9 +253,9 @@ def start(rows: DataFrame) -> History:
     history = History(rows.sparkSession, min(4096, max(rows.sparkSession.sparkContext.defaultParallelism, n // BUCKET_ROWS)), rows=n)
     kinds = cut(people.core_kinds(parsed))
     pieces = cut(people.core_pieces(_counts(kinds)))
-    near = cut(people.near_cores(_counts(kinds), pieces))
+    near = cut(people.near_cores(_counts(kinds), _met(pieces)))
     _tidy(history.spark)
-    placed = cut(_placed(parsed, _places(kinds, near)).filter("vertex is not null"))
+    placed = cut(_placed(parsed.filter("text <> ''"), _places(kinds, near)))
     counted = cut(_node_counts(placed))
     nodes = cut(_live_nodes(counted))
     uses = cut(_use_counts(placed))
@@ -271,7 +314,7 @@ def match(history: History, batch: DataFrame) -> tuple[DataFrame, dict[str, Data
     known = history.touched("cores", kinds.select(_ckey().alias("ckey")))
     fresh = cut(_counts(kinds).join(broadcast_if_small(known.select("tenant", "core").distinct()), ["tenant", "core"], "left_anti"))
     pieces = people.core_pieces(fresh)
-    one = people.near_cores(fresh, history.read("pieces").unionByName(pieces))
+    one = people.near_cores(fresh, _met(history.read("pieces").unionByName(pieces)))
     ways = F.explode(F.array(F.struct("core", "other"), F.struct(F.col("other").alias("core"), F.col("core").alias("other"))))
     near = cut(one.select("tenant", ways.alias("w")).select("tenant", "w.core", "w.other").distinct())
     trees = _spelling_trees(history, parsed, near)
@@ -282,7 +325,7 @@ def match(history: History, batch: DataFrame) -> tuple[DataFrame, dict[str, Data
     _tidy(history.spark)
     moved = _moved(history, before, now, fresh)
     columns = ("row_id", "tenant", *NODE, "email_key", "phone_key", "incoming")
-    named = _placed(parsed, now).filter("vertex is not null").select(*columns)
+    named = _placed(parsed.filter("text <> ''"), now).select(*columns)
     if moved:
         named = named.unionByName(moved[1].select(*columns))
     named = cut(named)

@@ -57,6 +57,11 @@ def fold(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn").translate(_FOLD)
 
 
+@functools.lru_cache(1 << 16)
+def _folded(word: str) -> str:
+    return fold(word)
+
+
 @functools.lru_cache(1 << 16)
 def _spelt(token: str) -> str:
     """A token with letters typed twice once, and accents typed as letters removed where that leaves a syllable."""
@@ -86,9 +91,9 @@ def name_tokens(name: str | None) -> tuple[str, ...]:
         head, _, tail = shown.partition(",")
         shown = f"{tail} {head}" if tail.strip() else head
     words = [w for w in _SEPARATORS.split(shown) if w]
-    while len(words) > 1 and (fold(words[0]) in TITLES or unicodedata.normalize("NFC", words[0].lower()) in ACCENTED_TITLES or (fold(words[0]) in ("ba", "anh", "chi", "co") and len(words) > 4 and not given_first)):
+    while len(words) > 1 and (_folded(words[0]) in TITLES or unicodedata.normalize("NFC", words[0].lower()) in ACCENTED_TITLES or (_folded(words[0]) in ("ba", "anh", "chi", "co") and len(words) > 4 and not given_first)):
         words = words[1:]
-    tokens = (_spelt(_NOT_WORD.sub("", fold(w))) for w in words)
+    tokens = (_spelt(_NOT_WORD.sub("", _folded(w))) for w in words)
     return tuple(t for t in tokens if t and not t.isdigit())
 
 

@@ -190,13 +190,17 @@ def spelling_roots(counts: DataFrame, near: DataFrame) -> DataFrame:
     n = counts.select("tenant", F.col("core").alias("other"), F.col("n").alias("other_n"))
     better = (F.col("other_n") > F.col("n")) | ((F.col("other_n") == F.col("n")) & (F.col("other") < F.col("core")))
     best = near.join(counts, ["tenant", "core"]).join(n, ["tenant", "other"]).filter(better).groupBy("tenant", "core").agg(F.min_by("other", F.struct((-F.col("other_n")).alias("n"), "other")).alias("to_core"))
-    best = cut(best)
+    return with_ends(counts.select("tenant", "core"), cut(best))
+
+
+def with_ends(cores: DataFrame, best: DataFrame) -> DataFrame:
+    """(tenant, core, to_core) of cores (tenant, core): the end of the chain that best (tenant, core, to_core) begins, or the core itself."""
     while True:
         onward = best.select("tenant", F.col("core").alias("to_core"), F.col("to_core").alias("last"))
         if best.join(onward, ["tenant", "to_core"], "left_semi").isEmpty():
             break
         best = cut(best.join(onward, ["tenant", "to_core"], "left").select("tenant", "core", F.coalesce("last", "to_core").alias("to_core")))
-    return counts.select("tenant", "core").join(broadcast_if_small(best), ["tenant", "core"], "left").withColumn("to_core", F.coalesce("to_core", "core"))
+    return cores.join(broadcast_if_small(best), ["tenant", "core"], "left").withColumn("to_core", F.coalesce("to_core", "core"))
 
 
 def usual_kinds(kinds: DataFrame, spelt: DataFrame) -> DataFrame:
@@ -219,15 +223,16 @@ def with_employers(parsed: DataFrame, spelt: DataFrame, usual: DataFrame) -> Dat
 
 def with_vertices(placed: DataFrame) -> DataFrame:
     """placed with `vertex`, the id of tenant, employer and name words, `place`, that of the employer (null without one), and `name`, that of the words within the tenant."""
-    words = F.array_join(F.array_sort(F.split("text", " ")), " ")
-    named = F.col("text") != ""
-    return placed.withColumns(
+    placed = placed.withColumn("_words", F.array_join(F.sort_array(F.split("text", " ")), " "))  # sort_array is compiled, unlike array_sort
+    words, named = F.col("_words"), F.col("text") != ""
+    with_all = placed.withColumns(
         {
             "vertex": F.when(named, F.xxhash64("tenant", F.coalesce("employer", F.lit("?")), words)),
             "place": F.when(F.col("employer").isNotNull(), F.xxhash64("tenant", "employer")),
             "name": F.when(named, F.xxhash64("tenant", words)),
         }
     )
+    return with_all.drop("_words")
 
 
 def vertices(people: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from rollcall.llm import history, names, people
 from rollcall.llm.skeleton import look_alike_table
@@ -244,3 +245,40 @@ def test_components_of_few_edges_take_no_rounds(spark, monkeypatch):
     assert {r["vertex"]: r["label"] for r in people.components(df).collect()} == want and len(written) == 2
     assert {r["vertex"]: r["label"] for r in people.components(df, limit=-1).collect()} == want
     assert people.components(df.filter("false")).count() == 0
+
+
+def test_history_is_neither_sorted_nor_wide(spark):
+    # A batch's hashes are held per bucket, whose rows are read as they lie; parts share their columns, which come back as they were.
+    planned = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    h = history.start(history.as_rows(spark.createDataFrame(ROWS, COLUMNS)))
+    plan = planned(h.touched("keys", spark.range(3).select(F.col("id").alias("key"))))
+    assert "ShuffledHashJoin" in plan and "Sort " not in plan and len(spark.table(h.name).columns) <= 13
+    assert {(r["row_id"], r["core"], r["kind"], r["phone_key"], r["incoming"]) for r in h.read("rows").collect()} >= {("a2", "fisubudedo", "centre", "685672530", False), ("n1", "", "", None, False)}
+    assert h.read("keys").schema.simpleString() == "struct<key:bigint,vertex:bigint,size:int>" and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    h.drop()
+
+
+def test_probes_of_spellings_are_not_broadcast(spark, monkeypatch):
+    counts = history.cut(spark.createDataFrame([("t", "abcdefgh", 9), ("t", "abcdefg", 5)], "tenant string, core string, n long"))
+    near = lambda: people.near_cores(counts, history._met(people.core_pieces(counts)))
+    plan, found = near()._jdf.queryExecution().executedPlan().toString(), near().collect()
+    assert "BroadcastHashJoin" in plan and "BuildRight" in plan and "BuildLeft" not in plan
+    monkeypatch.setattr(history, "broadcast_if_small", lambda df: df)
+    plan = near()._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and sorted(near().collect()) == sorted(found) and len(found) == 2
+
+
+def test_spellings_before_and_now_are_those_of_either_run(spark):
+    # Chains, ties, a new core more frequent than the old ones, a core that is known only now and one without neighbours.
+    kinds = [("t", "abcdefgh", "jsc", 3, 3), ("t", "abcdefg", "", 3, 3), ("t", "abcdefg", "ltd", 1, 9), ("t", "abcdef", "ltd", 2, 2), ("t", "abcdxf", "", 2, 2), ("t", "abcdxfyz", "", 0, 20), ("t", "lonesome", "", 1, 4), ("u", "abcdef", "co", 0, 1)]
+    kinds = spark.createDataFrame(kinds, "tenant string, core string, kind string, was long, n long")
+    counts = history._counts(kinds)
+    was = kinds.filter("was > 0").select("tenant", "core").distinct()
+    near = people.near_cores(counts, people.core_pieces(counts))
+    near = near.join(was.withColumn("_x", F.lit(True)), ["tenant", "core"], "left").join(was.select("tenant", F.col("core").alias("other"), F.lit(True).alias("_y")), ["tenant", "other"], "left").select("tenant", "core", "other", F.coalesce(F.col("_x") & F.col("_y"), F.lit(False)).alias("was"))
+    got = history._both_places(kinds, near)
+    old = history._places(kinds.filter("was > 0").select("tenant", "core", "kind", F.col("was").alias("n")), near.filter("was").drop("was"))
+    new = history._places(kinds.drop("was"), near.drop("was"))
+    rows = lambda places: [sorted(tuple(r[c] for c in names) for r in df.collect()) for df, names in zip(places, (("tenant", "core", "to_core"), ("tenant", "to_core", "usual")))]
+    assert rows(got[0]) == rows(old) and rows(got[1]) == rows(new) and rows(old) != rows(new)
+    assert ("t", "abcdef", "abcdefg") in rows(got[0])[0]

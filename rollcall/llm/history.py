@@ -59,12 +59,15 @@ PARTS = {
     "group_members": ("label", "vertex long"),
 }
 NODE = ("vertex", "place", "name", "text")
+NAMED = ("row_id", "tenant", *NODE, "email_key", "phone_key", "incoming")
+#: The parts of many columns, kept in a table of their own: each row is written with the columns of all parts of its table.
+WIDE = ("rows",)
 #: Bytes of a bucket's hashes, by size_estimate(), that a task may hold as a table while it reads the bucket.
 BUCKET_BYTES = 32 << 20
 
 
 def _slots(part: str) -> list[tuple[str, str, str]]:
-    """(column, its kind, the table's column it is kept in): parts share s0, s1 ... for texts and n0, n1 ... for all else, since each row is written with the columns of all parts."""
+    """(column, its kind, the table's column it is kept in): parts share s0, s1 ... for texts and n0, n1 ... for all else, since each row is written with the columns of all parts of its table."""
     out, used = [], {"s": 0, "n": 0}
     for c in PARTS[part][1].split(", "):
         name, kind = c.split()
@@ -76,7 +79,7 @@ def _slots(part: str) -> list[tuple[str, str, str]]:
 
 @dataclass
 class History:
-    """Hash tables in a folder all executors share: the parts of one table, bucketed by hash, so that a batch is appended in one job."""
+    """Hash tables in a folder all executors share: the parts of two tables (WIDE and the rest), bucketed by hash, so that a batch is appended in two jobs."""
 
     spark: SparkSession
     buckets: int = 8
@@ -85,28 +88,35 @@ class History:
     rows: int = 0
     vertices: int = 0
 
-    def _path(self) -> str:
-        return f"{checkpoint_dir(self.spark)}/{self.name}"
+    def _table(self, part: str) -> str:
+        return f"{self.name}_wide" if part in WIDE else self.name
+
+    def _path(self, table: str) -> str:
+        return f"{checkpoint_dir(self.spark)}/{table}"
 
     def add(self, parts: dict[str, DataFrame]) -> None:
-        slots = sorted({slot for part in PARTS for _, _, slot in _slots(part)})
-        long = None
-        for part, (by, _) in PARTS.items():
+        for kept in ([p for p in PARTS if p not in WIDE], WIDE):
+            self._add({p: parts[p] for p in kept})
+
+    def _add(self, parts: dict[str, DataFrame]) -> None:
+        slots = sorted({slot for part in parts for _, _, slot in _slots(part)})
+        name, long = self._table(next(iter(parts))), None
+        for part, df in parts.items():
             own = {slot: F.col(c) for c, _, slot in _slots(part)}
-            one = parts[part].select(F.lit(part).alias("part"), F.col(by).cast("long").alias("hash"), *(own.get(x, F.lit(None)).cast("string" if x[0] == "s" else "long").alias(x) for x in slots))
+            one = df.select(F.lit(part).alias("part"), F.col(PARTS[part][0]).cast("long").alias("hash"), *(own.get(x, F.lit(None)).cast("string" if x[0] == "s" else "long").alias(x) for x in slots))
             long = one if long is None else long.unionByName(one)
         table = long.repartition(self.buckets, "hash").write.mode("append").partitionBy("part").bucketBy(self.buckets, "hash")
         # A task has one bucket, so it keeps a file of each part open rather than sort all rows by part.
         conf, key = self.spark.conf, "spark.sql.maxConcurrentOutputFileWriters"
         before = conf.get(key)
-        conf.set(key, len(PARTS))
+        conf.set(key, len(parts))
         try:
-            table.option("path", self._path()).format("parquet").saveAsTable(self.name)
+            table.option("path", self._path(name)).format("parquet").saveAsTable(name)
         finally:
             conf.set(key, before)
 
     def read(self, part: str) -> DataFrame:
-        return self.spark.table(self.name).filter(F.col("part") == part).select(F.col("hash").alias(PARTS[part][0]), *(F.col(slot).cast(kind).alias(c) for c, kind, slot in _slots(part)))
+        return self.spark.table(self._table(part)).filter(F.col("part") == part).select(F.col("hash").alias(PARTS[part][0]), *(F.col(slot).cast(kind).alias(c) for c, kind, slot in _slots(part)))
 
     def touched(self, part: str, hashes: DataFrame) -> DataFrame:
         """The entries whose hash is among `hashes`, a table of that one column. A bucket's hashes are held as a table where they fit, so that history needn't be sorted for each batch."""
@@ -116,10 +126,11 @@ class History:
         return self.read(part).join(asked, hashes.columns[0], "left_semi")
 
     def drop(self) -> None:
-        """Deletes the table; results that read it must have been written."""
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._path())
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        """Deletes the tables; results that read them must have been written."""
+        for name in {self._table(part) for part in PARTS}:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._path(name))
+            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _tidy(spark: SparkSession) -> None:
@@ -151,10 +162,10 @@ def _counts(kinds: DataFrame) -> DataFrame:
     return kinds.groupBy("tenant", "core").agg(F.sum("n").alias("n"))
 
 
-def _own_core(parsed: DataFrame) -> DataFrame:
-    """parsed with the hash of the core that places a row: its own, or else its address's host."""
+def _parsed(rows: DataFrame) -> DataFrame:
+    """people.parse_rows() with the hash of the core that places a row: its own, or else its address's host."""
     place = F.when(F.col("core") != "", F.col("core")).when(F.col("host") != "", F.col("host"))
-    return parsed.withColumn("ckey", F.when(place.isNotNull(), F.xxhash64("tenant", place)))
+    return people.parse_rows(rows).drop("name_hash", "organization_hash").withColumn("ckey", F.when(place.isNotNull(), F.xxhash64("tenant", place)))
 
 
 def _met(pieces: DataFrame) -> DataFrame:
@@ -222,8 +233,13 @@ def _node_counts(placed: DataFrame, n: int = 1) -> DataFrame:
 
 
 def _use_counts(placed: DataFrame, n: int = 1) -> DataFrame:
-    contact = F.array_compact(F.array(F.when(F.col("email_key").isNotNull(), F.xxhash64("tenant", F.lit("e"), "email_key")), F.when(F.col("phone_key").isNotNull(), F.xxhash64("tenant", F.lit("p"), "phone_key"))))
-    return placed.select("vertex", F.explode(contact).alias("contact")).groupBy("contact", "vertex").agg((F.lit(n) * F.count(F.lit(1))).alias("n"))
+    contact = F.array(F.when(F.col("email_key").isNotNull(), F.xxhash64("tenant", F.lit("e"), "email_key")), F.when(F.col("phone_key").isNotNull(), F.xxhash64("tenant", F.lit("p"), "phone_key")))
+    return placed.select("vertex", F.explode(contact).alias("contact")).filter("contact is not null").groupBy("contact", "vertex").agg((F.lit(n) * F.count(F.lit(1))).alias("n"))
+
+
+def _new_nodes(counted: DataFrame) -> DataFrame:
+    """_live_nodes() of counted (NODE, n) with each text of a vertex once and n above 0, as _node_counts() gives it."""
+    return counted.groupBy("vertex").agg(*(F.min(c).alias(c) for c in NODE[1:]))
 
 
 def _live(counted: DataFrame, *by: str) -> DataFrame:
@@ -248,16 +264,16 @@ def _alike(nodes: DataFrame, org: DataFrame, shared: DataFrame) -> tuple[DataFra
 
 def start(rows: DataFrame) -> History:
     """A history of rows (row_id, tenant, full_name, organization, email, phone)."""
-    parsed = cut(_own_core(people.parse_rows(rows)).withColumn("incoming", F.lit(False)))
+    parsed = cut(_parsed(rows).withColumn("incoming", F.lit(False)))
     n = parsed.count()
     history = History(rows.sparkSession, min(4096, max(rows.sparkSession.sparkContext.defaultParallelism, n // BUCKET_ROWS)), rows=n)
     kinds = cut(people.core_kinds(parsed))
     pieces = cut(people.core_pieces(_counts(kinds)))
     near = cut(people.near_cores(_counts(kinds), _met(pieces)))
     _tidy(history.spark)
-    placed = cut(_placed(parsed.filter("text <> ''"), _places(kinds, near)))
+    placed = cut(_placed(parsed.filter("text <> ''"), _places(kinds, near)).select(*NAMED))
     counted = cut(_node_counts(placed))
-    nodes = cut(_live_nodes(counted))
+    nodes = cut(_new_nodes(counted))
     uses = cut(_use_counts(placed))
     keys = cut(_name_keys(nodes))
     history.vertices = nodes.count()
@@ -309,7 +325,7 @@ def _moved(history: History, before: tuple[DataFrame, DataFrame], now: tuple[Dat
 
 def match(history: History, batch: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
     """((row_a, row_b), what append() takes): the pairings a batch (row_id, tenant, full_name, organization, email, phone) establishes."""
-    parsed = cut(_own_core(people.parse_rows(batch)).withColumn("incoming", F.lit(True)))
+    parsed = cut(_parsed(batch).withColumn("incoming", F.lit(True)))
     kinds = cut(people.core_kinds(parsed))
     known = history.touched("cores", kinds.select(_ckey().alias("ckey")))
     fresh = cut(_counts(kinds).join(broadcast_if_small(known.select("tenant", "core").distinct()), ["tenant", "core"], "left_anti"))
@@ -324,12 +340,11 @@ def match(history: History, batch: DataFrame) -> tuple[DataFrame, dict[str, Data
     before, now = _both_places(every.groupBy("tenant", "core", "kind").agg(F.sum("was").alias("was"), F.sum("n").alias("n")), pairs)
     _tidy(history.spark)
     moved = _moved(history, before, now, fresh)
-    columns = ("row_id", "tenant", *NODE, "email_key", "phone_key", "incoming")
-    named = _placed(parsed.filter("text <> ''"), now).select(*columns)
+    named = _placed(parsed.filter("text <> ''"), now).select(*NAMED)
     if moved:
-        named = named.unionByName(moved[1].select(*columns))
+        named = named.unionByName(moved[1].select(*NAMED))
     named = cut(named)
-    gone = moved[0].filter("vertex is not null").select(*columns) if moved else None
+    gone = moved[0].filter("vertex is not null").select(*NAMED) if moved else None
 
     counted, uses = _node_counts(named), _use_counts(named)
     members = named.select("vertex", "row_id", "incoming", F.lit(1).alias("n"))
@@ -353,7 +368,7 @@ def match(history: History, batch: DataFrame) -> tuple[DataFrame, dict[str, Data
     near_nodes = cut(_live_nodes(history.touched("nodes", ids).select(*NODE, "n").unionByName(counted.select(*NODE, "n"))))
     grams = met.filter("size > 0")
     frequency = cut(grams.groupBy("key").agg(F.count(F.lit(1)).alias("df")))
-    org = people.meetings(keys.filter("size > 0").select("key", "vertex"), grams.select("key", "vertex"), frequency, near_nodes)
+    org = people.meetings(keys.filter("size > 0"), grams, frequency, near_nodes)
     _tidy(history.spark)
     shared = cut(people.contact_candidates(near_nodes, used.select("contact", "vertex"), used.filter("was <= 0").select("vertex").distinct()))
     alike, covers = _alike(near_nodes, org, shared)

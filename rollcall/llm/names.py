@@ -246,8 +246,27 @@ def _placed_grams(tokens: tuple[str, ...]) -> dict[tuple[str, int], None]:
     return grams
 
 
+@functools.lru_cache(1 << 16)
+def _forms(token: str) -> tuple[tuple[str, ...], tuple[str, ...], bool]:
+    """A token's forms, each ending as the first half of a gram; the initials of all; whether it is a gram alone."""
+    forms = (token, *NICKNAMES.get(token, "").split())
+    return tuple(f + "\x1f" for f in forms), tuple(f[0] for f in forms), len(token) >= 7 and not SYLLABLE.fullmatch(token)
+
+
 def name_grams(tokens: tuple[str, ...]) -> list[str]:
-    return list(dict.fromkeys(g for g, _ in _placed_grams(tokens)))
+    """The grams of _placed_grams() without places."""
+    known, grams = [_forms(t) for t in tokens], {}
+    for i, t in enumerate(tokens):
+        if len(t) > 1:
+            forms, _, alone = known[i]
+            for j, (_, firsts, _) in enumerate(known):
+                if i != j:
+                    for form in forms:
+                        for first in firsts:
+                            grams[form + first] = None
+            if alone:
+                grams[t] = None
+    return list(grams)
 
 
 @functools.lru_cache(1 << 16)

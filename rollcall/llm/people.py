@@ -112,7 +112,8 @@ def _compared(a: pd.Series, b: pd.Series, wa: pd.Series, wb: pd.Series, contact:
 def email_key(c: Column | str) -> Column:
     """Host and mailbox of a personal address however it is written; null if there is none."""
     v = F.lower(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")))
-    v = F.regexp_replace(F.translate(v, "＠．", "@."), "\\(at\\)|\\[at\\]| at ", "@")
+    v = F.when(v.contains("＠") | v.contains("．"), F.translate(v, "＠．", "@.")).otherwise(v)
+    v = F.when(v.contains("(at)") | v.contains("[at]") | v.contains(" at "), F.regexp_replace(v, "\\(at\\)|\\[at\\]| at ", "@")).otherwise(v)
     v = F.regexp_replace(F.regexp_replace(v, "mailto:|[<>\\s\\u00a0\"']", ""), "[;,.]+$", "")
     box = F.regexp_replace(F.regexp_extract(v, "^([^@]+)@", 1), "\\+.*$|[._-]", "")
     host = F.regexp_extract(v, "@([a-z0-9.-]+\\.[a-z]{2,})$", 1)
@@ -121,7 +122,9 @@ def email_key(c: Column | str) -> Column:
 
 def phone_key(c: Column | str) -> Column:
     """The nine digits after the trunk prefix or country code; null if the text doesn't state them."""
-    v = F.regexp_replace(F.translate(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")), "０１２３４５６７８９", "0123456789"), "\\.0$", "")
+    v = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+    v = F.when(F.octet_length(v) > F.length(v), F.translate(v, "０１２３４５６７８９", "0123456789")).otherwise(v)
+    v = F.regexp_replace(v, "\\.0$", "")
     digits = F.regexp_extract(F.regexp_replace(v, "[^0-9]", ""), "^(?:00?84|84|0)?([1-9][0-9]{8})$", 1)
     return F.when((digits != "") & ~digits.rlike("^(\\d)\\1+$") & (digits != "123456789") & ~v.rlike("[?xX*]"), digits)
 
@@ -161,7 +164,7 @@ def core_pieces(cores: DataFrame) -> DataFrame:
 
 
 def _probes(cores: DataFrame, parts: int, reach: int, least: int) -> DataFrame:
-    """(key, tenant, core): every piece a core within `reach` letters may have left whole in this one."""
+    """(key, tenant, core): every piece a core within `reach` letters may have left whole in this one; few come twice, and pairs are made distinct later."""
     lengths = F.filter(F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda d: F.length("core") + d), lambda n: n >= least)
     one = cores.select("tenant", "core", F.explode(lengths).alias("of"))
     at = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("at")
@@ -170,7 +173,7 @@ def _probes(cores: DataFrame, parts: int, reach: int, least: int) -> DataFrame:
     moved = one.select("tenant", "core", "of", "at", start.alias("start"), (end - start).alias("size"), F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("by"))
     inside = moved.filter((F.col("start") + F.col("by") >= 0) & (F.col("start") + F.col("by") + F.col("size") <= F.length("core")))
     piece = F.substring(F.col("core"), F.col("start") + F.col("by") + 1, F.col("size"))
-    return inside.select(F.xxhash64("tenant", F.lit(parts), "of", "at", piece).alias("key"), "tenant", "core").distinct()
+    return inside.select(F.xxhash64("tenant", F.lit(parts), "of", "at", piece).alias("key"), "tenant", "core")
 
 
 def near_cores(fresh: DataFrame, pieces: DataFrame) -> DataFrame:
@@ -262,19 +265,24 @@ def name_keys(nodes: DataFrame) -> DataFrame:
     return grams.select("vertex", "place", F.size("grams").alias("size"), F.explode("grams").alias("gram")).select(F.xxhash64("place", "gram").alias("key"), "vertex", "size")
 
 
-def _meet(probes: DataFrame, keys: DataFrame, frequency: DataFrame, placed: DataFrame, finer: Callable, hot: int, sized: bool = False) -> DataFrame:
+def _meet(probes: DataFrame, keys: DataFrame, frequency: DataFrame, placed: DataFrame, finer: Callable, hot: int, sized: bool = False, counted: bool = False) -> DataFrame:
     """(place, a, b): probes (key, vertex) with the other vertices of keys (key, vertex) that share the key.
 
     placed: (place, vertex, text) the keys are made of. Keys of more than `hot` vertices are refined by finer(). sized:
-    both have `size`, and a probe is only to meet vertices of its size and more.
+    both have `size`, and a probe is only to meet vertices of its size and more. counted: both have `size` and all their
+    keys, so vertices with too few usual keys in common are left out (those that share one of the others are found by finer()).
     """
     usual, over = frequency.filter(F.col("df").between(2, hot)).select("key"), frequency.filter(F.col("df") > hot).select("key")
-    size = ["size"] if sized else []
+    size = ["size"] if sized or counted else []
     a = probes.join(usual, "key").select("key", F.col("vertex").alias("a"), *(F.col(c).alias("sa") for c in size))
     b = keys.select("key", F.col("vertex").alias("b"), *(F.col(c).alias("sb") for c in size), *(["place"] if "place" in keys.columns else []))
     fits = (F.col("sa") < F.col("sb")) | ((F.col("sa") == F.col("sb")) & (F.col("a") != F.col("b"))) if sized else F.col("a") != F.col("b")
     columns = ["place", "a", "b"] if "place" in keys.columns else ["a", "b"]
-    pairs = a.join(b, "key").filter(fits).select(*columns)
+    pairs = a.join(b, "key").filter(fits)
+    if counted:  # a pair of probes is counted from either side, so some too many of these stay
+        least = F.ceil(F.least(F.min("sa"), F.min("sb")) * OVERLAP)
+        pairs = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("n"), least.alias("least")).filter("n >= least")
+    pairs = pairs.select(*columns)
     if not over.isEmpty():
         crowd = keys.join(broadcast_if_small(over), "key", "left_semi").select("vertex").distinct()
         parts = placed.join(crowd, "vertex", "left_semi").select("place", "vertex", F.explode(finer("text")).alias("x"))
@@ -288,15 +296,16 @@ def _meet(probes: DataFrame, keys: DataFrame, frequency: DataFrame, placed: Data
 
 
 def meetings(probes: DataFrame, keys: DataFrame, frequency: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b): probes (key, vertex) with every vertex of keys that shares a q-gram within the employer."""
-    return _meet(probes, keys, frequency, nodes.select("place", "vertex", "text"), _finer_name_grams, HOT)
+    """(a, b): probes (key, vertex, size), all of a vertex, with every vertex of keys that shares enough q-grams within the employer."""
+    return _meet(probes, keys, frequency, nodes.select("place", "vertex", "text"), _finer_name_grams, HOT, counted=True)
 
 
 def employer_candidates(nodes: DataFrame, keys: DataFrame, hot: int | None = None) -> DataFrame:
-    """(a, b): pairs of vertices of one employer that share a q-gram among the rarest of the smaller set."""
+    """(a, b): pairs of vertices of one employer that share a q-gram among the rarest of the smaller set; q-grams only one vertex has are the rarest of all."""
     frequency = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
-    ranked = keys.join(frequency, "key").withColumn("at", F.row_number().over(Window.partitionBy("vertex").orderBy("df", "key")))
-    probes = ranked.filter(F.col("at") <= F.col("size") - F.ceil(F.col("size") * OVERLAP) + 1).select("key", "vertex", "size")
+    own = Window.partitionBy("vertex")
+    ranked = keys.join(frequency, "key").withColumns({"at": F.row_number().over(own.orderBy("df", "key")), "met": F.count(F.lit(1)).over(own)})
+    probes = ranked.filter(F.col("at") <= F.col("met") - F.ceil(F.col("size") * OVERLAP) + 1).select("key", "vertex", "size")
     return _meet(probes, keys, frequency, nodes.select("place", "vertex", "text"), _finer_name_grams, hot or HOT, sized=True)
 
 

@@ -282,3 +282,22 @@ def test_spellings_before_and_now_are_those_of_either_run(spark):
     rows = lambda places: [sorted(tuple(r[c] for c in names) for r in df.collect()) for df, names in zip(places, (("tenant", "core", "to_core"), ("tenant", "to_core", "usual")))]
     assert rows(got[0]) == rows(old) and rows(got[1]) == rows(new) and rows(old) != rows(new)
     assert ("t", "abcdef", "abcdefg") in rows(got[0])[0]
+
+
+def test_names_with_too_little_in_common_are_no_candidates(spark):
+    # The first two share 4 of 6 q-grams, the third one with either, of which alike names have two; q-grams one name has count as the rarest.
+    rows = [("a", "t", "Nguyễn Văn Thành", "Viện Mosatuline", None, None), ("b", "t", "Nguyễn Văn Thnah", "Viện Mosatuline", None, None), ("c", "t", "Nguyễn Gia Tùng", "Viện Mosatuline", None, None)]
+    placed = people.placed_rows(people.as_rows(spark.createDataFrame(rows, COLUMNS)))
+    nodes, at = people.vertices(placed), {r["vertex"]: r["row_id"] for r in placed.collect()}
+    keys = history.cut(people.name_keys(nodes))
+    frequency = keys.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+    met = lambda mine: people.meetings(keys.join(placed.filter(F.col("row_id").isin(*mine)).select("vertex"), "vertex", "left_semi"), keys, frequency, nodes)
+    pairs = lambda df: {tuple(sorted((at[r["a"]], at[r["b"]]))) for r in df.collect()}
+    assert pairs(people.employer_candidates(nodes, keys)) == {("a", "b")} == pairs(met("a")) == pairs(met("ab")) and pairs(met("c")) == set()
+
+
+def test_wide_rows_are_kept_apart(spark):
+    h = history.start(history.as_rows(spark.createDataFrame(ROWS, COLUMNS)))
+    assert len(spark.table(h.name).columns) <= 8 and h.read("rows").count() == len(ROWS) and h.read("members").count() > 0
+    h.drop()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(h.name)]
